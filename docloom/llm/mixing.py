@@ -21,7 +21,7 @@ from docloom.llm.common import kept, small_or_none, table
 MOST_COPIES = 3
 #: Expected copies are integers in this unit, so that their sums are exact in any order.
 UNIT = 1 << 24
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 1_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
