@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from docloom.llm import mixing
+from docloom.llm import exact_dedup, mixing
 
 
 def queries() -> dict:
-    return {"op3_mix_sources": mixing.op3_mix_sources}
+    return {"op3_mix_sources": mixing.op3_mix_sources, "op4_exact_dedup": exact_dedup.op4_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL}
+    return {"op3_mix_sources": mixing.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
