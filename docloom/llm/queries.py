@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, mixing
+from docloom.llm import exact_dedup, mixing, sentencepiece_bpe
 
 
 def queries() -> dict:
-    return {"op3_mix_sources": mixing.op3_mix_sources, "op4_exact_dedup": exact_dedup.op4_exact_dedup}
+    return {
+        "op3_mix_sources": mixing.op3_mix_sources,
+        "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
