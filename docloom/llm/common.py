@@ -74,3 +74,22 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return x ^ (x >> np.uint64(31))
+
+
+def rows_that_stay(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that decisions(doc_id, text_hash, stays) keep; text_hash is xxhash64(text).
+
+    Only the ids to drop move if a count shows that they can be broadcast, so texts stay where they are.
+    Rows that share a doc_id are told apart by their texts; of rows equal in both, one stays.
+    """
+    by_id = decisions.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
+    by_id = kept(by_id.withColumnRenamed("doc_id", "other_id"))
+    same_id = docs.doc_id.eqNullSafe(F.col("other_id"))
+    once = docs.join(small_or_none(by_id.select("other_id")), same_id, "left_anti")
+    again = by_id.where("stays").select("other_id")
+    if again.isEmpty():
+        return once
+    stay = decisions.where("stays").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_text"))
+    rows = docs.join(again, same_id, "left_semi").withColumn("text_hash_", F.xxhash64("text"))
+    rows = rows.join(stay, rows.doc_id.eqNullSafe(F.col("stay_id")) & (F.col("text_hash_") == F.col("stay_text")), "left_semi")
+    return once.unionByName(rows.dropDuplicates(["doc_id", "text_hash_"]).drop("text_hash_"))
