@@ -127,10 +127,10 @@ def search(vectors: DataFrame, every: int, k: int = 5) -> DataFrame:
     n, queries = rows.count(), rows.where(F.col("vec_id") % every == 0)
     size = min(max(SHARD_ROWS, -(-n // SHARDS)), MOST_SHARD_ROWS)
     shards, blocks = max(1, -(-n // size)), max(1, -(-queries.count() // BLOCK_QUERIES))
-    shard = F.pmod(F.xxhash64("row_id"), F.lit(shards)).alias("shard")
-    block = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).alias("block")
-    left = rows.select("*", shard, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"))
-    right = queries.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"))
+    shard = F.pmod(F.xxhash64("row_id"), F.lit(shards)).cast("long").alias("shard")
+    block = F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("long").alias("block")
+    left = rows.select("*", shard, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    right = queries.select("*", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     by = ["dim", "shard", "block"]
     best = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(_search(k), "query_id long, query_row long, vec_id long, row_id long, score double")
     order = Window.partitionBy("query_id", "query_row").orderBy(F.col("score").desc(), "vec_id", "row_id")
