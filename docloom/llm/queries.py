@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, minhash, mixing, nearest, sentencepiece_bpe, token_store
+from docloom.llm import exact_dedup, language, minhash, mixing, nearest, quality, sentencepiece_bpe, token_store
 
 
 def queries() -> dict:
@@ -10,9 +10,11 @@ def queries() -> dict:
         "op1_minhash": minhash.op1_minhash,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_language": language.op5_language,
         "op6_sentencepiece": sentencepiece_bpe.op6_sentencepiece,
         "op7_nearest": nearest.op7_nearest,
         "op8_token_store": token_store.op8_token_store,
+        "op9_quality": quality.op9_quality,
     }
 
 
