@@ -115,7 +115,7 @@ def softmax(logits: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def _fit_shard(group: pd.DataFrame, idf=None, langs=()) -> pd.DataFrame:
+def _fit_shard(group: pd.DataFrame, idf: np.ndarray, langs: list[str]) -> pd.DataFrame:
     """A shard of the sample -> its weights other than zero. The last feature is the intercept, without a penalty on its size."""
     size = FEATURES + 1
     z, n = np.zeros((size, len(langs))), np.zeros((size, len(langs)))
@@ -205,7 +205,7 @@ def fit(learn: DataFrame, most: int = TRAIN_DOCS) -> Model:
     sample = learn.withColumn("order_", order).where(F.col("order_") < int((1 << 30) * min(1.0, most / max(total, 1))))
     sample = kept(sample.select("doc_id", "text", "lang", "order_", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(CALIBRATE * SHARDS)).alias("part")))
     train = sample.where(F.col("part") >= SHARDS).withColumn("shard", F.col("part") % SHARDS)
-    fitted = train.groupBy("shard").applyInPandas(partial(_fit_shard, idf=idf, langs=langs), "feature long, lang_id long, w double")
+    fitted = train.groupBy("shard").applyInPandas(lambda group: _fit_shard(group, idf, langs), "feature long, lang_id long, w double")
     averaged = fitted.groupBy("feature", "lang_id").agg((F.sum("w") / SHARDS).alias("w")).toPandas()
     weights = np.zeros((FEATURES + 1, len(langs)))
     weights[averaged["feature"].to_numpy(np.int64), averaged["lang_id"].to_numpy(np.int64)] = averaged["w"].to_numpy()

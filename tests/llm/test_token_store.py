@@ -15,15 +15,15 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tex
 def texts():
     rng = random.Random(3)
     letters = "ab the inrst  \n\t.éß日😀01\x1c\x85 '’s,"
-    fixed = [None, "", " ", "a  b", "\n \n", "x\n  b ", "it's we'll", "<|endoftext|>", "a <|endoftext|> b", "x" * 3000, "word " * 9000]
+    fixed = [None, "", " ", "a  b", "\n \n", "x\n  b ", "it's we'll", "<|endoftext|>", "a <|endoftext|> b", "x" * 3000, "word " * 9000, " " * 30_000 + "x", "\u00b2\u0301a\u200b\u3000b"]
     long = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(3000))
     return fixed + ["".join(rng.choices(letters, k=rng.randint(0, 80))) for _ in range(300)] + [long[:5000] + f" {i} " + long for i in range(20)]
 
 
-def test_words_like_the_library():
+def test_ids_like_the_library():
     library = tokenizers.Tokenizer.from_file(store.model_path())
     some = [t or "" for t in texts()]
-    assert [np.frombuffer(x, "<u4").tolist() for x in store.encoder().encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert [x.tolist() for x in store.encoder().encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
 
 
 def test_store_and_index(spark, tmp_path):
