@@ -10,8 +10,8 @@ the first thin slabs, so a signature costs about K log K darts whatever the leng
 Candidates share a band of ROWS coordinates. In a bucket every text is compared with the bucket's
 first and with its neighbour, so that pairs grow with the rows of a bucket; what this links becomes a
 component. Buckets that then still hold several components are compared in full across components,
-block by block on the signatures, inside tasks, and only pairs above the bound leave them. Every
-link is verified on the shingles themselves.
+block by block inside tasks, first on the signatures, and only links leave them. Every link is
+verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ K = BANDS * ROWS
 SLACK = 4.5
 FIRST_SLAB = 2.0**-6
 #: Rows of a block of a bucket in the comparison across components.
-BLOCK = 1024
+BLOCK = 512
 
 SIGNED = "doc_id long, text_hash long, row_id long, n_cells long, f1 long, f2 long, sketch binary, bands array<long>, cells binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -164,41 +164,55 @@ def _similar(similarity: float):
         for batch in batches:
             rows = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "cells_a", "cells_b")), strict=True):
-                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                if common >= similarity * (len(x) + len(y) - common):
-                    rows.append((a, b, common / (len(x) + len(y) - common)))
+                if (j := _jaccard(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4"))) >= similarity:
+                    rows.append((a, b, j))
             a, b, s = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], schema=schema)
 
     return run
 
 
-def _across(least: int):
-    """Rows of blocks, sorted by group -> pairs of different components whose sketches agree enough."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Of two sorted arrays of cells, none empty."""
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(x) + len(y) - common)
+
+
+def _across(least: int, similarity: float):
+    """Rows of blocks, sorted by group -> links between different components.
+
+    A pair is looked at in the first of its common bands only; its signatures are compared before its
+    cells, and not at all once links of this group have joined its components.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
-    def pairs(rows):
-        node, comp, side = (np.array([r[i] for r in rows], np.int64) for i in range(3))
-        sketch = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), K)
+    def links_of(rows):
+        band, node, comp, side = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), K)
+        keys = np.array([r[5] for r in rows], np.int64)[:, : band[0]]
+        cells = [np.frombuffer(r[6], "<u4") for r in rows]
         left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
         out = []
         for i in left.tolist():
             other = right[(comp[right] != comp[i]) & ((side[right] != 3) | (node[right] > node[i]))]
-            good = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
-            out += [(min(int(node[i]), j), max(int(node[i]), j)) for j in node[good].tolist()]
+            other = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
+            other = other[~(keys[other] == keys[i]).any(axis=1)]
+            for j in other.tolist():
+                if comp[i] != comp[j] and (s := _jaccard(cells[i], cells[j])) >= similarity:
+                    out.append((int(node[i]), int(node[j]), s))
+                    comp[comp == comp[j]] = comp[i]
         return out
 
     def run(batches):
         group, rows = None, []
 
         def close():
-            found = pairs(rows) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], schema=schema)
+            a, b, s = zip(*found, strict=True) if (found := links_of(rows) if len(rows) > 1 else []) else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], schema=schema)
 
         for batch in batches:
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "left", "right", "node", "component", "side", "sketch")), strict=True):
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "left", "right", "band", "node", "component", "side", "sketch", "bands", "cells")), strict=True):
                 if (key, i, j) != group:
                     if rows:
                         yield close()
@@ -210,52 +224,50 @@ def _across(least: int):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """pairs(a, b) -> those of at least ``similarity`` by their cells. A node in very many pairs is split by the joins."""
-    needed = small_or_none(kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()))
-    cells = kept(nodes.join(needed, "node", "left_semi").select("node", "cells"))
-    with_a = pairs.join(cells.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a")
-    with_b = with_a.join(cells.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b")
-    return with_b.mapInArrow(_similar(similarity), "a long, b long, similarity double")
+def _only(signed: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """The columns of the rows of some nodes; where these can be broadcast, no other row moves."""
+    return signed.join(small_or_none(ids), "node", "left_semi").select("node", *columns)
 
 
-def _by_sketch(pairs: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    sketches = nodes.select("node", "sketch")
-    with_a = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a")), "a")
-    with_b = with_a.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    return with_b.mapInArrow(_agreeing(least), "a long, b long")
+def _with_both(pairs: DataFrame, signed: DataFrame, column: str) -> DataFrame:
+    """pairs(a, b) with a column of both nodes. A node in very many pairs is split by the joins."""
+    ids = kept(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    values = _only(signed, ids, column)
+    with_a = pairs.join(values.select(F.col("node").alias("a"), F.col(column).alias(f"{column}_a")), "a")
+    return with_a.join(values.select(F.col("node").alias("b"), F.col(column).alias(f"{column}_b")), "b")
 
 
-def links(nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """nodes(node, sketch, bands, cells) -> a, b, similarity: verified links that join all that belong together."""
+def links(nodes: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Nodes and the table (node, sketch, bands, cells) that holds them -> a, b, similarity: verified links that join all that belong together."""
     least = least_agreement(similarity)
-    keyed = F.expr("transform(bands, (x, i) -> struct(x as key, bands[(i + 1) % size(bands)] as next_key))")
-    banded = kept(nodes.select("node", F.explode(keyed).alias("x")).select("node", "x.key", "x.next_key"))
+    keyed = F.expr("transform(bands, (x, i) -> struct(i as band, x as key, bands[(i + 1) % size(bands)] as next_key))")
+    banded = kept(_only(signed, nodes, "bands").select("node", F.explode(keyed).alias("x")).select("node", "x.band", "x.key", "x.next_key"))
     bucket = Window.partitionBy("key").orderBy("next_key", "node")
     placed = banded.select("node", F.first("node").over(bucket).alias("leader"), F.lag("node").over(bucket).alias("neighbour"))
     near = placed.where("neighbour is not null").select("node", F.explode(F.array_distinct(F.array("leader", "neighbour"))).alias("other"))
     tried = kept(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    found = kept(_verified(kept(_by_sketch(tried, nodes, least)), nodes, similarity))
+    likely = kept(_with_both(tried, signed, "sketch").mapInArrow(_agreeing(least), "a long, b long"))
+    found = kept(_with_both(likely, signed, "cells").mapInArrow(_similar(similarity), "a long, b long, similarity double"))
 
+    # of one or two rows a bucket has no pair that was not tried
+    full = kept(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2"))
     label = components(found.select("a", "b")).withColumnRenamed("node", "labelled")
-    rows = banded.select("node", "key").join(label, F.col("node") == F.col("labelled"), "left").select("node", "key", F.coalesce("component", "node").alias("component"))
-    rows = kept(rows)
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 2 and lo <> hi").select("key", "n")
-    rows = rows.join(mixed, "key")
+    rows = banded.select("node", "band", "key").join(full, "key").join(label, F.col("node") == F.col("labelled"), "left")
+    rows = kept(rows.select("node", "band", "key", "n", F.coalesce("component", "node").alias("component")))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     # a bucket of more than BLOCK rows is dealt into blocks, and a group is a pair of blocks
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.join(kept(mixed), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select(
-        "key", "node", "component",
+        "key", "band", "node", "component",
         F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"),
         F.when(F.col("block") == F.col("with"), 3).when(F.col("block") < F.col("with"), 1).otherwise(2).alias("side"),
     )
-    rows = rows.join(nodes.select("node", "sketch"), "node")
+    rows = kept(rows)
+    rows = rows.join(_only(signed, kept(rows.select("node").distinct()), "sketch", "bands", "cells"), "node")
     grouped = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    more = grouped.select("key", "left", "right", "node", "component", "side", "sketch").mapInArrow(_across(least), "a long, b long")
-    more = kept(more.distinct().join(tried, ["a", "b"], "left_anti"))
-    return found.union(_verified(more, nodes, similarity))
+    return found.union(grouped.mapInArrow(_across(least, similarity), "a long, b long, similarity double"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -271,9 +283,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id"))
     texts = worded.groupBy("f1", "f2").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).select("f1", "f2", F.col("first.row_id").alias("node"), F.col("first.doc_id").alias("text_id"), "n")
     texts = kept(texts)
-    firsts = texts.select("node")
-    nodes = kept(worded.join(firsts, worded.row_id == firsts.node).select("node", "sketch", "bands", "cells"))
-    joined = components(kept(links(nodes, similarity)).select("a", "b"))
+    joined = components(kept(links(texts.select("node"), worded.withColumnRenamed("row_id", "node"), similarity)).select("a", "b"))
     classed = texts.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = F.min(F.struct(F.col("text_id").isNull().alias("none"), "text_id", "node"))
     classes = classed.groupBy("component").agg(least.alias("least"), F.sum("n").alias("class_size")).select(

@@ -38,7 +38,7 @@ def corpus(seed=1):
     return texts
 
 
-@pytest.mark.parametrize("block", [1024, 7])
+@pytest.mark.parametrize("block", [512, 7])
 def test_classes_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
     texts = corpus()
