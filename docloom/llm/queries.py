@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, language, minhash, mixing, nearest, quality, sentencepiece_bpe, token_store
+from docloom.llm import exact_dedup, language, minhash, mixing, nearest, quality, sentencepiece_bpe, suffixes, token_store
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_nearest": nearest.op7_nearest,
         "op8_token_store": token_store.op8_token_store,
         "op9_quality": quality.op9_quality,
+        "op10_suffixes": suffixes.op10_suffixes,
     }
 
 
