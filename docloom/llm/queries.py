@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import exact_dedup, language, minhash, mixing, nearest, quality, sentencepiece_bpe, suffixes, token_store
+from docloom.llm import exact_dedup, language, licences, minhash, mixing, nearest, quality, sentencepiece_bpe, suffixes, token_store
 
 
 def queries() -> dict:
     return {
         "op1_minhash": minhash.op1_minhash,
+        "op2_licences": licences.op2_licences,
         "op3_mix_sources": mixing.op3_mix_sources,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_language": language.op5_language,
