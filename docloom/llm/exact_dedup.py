@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import SPACE, kept, small_or_none, steps, table
+from docloom.llm.common import SPACE, kept, rows_that_stay, steps, table
 
 #: Entries of a bucket before it splits; raised so that the directory stays within MAX_DEPTH bits.
 CAPACITY = 512
@@ -33,7 +33,7 @@ MAX_DEPTH = 16
 HELD_BYTES = 48 << 20
 KEY_BITS = 64
 
-ENTRY_SCHEMA = "kind int, entry long, key long, text binary, sha string, chars long, best_doc long, best_row long, n long, row_id long, doc_id long"
+ENTRY_SCHEMA = "kind int, entry long, key long, text binary, sha string, chars long, best_doc long, best_row long, n long, row_id long, doc_id long, text_hash long"
 CHAIN_SCHEMA = "entry long, keep_row long, keep_id long, group_size long, text_sha256 string"
 
 
@@ -64,8 +64,8 @@ def _entries(key_bits: int):
                 key = int.from_bytes(sha[:8], "big", signed=True)
                 if key_bits < KEY_BITS:
                     key &= -1 << (KEY_BITS - key_bits)
-                rows.append((0, eid, key, text, sha.hex(), *best[:2], best[2], n, None, None))
-            rows += [(1, eid, None, None, None, None, None, None, None, r, d) for r, d, eid in members]
+                rows.append((0, eid, key, text, sha.hex(), *best, n, None, None, None))
+            rows += [(1, eid, None, None, None, None, None, None, None, r, d, h) for r, d, h, eid in members]
             local.clear()
             members.clear()
             for i in range(0, len(rows), 2000):
@@ -75,7 +75,7 @@ def _entries(key_bits: int):
             for part in steps(batch):
                 texts = part.column("text").cast(pa.large_binary())
                 chars = pc.fill_null(pc.utf8_length(part.column("text")), 0).to_pylist()
-                for text, c, doc in zip(texts, chars, part.column("doc_id").to_pylist(), strict=True):
+                for text, c, doc, text_hash in zip(texts, chars, part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist(), strict=True):
                     norm = (text.as_py() or b"").translate(None, SPACE)
                     mine = (c, doc, row)
                     if (old := local.get(norm)) is None:
@@ -85,7 +85,7 @@ def _entries(key_bits: int):
                     elif _better(mine, old[1]):
                         old[1] = mine
                     old[2] += 1
-                    members.append((row, doc, old[0]))
+                    members.append((row, doc, text_hash, old[0]))
                     row += 1
                 if held > HELD_BYTES or len(members) > 500_000:
                     yield from flush()
@@ -156,7 +156,7 @@ def _chains(batches):
 
 
 def duplicates(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, keep_id, group_size, kept, text_sha256; one row a document.
+    """docs(doc_id, text, ...) -> doc_id, keep_id, group_size, kept, text_sha256, text_hash; one row a document.
 
     A null text is the empty text. Of equal texts the row with the most code points stays, then the
     smallest doc_id (a null doc_id is the largest), then, of rows that agree in both, exactly one. Rows
@@ -164,8 +164,8 @@ def duplicates(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BI
     the keys, for tests of chains.
     """
     spark = docs.sparkSession
-    index = kept(docs.select("doc_id", "text").mapInArrow(_entries(key_bits), ENTRY_SCHEMA))
-    entries = index.where("kind = 0").drop("kind", "row_id", "doc_id")
+    index = kept(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_entries(key_bits), ENTRY_SCHEMA))
+    entries = index.where("kind = 0").drop("kind", "row_id", "doc_id", "text_hash")
     prefix = F.shiftrightunsigned("key", KEY_BITS - MAX_DEPTH)
     counts = {r[0]: r[1] for r in entries.groupBy(prefix.alias("prefix")).count().collect()}  # at most 2 ** MAX_DEPTH rows
     depth, slots = directory(counts, max(capacity, sum(counts.values()) >> (MAX_DEPTH - 2)))
@@ -173,29 +173,17 @@ def duplicates(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BI
     slot = F.shiftrightunsigned("key", KEY_BITS - depth) if depth else F.lit(0).cast("long")
     owned = entries.withColumn("slot", slot).join(buckets, "slot").repartition("bucket").sortWithinPartitions("bucket", "key")
     chains = owned.drop("slot", "bucket").mapInArrow(_chains, CHAIN_SCHEMA)
-    members = index.where("kind = 1").select("row_id", "doc_id", "entry")
-    return members.join(chains, "entry").select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
+    members = index.where("kind = 1").select("row_id", "doc_id", "text_hash", "entry")
+    return members.join(chains, "entry").select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256", "text_hash")
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Texts move only if the ids to drop are too many to broadcast."""
-    found = kept(duplicates(docs))
-    gone = found.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("rows_of_id")).where("not stays or rows_of_id > 1")
-    gone = kept(gone.withColumnRenamed("doc_id", "gone_id"))
-    once = docs.join(small_or_none(gone.select("gone_id")), docs.doc_id.eqNullSafe(F.col("gone_id")), "left_anti")
-    again = gone.where("stays")  # ids that several rows share: of each, the rows whose text stays, once
-    if again.isEmpty():
-        return once
-    rows = docs.join(again.select("gone_id"), docs.doc_id.eqNullSafe(F.col("gone_id")), "left_semi")
-    sha = F.sha2(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]", ""), 256)
-    stay = found.where("kept").select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha"))
-    rows = rows.withColumn("stay_text", sha).join(stay, docs.doc_id.eqNullSafe(F.col("stay_id")) & (F.col("stay_text") == F.col("stay_sha")), "left_semi")
-    best = Window.partitionBy("doc_id", "stay_text").orderBy(F.length("text").desc_nulls_last())
-    return once.unionByName(rows.withColumn("stay_rank", F.row_number().over(best)).where("stay_rank = 1").select(*docs.columns))
+    """The rows of docs that stay, with all their columns."""
+    return rows_that_stay(docs, kept(duplicates(docs).select("doc_id", "text_hash", F.col("kept").alias("stays"))))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates(table(spark, sf_dir, "documents"))
+    return duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP4_SQL = r"""

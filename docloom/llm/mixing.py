@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def sampled_copies(docs: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
-    """docs(doc_id, source, size), targets(source, source_size, target) -> docs with taken words and copies."""
+    """docs(doc_id, source, size, ...), targets(source, source_size, target) -> docs with taken words and copies."""
     counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("source_rows"))
     rates = (
         targets.join(counts, targets.source.eqNullSafe(counts.source)).drop(counts.source)
@@ -79,24 +79,36 @@ def sampled_copies(docs: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
     end = F.col("bucket_start") + F.sum("expected").over(in_bucket) + F.col("offset")
     crossed = F.expr(f"end div {UNIT}") - F.expr(f"(end - expected) div {UNIT}")
     return joined.withColumn("end", end).withColumn("copies", crossed).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        *docs.columns, "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """docs(doc_id, source, text, ...) -> doc_id, source, size, source_size, target, copies, taken.
+    """docs(doc_id, source, text, ...) -> doc_id, source, size, text_hash, source_size, target, copies, taken.
 
     A null text has size 0; a null source is a source of its own, the last; a source without words has
     target 0 and gives nothing; equal doc_ids are rows of their own. An empty table gives an empty one.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = kept(docs.select("doc_id", "source", size.alias("size")))
+    sized = kept(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("text_hash")))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     return sampled_copies(sized, kept(source_targets(sizes)), seed)
 
 
+def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it."""
+    copies = mix(docs, seed).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies_"), F.count(F.lit(1)).alias("rows_"))
+    copies = copies.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "copies_", "rows_").where("copies_ > 0")
+    copies = kept(copies)
+    hashed = docs.withColumn("text_hash_", F.xxhash64("text"))
+    taken = hashed.join(copies, hashed.doc_id.eqNullSafe(F.col("id_")) & (F.col("text_hash_") == F.col("hash_")))
+    if not copies.where("rows_ > 1").isEmpty():  # equal rows: one of them stands for all
+        taken = taken.where("rows_ = 1").unionByName(taken.where("rows_ > 1").dropDuplicates(["doc_id", "text_hash_"]))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies_")).alias("copy_")).drop("copy_")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mix(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 OP3_SQL = f"""

@@ -26,13 +26,13 @@ def test_against_brute_force(spark, key_bits):
     texts = ["", None, " ", "a b", "ab", "a b", "x" * 200_000, "é\n\tà", "éà  "] + ["".join(rng.choices("ab \n", k=rng.randint(0, 6))) for _ in range(400)]
     rows = [(i, t, "clash", 7) for i, t in enumerate(texts + ["hot copy"] * 300)]
     got = exact_dedup.duplicates(spark.createDataFrame(rows, SCHEMA).repartition(5), capacity=4, key_bits=key_bits)
-    assert sorted(map(tuple, got.collect())) == brute(rows)
+    assert sorted(map(tuple, got.drop("text_hash").collect())) == brute(rows)
 
 
 def test_rows_that_stay(spark):
     rows = [(1, "a b", "x", 1), (1, "a b", "x", 1), (1, "c", "x", 1), (2, "ab ", "y", 2), (3, "c", "y", 2), (None, "c", "z", 3), (4, None, "z", 3), (5, "", "z", 3)]
     out = exact_dedup.without_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted((r.doc_id, r.text) for r in out) == sorted([(1, "a b"), (1, "c"), (4, None)], key=str) or len(out) == 3
+    assert sorted((r.doc_id, r.text) for r in out) == sorted([(1, "a b"), (1, "c"), (4, None)], key=str)
     assert exact_dedup.without_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
