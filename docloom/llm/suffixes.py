@@ -42,7 +42,10 @@ OWNER_BYTES, RUN_BYTES = 4 << 20, 24 << 20
 STRINGS = 1_000_000
 LAST = (1 << 63) - 1
 
-ANCHORS = "h long, known boolean, tid binary, packed long"
+#: t8: a hash of the text's key. Texts that share one get each other's anchors too, which costs work and changes nothing.
+ANCHORS = "h long, known boolean, t8 long, packed long"
+#: In place of an anchor: a bare hash.
+BARE = -1
 
 
 def _pack(place: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -82,35 +85,29 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
 
 def _find_anchors(batches):
     """Rows of texts -> anchors that the task has once, one bare hash for each that it has more often, and these as known."""
-    schema = pa.schema([("h", pa.int64()), ("known", pa.bool_()), ("tid", pa.binary()), ("packed", pa.int64())])
-    h, tid, packed = [], [], []
+    schema = pa.schema([("h", pa.int64()), ("known", pa.bool_()), ("t8", pa.int64()), ("packed", pa.int64())])
+    h, t8, packed = [], [], []
 
     def flush():
-        hashes = np.concatenate(h) if h else np.zeros(0, np.int64)
-        tids = pa.concat_arrays(tid) if tid else pa.array([], pa.binary())
-        places = np.concatenate(packed) if packed else np.zeros(0, np.int64)
-        h.clear(), tid.clear(), packed.clear()
+        hashes, keys, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, t8, packed))
+        h.clear(), t8.clear(), packed.clear()
         order = np.argsort(hashes, kind="stable")
-        hashes, places = hashes[order], places[order]
+        hashes, keys, places = hashes[order], keys[order], places[order]
         new = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
         often = ~new | np.r_[~new[1:], False] if len(hashes) else new
-        tids = tids.take(pa.array(order))
         # known anchors are dealt by a hash of their place, for they may be very many of one kind
-        spread = np.where(often, mix64(places.view(np.uint64) ^ np.arange(len(places), dtype=np.uint64)).view(np.int64), hashes)
-        for i in range(0, len(hashes), 100_000):
-            s = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(spread[s]), pa.array(often[s]), tids[s], pa.array(places[s])], schema=schema)
+        spread = np.where(often, mix64(places.view(np.uint64) ^ keys.view(np.uint64)).view(np.int64), hashes)
         marks = hashes[new & often]
-        for i in range(0, len(marks), 100_000):
-            some = marks[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.zeros(len(some), bool)), pa.nulls(len(some), pa.binary()), pa.array(np.zeros(len(some), np.int64))], schema=schema)
+        out = [np.r_[spread, marks], np.r_[often, np.zeros(len(marks), bool)], np.r_[keys, np.zeros(len(marks), np.int64)], np.r_[places, np.full(len(marks), BARE)]]
+        for i in range(0, len(out[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in out], schema=schema)
 
     for batch in batches:
         for part in steps(batch):
             data, offsets = text_buffers(part.column("text"))
             doc, place, lo, hi, hashes = anchors(data, offsets)
             h.append(hashes)
-            tid.append(part.column("tid").take(pa.array(doc)))
+            t8.append(part.column("t8").to_numpy()[doc])
             packed.append(_pack(place - offsets[:-1][doc], lo, hi))
         if sum(map(len, h)) > 2_000_000:
             yield from flush()
@@ -119,7 +116,7 @@ def _find_anchors(batches):
 
 def _repeated(batches):
     """Anchors sorted by hash -> those that are known or whose hash stands twice."""
-    schema = pa.schema([("tid", pa.binary()), ("packed", pa.int64())])
+    schema = pa.schema([("t8", pa.int64()), ("packed", pa.int64())])
     held = None
     for batch in batches:
         if held is not None and held.num_rows:
@@ -144,9 +141,8 @@ def _of_hashes(batch, schema, all_=False):
         h, known = batch.column("h").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False)
         same = np.r_[False, h[1:] == h[:-1]]
         good = known | same | np.r_[same[1:], False] | all_
-        good &= batch.column("tid").is_valid().to_numpy(zero_copy_only=False)
-        mask = pa.array(good)
-        yield pa.RecordBatch.from_arrays([batch.column("tid").filter(mask), batch.column("packed").filter(mask)], schema=schema)
+        mask = pa.array(good & (batch.column("packed").to_numpy() != BARE))
+        yield pa.RecordBatch.from_arrays([batch.column("t8").filter(mask), batch.column("packed").filter(mask)], schema=schema)
 
 
 # -- runs: front-coded blocks
@@ -217,6 +213,8 @@ def _send(owners: int):
                 data = text.encode()
                 for packed in places:
                     place, lo, hi = packed >> 16, packed >> 8 & 255, packed & 255
+                    if place < hi or place - lo + LENGTH > len(data):
+                        continue  # of another text with the same t8
                     entries.append((data[place : place - lo + LENGTH], data[place - hi : place], lo, LAST if doc is None else doc, tid, place))
                 held += 140 * len(places)
                 if held > RUN_BYTES:
@@ -413,7 +411,7 @@ def _cut(batches):
             rows = []
             for doc, tid, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "tid", "text", "spans")), strict=True):
                 data = text.encode()
-                joined = _joined_spans([(s["start"], s["stop"]) for s in spans or ()])
+                joined = _joined_spans([(s["start"], s["stop"]) for s in spans or () if s["tid"] == tid])
                 stay, at = [], 0
                 for a, b in joined:
                     stay.append(data[at:a])
@@ -445,14 +443,15 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
         originals = originals.dropDuplicates(["tid"])
     total = rows.agg(F.sum(F.col("n_bytes") * F.col("n"))).first()[0] or 0
     owners = max(16, total // OWNER_BYTES)
-    by_text = originals.repartition("tid")
+    keyed = originals.withColumn("t8", F.xxhash64("tid")).where("t8 is not null")  # the inner join's filter, so that both joins share one exchange
+    by_text = keyed.repartition("t8")
 
-    found = originals.select("tid", "text").mapInArrow(_find_anchors, ANCHORS).repartition("h").sortWithinPartitions("h")
-    places = found.mapInArrow(_repeated, "tid binary, packed long").groupBy("tid").agg(F.collect_list("packed").alias("places"))
-    sent = by_text.join(places, "tid").select("tid", "doc_id", "text", "places").mapInArrow(_send(owners), SENT)
+    found = keyed.select("t8", "text").mapInArrow(_find_anchors, ANCHORS).repartition("h").sortWithinPartitions("h")
+    places = found.mapInArrow(_repeated, "t8 long, packed long").groupBy("t8").agg(F.collect_list("packed").alias("places"))
+    sent = by_text.join(places, "t8").select("tid", "doc_id", "text", "places").mapInArrow(_send(owners), SENT)
     gone = sent.repartition("owner").sortWithinPartitions("kind", "owner", "run").mapInArrow(_merge, "tid binary, start long, stop long")
-    spans = gone.groupBy("tid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    cut = by_text.join(spans, "tid", "left").select("doc_id", "tid", "text", "spans")
+    spans = gone.groupBy(F.xxhash64("tid").alias("t8")).agg(F.collect_list(F.struct("tid", "start", "stop")).alias("spans"))
+    cut = by_text.join(spans, "t8", "left").select("doc_id", "tid", "text", "spans")
     cut = cut.mapInArrow(_cut, f"doc_id long, tid binary, {RESULT.partition(', ')[2]}, kept_bytes binary")
 
     columns = [x.split()[0] for x in RESULT.split(", ")] + ["kept_bytes"] * with_bytes
