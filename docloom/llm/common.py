@@ -13,11 +13,22 @@ from pyspark.sql import functions as F
 SPACE = b" \t\n\x0b\x0c\r"
 #: Text bytes that one numpy step works on; bounds a Python worker's memory.
 STEP_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker; bounds the memory of both.
+BATCH_BYTES = 8 << 20
 #: Rows up to which a table counts as small enough to broadcast.
 SMALL_ROWS = 200_000
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES: documents are long, and some are very long."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "-1").rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 def kept(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and survives the loss of executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = shared_dir(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
