@@ -22,8 +22,7 @@ SMALL_ROWS = 200_000
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to BATCH_BYTES: documents are long, and some are very long."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.conf.get(key, "-1").rstrip("b")
-    if not now.isdigit() or int(now) > BATCH_BYTES:
+    if int(spark.conf.get(key).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
