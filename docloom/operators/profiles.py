@@ -54,6 +54,84 @@ def profile_violations(profiles: DataFrame, sources: DataFrame, rules: DataFrame
     return reduce(DataFrame.unionByName, each)
 
 
+def approval_violations(profiles: DataFrame, conflicts: DataFrame, questions: DataFrame, rules: DataFrame) -> DataFrame:
+    """What an approved profile may not have: open conflicts, blocking questions without an answer, draft rules."""
+    approved = profiles.where("approval_status = 'approved'").select("profile_id")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    found = [
+        conflicts.where("status = 'open'").select("profile_id", F.concat(F.lit("open_conflict:"), "id").alias("violation")),
+        questions.where(F.col("blocking") & blank(F.col("answer"))).select("profile_id", F.concat(F.lit("unanswered_question:"), "id").alias("violation")),
+        rules.where("status = 'draft'").select("profile_id", F.concat(F.lit("draft_rule:"), "id").alias("violation")),
+    ]
+    return reduce(DataFrame.unionByName, found).join(approved, "profile_id", "left_semi")
+
+
+def policy_violations(profiles: DataFrame) -> DataFrame:
+    """profiles(profile_id, schema_version, runtime_policy, source_precedence): what version 1.1 asks for."""
+    older = F.col("schema_version") != "1.1"
+    return violations(
+        profiles, "profile_id",
+        {
+            "caller_requirements_not_highest": older | F.col("runtime_policy.caller_requirements_highest"),
+            "equations_not_editable": older | F.col("runtime_policy.editable_equations_required"),
+            "formula_images_not_blocked": older | (F.col("runtime_policy.formula_image_policy") == "block"),
+            "user_requirement_not_first": older | (F.try_element_at("source_precedence", F.lit(1)) == "user_requirement"),
+        },
+    )
+
+
+def caption_rule_violations(rules: DataFrame, props: DataFrame) -> DataFrame:
+    """Of caption rules, values that are out of range, and renumbering of manual text."""
+    keys = ["numbering_mode", "domain_context", "preserve_identifier", "allow_automatic_renumbering", "preserve_table_cell_caption_position"]
+    wide = props.groupBy("profile_id", "rule_id").pivot("key", keys).agg(F.first("value"))
+    captions = rules.where("selector_kind = 'caption_role'").select("profile_id", F.col("id").alias("rule_id"))
+    joined = captions.join(wide, ["profile_id", "rule_id"]).withColumn("rule", F.struct("profile_id", "rule_id"))
+    flag = lambda c: F.col(c).isNull() | F.col(c).isin("true", "false")
+    found = violations(
+        joined, "rule",
+        {
+            "numbering_mode": F.col("numbering_mode").isNull() | F.col("numbering_mode").isin("manual_text", "seq_field"),
+            "domain_context": F.col("domain_context").isNull() | F.col("domain_context").isin("general", "architecture", "civil_engineering", "mixed", "unknown"),
+            **{c: flag(c) for c in keys[2:]},
+            "renumbers_manual_text": ~(F.coalesce("numbering_mode", F.lit("")).eqNullSafe("manual_text") & F.coalesce(F.col("allow_automatic_renumbering") == "true", F.lit(False))),
+        },
+    )
+    return found.select("rule.profile_id", F.concat("violation", F.lit(":"), "rule.rule_id").alias("violation"))
+
+
+def map_violations(maps: DataFrame) -> DataFrame:
+    """maps as sources.rules.maps() reads them -> map_id, violation: what keeps a map from being applied, before it meets its document."""
+    semantic = F.col("schema_version").isin(K.SEMANTIC_MAP_VERSIONS)
+    none = lambda column, bad: ~F.exists(F.coalesce(column, F.array()), bad)
+    on = lambda x: F.coalesce(x["approved"], F.lit(False))
+    caps, second = F.col("captions"), F.col("schema_version") == "1.2"
+    among = lambda x, c, *values: F.coalesce(x[c].isin(*values), F.lit(False))
+    lacks = lambda x, *fields: reduce(lambda a, b: a | b, [x[f].isNull() for f in fields])
+    act = lambda x, name: on(x) & F.coalesce(x["action"] == name, F.lit(False))
+    moved = lambda x: F.coalesce(x["migrate_outside_table"], F.lit(False))
+    return violations(
+        maps, "map_id",
+        {
+            "version": F.col("schema_version").isin(K.MAP_VERSIONS),
+            "not_approved": F.col("status") == "approved",
+            "conflicts": F.size(F.coalesce("conflicts", F.array())) == 0,
+            "unknown_role_approved": ~semantic | none(F.col("paragraph_roles"), lambda x: on(x) & (x["role"] == "unknown")),
+            "role_without_place": ~semantic | none(F.col("paragraph_roles"), lambda x: lacks(x, "locator", "text_sha256")),
+            "incomplete_caption": (F.col("schema_version") != "1.1") | none(caps, lambda x: on(x) & ~(among(x, "completeness", "complete") & among(x, "hierarchy_status", "match", "accepted"))),
+            "caption_action": ~second | none(caps, lambda x: on(x) & ~among(x, "action", *K.CAPTION_ACTIONS)),
+            "caption_numbering": ~second | none(caps, lambda x: on(x) & ~among(x, "numbering_mode", "manual_text", "seq_field")),
+            "caption_semantics": ~second | none(caps, lambda x: on(x) & ~among(x, "identifier_semantics", "publication_number", "drawing_mark", "mixed", "unknown")),
+            "caption_domain": ~second | none(caps, lambda x: on(x) & ~(among(x, "domain_context", "general", "architecture", "civil_engineering", "mixed", "unknown") & among(x, "domain_confidence", "high", "medium", "low"))),
+            "relocation_without_move": ~second | none(caps, lambda x: on(x) & moved(x) & ~among(x, "action", "move_caption")),
+            "replacement_incomplete": ~second | none(caps, lambda x: act(x, "replace_identifier") & (lacks(x, "identifier_span", "identifier_sha256", "identifier_prefix_sha256", "identifier_suffix_sha256", "title_text_sha256", "title_span_start", "replacement_identifier") | ~F.coalesce(x["replacement_confirmed"], F.lit(False)) | ~among(x, "numbering_mode", "manual_text"))),
+            "sequence_incomplete": ~second | none(caps, lambda x: act(x, "convert_to_seq") & (lacks(x, "heading_level", "cached_hierarchy", "cached_sequence", "sequence_name") | ~among(x, "numbering_mode", "seq_field") | ~among(x, "hierarchy_status", "match", "accepted"))),
+            "move_incomplete": ~second | none(caps, lambda x: act(x, "move_caption") & (~moved(x) | ~among(x, "numbering_mode", "manual_text"))),
+            "chapter_start": ~semantic | ~F.coalesce("numbering.approved", F.lit(False)) | (F.col("numbering.chapter_start") >= 1),
+            "open_anomalies": ~semantic | ~F.coalesce("numbering.approved", F.lit(False)) | none(F.col("numbering.anomalies"), lambda x: F.coalesce(x["status"], F.lit("open")) != "accepted"),
+        },
+    )
+
+
 def caption_violations(captions: DataFrame) -> DataFrame:
     """captions(entry_id, approved, action, identifier_sha256, replacement_identifier, title_text_sha256, hierarchy, sequence, text_sha256)."""
     approved = F.col("approved")
