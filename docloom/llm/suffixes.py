@@ -185,8 +185,9 @@ def _send(owners: int):
             for e in entries:
                 suffix, left, lo, doc, tid, place = e
                 if last is not None and suffix == last[0] and left == last[1] and lo == last[2]:
-                    # the same bytes stand in an earlier place of this run: all strings of this anchor go
-                    out.append((1, _owner_of_span(tid), 0, tid, None, place - len(left), place - lo + LENGTH))
+                    # the same bytes stand in an earlier place of this run: all strings of this anchor go;
+                    # the spans of one text are dealt apart, for they may be very many
+                    out.append((1, int.from_bytes(tid[:7], "little") + place, 0, tid, None, place - len(left), place - lo + LENGTH))
                     continue
                 last = e
                 owner = int.from_bytes(hashlib.blake2b(suffix[:SEED], digest_size=6).digest(), "little") % owners
@@ -225,10 +226,6 @@ def _send(owners: int):
     return run
 
 
-def _owner_of_span(tid: bytes) -> int:
-    return int.from_bytes(tid[:7], "little")
-
-
 def read_block(block: bytes):
     """The entries of a block in order: (common prefix, suffix, bytes before, least reach, doc_id, tid, place)."""
     at, suffix, size = 0, b"", HEAD.size
