@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Whitespace of the package's word and text rules: space and the bytes 9 to 13.
 SPACE = b" \t\n\x0b\x0c\r"
 #: Text bytes that one numpy step works on; bounds a Python worker's memory.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and a Python worker; bounds the memory of both.
 BATCH_BYTES = 8 << 20
 #: Rows up to which a table counts as small enough to broadcast.

@@ -30,7 +30,7 @@ CAPACITY = 512
 #: Bits of the key that the directory can use. A bucket that is still overfull is chained longer.
 MAX_DEPTH = 16
 #: Bytes of texts that a map task holds before it writes its entries and starts anew.
-HELD_BYTES = 48 << 20
+HELD_BYTES = 24 << 20
 KEY_BITS = 64
 
 ENTRY_SCHEMA = "kind int, entry long, key long, text binary, sha string, chars long, best_doc long, best_row long, n long, row_id long, doc_id long, text_hash long"

@@ -24,7 +24,7 @@ from docloom.llm.common import steps, table
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words in each of the two generations that a worker remembers; the older goes when the younger is full.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 100_000
 #: A longer word is merged by a heap, since a round merges one pair of a word.
 LONG_WORD = 96
 NO_RANK = 1 << 40
