@@ -306,4 +306,20 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+#: By all pairs that share a shingle; for small tables.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM w WHERE len(w) > 0)),
+u AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id, s) AS nth FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM u GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM u a JOIN u b ON a.s = b.s AND a.nth = b.nth AND a.doc_id < b.doc_id GROUP BY ALL),
+j AS (SELECT a, b, common / (x.n + y.n - common) AS j FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id),
+e AS (SELECT a, b FROM j WHERE j >= 0.8 UNION ALL SELECT b, a FROM j WHERE j >= 0.8),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+k AS (SELECT doc_id, min(other) AS class_id FROM r GROUP BY doc_id),
+t AS (SELECT b AS doc_id, min(a) AS text_id FROM j WHERE j = 1 GROUP BY b)
+SELECT k.doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, coalesce(text_id, k.doc_id) AS text_id, k.doc_id = class_id AS kept FROM k LEFT JOIN t USING (doc_id)
+"""

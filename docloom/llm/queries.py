@@ -21,4 +21,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": mixing.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
+    """The others are models, tokenizers or an approximate search; tests hold them against brute force, libraries or held-out rows."""
+    return {"op1_minhash": minhash.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op10_suffixes": suffixes.OP10_SQL}
