@@ -37,13 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, *partition_by: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, and survives the loss of executors."""
+def kept(df: DataFrame, codec: str = "snappy") -> DataFrame:
+    """Write to the shared folder and read back: cuts the lineage, and survives the loss of executors.
+
+    ``zstd`` is for tables of texts; for the many narrow ones its native memory costs more than it saves.
+    """
     spark = df.sparkSession
     bound_batches(spark)
     path = shared_dir(spark)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -164,7 +164,7 @@ def duplicates(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BI
     the keys, for tests of chains.
     """
     spark = docs.sparkSession
-    index = kept(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_entries(key_bits), ENTRY_SCHEMA))
+    index = kept(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_entries(key_bits), ENTRY_SCHEMA), "zstd")
     entries = index.where("kind = 0").drop("kind", "row_id", "doc_id", "text_hash")
     prefix = F.shiftrightunsigned("key", KEY_BITS - MAX_DEPTH)
     counts = {r[0]: r[1] for r in entries.groupBy(prefix.alias("prefix")).count().collect()}  # at most 2 ** MAX_DEPTH rows

@@ -106,7 +106,7 @@ def _sign(batches):
     )
     row_id = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for part in steps(batch, step_bytes=1 << 20):
+        for part in steps(batch, step_bytes=1 << 18):
             n = part.num_rows
             doc, cells = cells_of(*text_buffers(part.column("text")))
             value = signatures(doc, cells, n)

@@ -101,7 +101,8 @@ def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     copies = copies.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "copies_", "rows_").where("copies_ > 0")
     copies = kept(copies)
     hashed = docs.withColumn("text_hash_", F.xxhash64("text"))
-    taken = hashed.join(copies, hashed.doc_id.eqNullSafe(F.col("id_")) & (F.col("text_hash_") == F.col("hash_")))
+    # copies has a row for about every document, so it is never a side to broadcast
+    taken = hashed.join(copies.hint("merge"), hashed.doc_id.eqNullSafe(F.col("id_")) & (F.col("text_hash_") == F.col("hash_")))
     if not copies.where("rows_ > 1").isEmpty():  # equal rows: one of them stands for all
         taken = taken.where("rows_ = 1").unionByName(taken.where("rows_ > 1").dropDuplicates(["doc_id", "text_hash_"]))
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies_")).alias("copy_")).drop("copy_")
