@@ -241,7 +241,7 @@ def write_store(docs: DataFrame, folder: str, path: str | None = None) -> str:
     segments = max(1, -(-rows // max(DOCS_PER_SEGMENT, rows // MOST_SEGMENTS)))
     order = [F.col("doc_id").asc_nulls_last(), F.col("row_id")]
     ordered = recipes.repartitionByRange(segments, *order).sortWithinPartitions(*order).mapInArrow(_segments, RECIPES)
-    ordered.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/recipes")
+    ordered.write.partitionBy("kind").option("compression", "snappy").parquet(f"{folder}/recipes")
     return folder
 
 
