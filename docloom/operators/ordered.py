@@ -16,20 +16,23 @@ def numbering_anomalies(headings: DataFrame) -> DataFrame:
     Of a number seen before: duplicate_number; whose parent was not seen before: missing_parent; that does
     not follow its sibling before it: sequence_gap. The sibling is the one observed, right or wrong.
     """
-    h = headings.where(F.size("number") > 0).withColumn("parent", F.slice("number", 1, F.size("number") - 1)).withColumn("last", F.element_at("number", -1))
-    of_number = Window.partitionBy("doc_id", "number").orderBy("pos")
-    of_parent = Window.partitionBy("doc_id", "parent").orderBy("pos")
-    h = h.withColumn("nth", F.row_number().over(of_number)).withColumn("sibling", F.lag("last").over(of_parent))
-    firsts = h.where("nth = 1").select(F.col("doc_id").alias("d"), F.col("number").alias("p"), F.col("pos").alias("first_pos"))
-    h = h.join(firsts, (h.doc_id == firsts.d) & (h.parent == firsts.p), "left")
-    expected = F.coalesce(F.col("sibling") + 1, F.lit(1))
-    deep = F.size("number") > 1
+    # A heading stands twice: under its own number, and under its parent's as a child. Rows under one number,
+    # in order, then show all three faults at once: one scan, one shuffle, one window order.
+    h = headings.where(F.size("number") > 0)
+    parent = F.slice("number", 1, F.size("number") - 1)
+    roles = F.array(F.struct(F.col("number").alias("under"), F.lit(False).alias("child")), F.struct(parent.alias("under"), F.lit(True).alias("child")))
+    rows = h.select("doc_id", "pos", "number", F.explode(roles).alias("x")).select("doc_id", "pos", "number", "x.under", "x.child")
+    before = Window.partitionBy("doc_id", "under").orderBy("pos").rowsBetween(*BEFORE)
+    rows = rows.withColumn("seen", F.coalesce(F.count_if(~F.col("child")).over(before), F.lit(0)))
+    rows = rows.withColumn("sibling", F.last(F.when(F.col("child"), F.element_at("number", -1)), ignorenulls=True).over(before))
+    deep, expected = F.col("child") & (F.size("number") > 1), F.coalesce(F.col("sibling") + 1, F.lit(1))
+    nothing = F.lit(None).cast("int").alias("expected_last")
     found = F.array(
-        F.when(F.col("nth") > 1, F.struct(F.lit("duplicate_number").alias("kind"), F.lit(None).cast("int").alias("expected_last"))),
-        F.when(deep & ~F.coalesce(F.col("first_pos") < F.col("pos"), F.lit(False)), F.struct(F.lit("missing_parent").alias("kind"), F.lit(None).cast("int").alias("expected_last"))),
-        F.when(deep & (F.col("last") != expected), F.struct(F.lit("sequence_gap").alias("kind"), expected.alias("expected_last"))),
+        F.when(~F.col("child") & (F.col("seen") > 0), F.struct(F.lit("duplicate_number").alias("kind"), nothing)),
+        F.when(deep & (F.col("seen") == 0), F.struct(F.lit("missing_parent").alias("kind"), nothing)),
+        F.when(deep & (F.element_at("number", -1) != expected), F.struct(F.lit("sequence_gap").alias("kind"), expected.alias("expected_last"))),
     )
-    return h.select("doc_id", "pos", "number", F.explode(F.array_compact(found)).alias("x")).select("doc_id", "pos", "number", "x.kind", "x.expected_last")
+    return rows.select("doc_id", "pos", "number", F.explode(F.array_compact(found)).alias("x")).select("doc_id", "pos", "number", "x.kind", "x.expected_last")
 
 
 def nearby(lines: DataFrame, reach: int = 2) -> DataFrame:
