@@ -21,6 +21,10 @@ from docloom.llm.common import kept, mix64, steps, table, text_buffers
 
 #: About how many documents the regression is fitted on, and the groups that fit it.
 TRAIN_DOCS, SHARDS, EPOCHS = 12_000, 16, 2
+#: A language has all its documents in the sample up to so many, whatever share of the corpus they are.
+LEAST_OF_LANG = 1_000
+#: A language with fewer documents to fit on than this for each shard is fitted in every shard.
+LEAST_OF_SHARD = 8
 #: Hashed features.
 FEATURES = 1 << 15
 #: Follow-the-regularised-leader: step size, its offset, and the weights of both penalties.
@@ -151,12 +155,12 @@ class Model:
         return weighted(found, n, self.idf) @ self.weights[found] + self.weights[-1]
 
 
-def best_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of the least mean cost, on a fine grid of powers."""
+def best_temperature(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> float:
+    """The temperature of the least (weighted) mean cost, on a fine grid of powers."""
     if not len(labels):
         return 1.0
     grid = 2.0 ** np.linspace(-5, 3, 161)
-    cost = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(labels)), labels], 1e-300)).mean() for t in grid]
+    cost = [np.average(-np.log(np.maximum(softmax(logits / t)[np.arange(len(labels)), labels], 1e-300)), weights=weights) for t in grid]
     return float(grid[int(np.argmin(cost))])
 
 
@@ -190,6 +194,18 @@ def fold() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3
 
 
+def rates(of_lang: dict[str, int], most: int = TRAIN_DOCS) -> dict[str, float]:
+    """Documents by language -> the share of each language to sample: the flat one, or more for LEAST_OF_LANG documents."""
+    flat = min(1.0, most / max(sum(of_lang.values()), 1))
+    return {lang: max(flat, min(1.0, LEAST_OF_LANG / n)) for lang, n in of_lang.items()}
+
+
+def shift(true: np.ndarray, fitted: np.ndarray) -> np.ndarray:
+    """What to add to the intercepts of a model fitted on ``fitted`` rows of each language where the corpus has ``true`` ones."""
+    ratio = np.log(np.maximum(true, 1)) - np.log(np.maximum(fitted, 1))
+    return ratio - ratio.max(initial=-np.inf) if len(ratio) else ratio
+
+
 def fit(learn: DataFrame, most: int = TRAIN_DOCS) -> Model:
     """learn(doc_id, text, lang) -> the model. What reaches the driver is a number a feature and language, and the calibration part's logits."""
     frequencies = learn.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toPandas()
@@ -198,20 +214,32 @@ def fit(learn: DataFrame, most: int = TRAIN_DOCS) -> Model:
     seen = np.zeros(FEATURES, np.int64)
     seen[frequencies["feature"].to_numpy()] = frequencies["n"].to_numpy()
     idf = np.log((1 + total) / (1 + seen)) + 1
-    langs = sorted(r["lang"] for r in learn.select("lang").distinct().collect())
+    of_lang = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(of_lang)
     if not langs:
         return Model([], idf, np.zeros((FEATURES + 1, 0)))
     order = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30))
-    sample = learn.withColumn("order_", order).where(F.col("order_") < int((1 << 30) * min(1.0, most / max(total, 1))))
+    bounds = learn.sparkSession.createDataFrame([(lang, int((1 << 30) * r)) for lang, r in rates(of_lang, most).items()], "lang_ string, below_ long")
+    sample = learn.withColumn("order_", order).join(F.broadcast(bounds), F.col("lang") == F.col("lang_")).where(F.col("order_") < F.col("below_"))  # bounds: a row a language
     sample = kept(sample.select("doc_id", "text", "lang", "order_", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(CALIBRATE * SHARDS)).alias("part")))
-    train = sample.where(F.col("part") >= SHARDS).withColumn("shard", F.col("part") % SHARDS)
+    sampled = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a rare language goes to every shard, and one of very few documents has none to spare for the calibration
+    few = F.col("lang").isin([lang for lang in langs if sampled.get(lang, 0) < 2 * CALIBRATE])
+    rare = F.col("lang").isin([lang for lang in langs if sampled.get(lang, 0) < LEAST_OF_SHARD * SHARDS])
+    shards = F.when(rare, F.sequence(F.lit(0), F.lit(SHARDS - 1))).otherwise(F.array((F.col("part") % SHARDS).cast("int")))
+    train = sample.where(few | (F.col("part") >= SHARDS)).withColumn("shard", F.explode(shards))
     fitted = train.groupBy("shard").applyInPandas(lambda group: _fit_shard(group, idf, langs), "feature long, lang_id long, w double")
-    averaged = fitted.groupBy("feature", "lang_id").agg((F.sum("w") / SHARDS).alias("w")).toPandas()
+    averaged = fitted.groupBy("feature", "lang_id").agg((F.sum("w") / max(train.select("shard").distinct().count(), 1)).alias("w")).toPandas()
     weights = np.zeros((FEATURES + 1, len(langs)))
     weights[averaged["feature"].to_numpy(np.int64), averaged["lang_id"].to_numpy(np.int64)] = averaged["w"].to_numpy()
+    # intercepts by the true shares: the sample has rare languages more often than the corpus
+    seen_as = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weights[-1] += shift(np.array([of_lang[x] for x in langs], float), np.array([seen_as.get(x, 0) for x in langs], float))
     model = Model(langs, idf, weights)
-    rest = sample.where(F.col("part") < SHARDS).select("lang", "text").mapInArrow(partial(_logits, model=model), "lang string, logits array<double>").where("logits is not null").collect()
-    model.temperature = best_temperature(np.array([r["logits"] for r in rest]).reshape(-1, len(langs)), np.array([langs.index(r["lang"]) for r in rest], np.int64))
+    rest = sample.where(~few & (F.col("part") < SHARDS)).select("lang", "text").mapInArrow(partial(_logits, model=model), "lang string, logits array<double>").where("logits is not null").collect()
+    labels = np.array([langs.index(r["lang"]) for r in rest], np.int64)
+    by_share = np.array([of_lang[x] / max(sampled.get(x, 0), 1) for x in langs])[labels]
+    model.temperature = best_temperature(np.array([r["logits"] for r in rest]).reshape(-1, len(langs)), labels, by_share)
     return model
 
 

@@ -46,3 +46,16 @@ def test_nothing_to_learn_from(spark):
     assert language.identify(spark.createDataFrame([], SCHEMA)).count() == 0
     got = language.identify(spark.createDataFrame([(2, "abc", None, "", 1)], SCHEMA)).collect()
     assert (got[0].lang_pred, got[0].score) == ("und", 0.0)
+
+
+def test_a_rare_language_is_sampled_whole(spark):
+    """One document in 150, with a sample of a tenth of the corpus."""
+    rng = random.Random(6)
+    rows = [(i, prose(rng, lang, 25), lang, "", 1) for i, lang in enumerate(rng.choices(["xx", "yy"], k=6000))]
+    rows += [(10_000 + i, prose(rng, "zz", 25), "zz", "", 1) for i in range(40)]
+    got = language.identify(spark.createDataFrame(rows, SCHEMA).repartition(3), most=600).collect()
+    right = [r.lang_pred == "zz" for r in got if r.doc_id >= 10_000 and r.held_out]
+    assert right and all(right)
+    large = [r.lang_pred != "zz" for r in got if r.doc_id < 10_000 and r.held_out]
+    assert sum(large) / len(large) > 0.995
+    assert language.rates({"xx": 9_000_000, "zz": 500}, 12_000)["zz"] == 1
