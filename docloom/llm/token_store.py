@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import mix64, shared_dir, small_or_none, steps, table
+from docloom.llm.word_cache import WordCache
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 0
@@ -39,8 +40,6 @@ HASH = 16
 #: A cut stands where the hash of the last WINDOW ids has CUT_BITS zero bits.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 8, 64, 2048
 DOCS_PER_SEGMENT = 2048
-#: More rows make larger segments, not more than about this many.
-MOST_SEGMENTS = 1 << 14
 
 STAGED = "kind int, owner long, hash binary, payload binary, n_ids long, doc_id long, row_id long, hashes binary, lengths binary"
 RECIPES = "kind int, segment long, place long, doc_id long, row_id long, n_ids long, start_in_segment long, hashes binary, lengths binary"
@@ -63,55 +62,70 @@ def model_path(path: str | None = None) -> str:
     return public_tokenizers.path(MODEL)
 
 
-#: How a byte-level tokenizer cuts its text (fixed value of that kind of tokenizer).
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _byte_letters() -> dict[str, int]:
-    """The letter by which a byte-level vocabulary file writes each byte."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+#: What is white space to nobody: between such a character and a space every text may be cut.
+CLEAN = re.compile(r"[\w!-~]").match
+#: The letter by which a byte-level vocabulary file writes a space.
+SPACE_LETTER = "\u0120"
 
 
 class Encoder:
     """The ids that the tokenizers library gives with the file at ``path``.
 
-    Merging by the ranks of the file's own vocabulary gives the same ids at four times the library's
-    speed, which the tests and, in every step, one text hold against the library. Texts in which the
-    library finds a special token, and files whose merges are not in the order of their ids, are left to
-    the library itself.
+    All ids come from the library. Where the file cuts a text before a space that follows a word, whatever
+    stands round it, a text is the join of its pieces (a space and what stands up to the next one), and a
+    worker asks the library once for each piece that it remembers. Texts in which a space follows white
+    space or stands first, those with a special token, and all texts of files that cut otherwise, go to the
+    library whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        special = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.special = re.compile("|".join(map(re.escape, special))).search if special else lambda text: None
+        self.special = [t["content"] for t in file["added_tokens"]]
         self.wide = self.library.get_vocab_size() > 1 << 16
-        letters = _byte_letters()
-        vocabulary = {k: v for k, v in file["model"]["vocab"].items() if k not in special}
-        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in file["model"]["merges"]]
         level = file["pre_tokenizer"] or {}
-        self.merging = None
-        if made == sorted(made) and file["normalizer"] is None and level.get("type") == "ByteLevel" and level["use_regex"] and not level["add_prefix_space"]:
-            ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
-            self.merging = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def by_library(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.merging is None:
-            return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-        out = [self.by_library(t) if self.special(t) else np.array(self.merging.encode_ordinary(t), "<u4") for t in texts]
-        if texts and not np.array_equal(out[0], self.by_library(texts[0])):
-            raise ValueError("merging by ranks differs from the tokenizers library")
+        self.by_pieces = file["normalizer"] is None and not any(" " in x for x in self.special) and level.get("type") == "ByteLevel" and level["use_regex"] and not level["add_prefix_space"]
+        self.opens = np.zeros(self.library.get_vocab_size(), bool)
+        self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith(SPACE_LETTER)]] = True
+        self.cache = WordCache(self._ids_of_pieces)
+
+    def by_library(self, text: str) -> bytes:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes | None]:
+        """Pieces without their space -> ids of each with it, None where another piece must not follow. The library gets
+        the others as one text, in which only the first id of a piece stands for bytes that begin with a space."""
+        clean = [p for p in pieces if CLEAN(p[-1:])]
+        raw = self.by_library(" ".join(["", *clean]))
+        first = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
+        if len(first) != len(clean):
+            return [self.by_library(" " + p) if CLEAN(p[-1:]) else None for p in pieces]
+        ends = [*first, len(raw)][1:]
+        found = {p: raw[a:b] for p, a, b in zip(clean, first, ends, strict=True)}
+        return list(map(found.get, pieces))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        split = [[t] if not self.by_pieces or any(x in t for x in self.special) else t.split(" ") for t in texts]
+        # the first piece has no space before it, and the last one may end in white space
+        split = [words if CLEAN(words[0][-1:]) else [text] for text, words in zip(texts, split, strict=True)]
+        ends = [len(words) if CLEAN(words[-1][-1:]) else -1 for words in split]
+        inner = [words[1:end] for words, end in zip(split, ends, strict=True)]
+        get = self.cache.learn(set().union(*inner))
+        out = []
+        for text, words, middle in zip(texts, split, inner, strict=True):
+            try:
+                ids = [self.by_library(words[0]), *map(get, middle)]
+            except KeyError:  # of a piece that ends in white space
+                ids = [self.by_library(text)]
+            else:
+                if 1 + len(middle) < len(words):
+                    ids.append(self.by_library(" " + words[-1]))
+            out.append(b"".join(ids))
         return out
 
 
@@ -165,7 +179,7 @@ def _stage(path: str | None):
                 rows = []
                 coded = tokenizer.encode([t or "" for t in part.column("text").to_pylist()])
                 for doc, own in zip(part.column("doc_id").to_pylist(), coded, strict=True):
-                    ids = np.append(own, np.uint32(END_ID)).astype("<u4")
+                    ids = np.append(np.frombuffer(own, "<u4"), np.uint32(END_ID)).astype("<u4")
                     hashes, lengths, start = [], [], 0
                     for end in cuts(ids):
                         chunk = ids[start:end]
@@ -231,14 +245,18 @@ def _segments(batches):
 
 
 def write_store(docs: DataFrame, folder: str, path: str | None = None) -> str:
-    """docs(doc_id, text, ...) into a store in ``folder``. A null text has only the end id; a null doc_id stands last."""
+    """docs(doc_id, text, ...) into a store in ``folder``.
+
+    A null text has only the end id; a null doc_id stands last; rows that share a doc_id stand side by side,
+    each with its own ids; texts of any length are encoded whole; an empty table gives an empty store.
+    """
     spark = docs.sparkSession
     staged = docs.select("doc_id", "text").mapInArrow(_stage(path), STAGED)
     owned = staged.repartition("owner").sortWithinPartitions("kind", "hash").mapInArrow(_once, STAGED)
     owned.drop("owner").write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/data")
     recipes = _read(spark, f"{folder}/data", STAGED).where("kind = 1").select("doc_id", "row_id", "n_ids", "hashes", "lengths")
     rows = recipes.count()
-    segments = max(1, -(-rows // max(DOCS_PER_SEGMENT, rows // MOST_SEGMENTS)))
+    segments = max(1, -(-rows // DOCS_PER_SEGMENT))
     order = [F.col("doc_id").asc_nulls_last(), F.col("row_id")]
     ordered = recipes.repartitionByRange(segments, *order).sortWithinPartitions(*order).mapInArrow(_segments, RECIPES)
     ordered.write.partitionBy("kind").option("compression", "snappy").parquet(f"{folder}/recipes")

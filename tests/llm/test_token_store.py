@@ -23,7 +23,29 @@ def texts():
 def test_ids_like_the_library():
     library = tokenizers.Tokenizer.from_file(store.model_path())
     some = [t or "" for t in texts()]
-    assert [x.tolist() for x in store.encoder().encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert [np.frombuffer(x, "<u4").tolist() for x in store.encoder().encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_pieces_like_the_library_whatever_stands_round_them():
+    library = tokenizers.Tokenizer.from_file(store.model_path())
+    rng = random.Random(5)
+    parts = ["a", "'s", "don't", "\n", "\n\n", "\t", " ", "  ", "\x85", "\x1c", "\u3000", "\u200b", "é", "ß!", "日本", "3", "²", "…", "<|endof", "text|>", "_", "-", "\u0301"]
+    some = ["".join(rng.choices(parts, k=rng.randint(1, 12))) + rng.choice(["", " "]) for _ in range(4000)]
+    some += [" ".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(4000)]
+    own = store.Encoder(store.model_path())
+    for i in range(0, len(some), 500):
+        part = some[i : i + 500]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
+
+
+def test_very_long_runs(spark, tmp_path):
+    library = tokenizers.Tokenizer.from_file(store.model_path())
+    texts = ["a" + " " * 1_200_000, " " * 3_000_000 + "x", "\n" * 2_000_000 + "a", "b" * 3_000_000, "!" * 1_000_000]
+    folder = store.write_store(spark.createDataFrame([(i, t, "", 0) for i, t in enumerate(texts)], SCHEMA), f"file://{tmp_path}/long")
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in store.read_index(spark, folder).collect()}
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert got[i] == (len(ids), zlib.crc32(ids.tobytes()))
 
 
 def test_store_and_index(spark, tmp_path):
