@@ -10,8 +10,9 @@ the first thin slabs, so a signature costs about K log K darts whatever the leng
 Candidates share a band of ROWS coordinates. In a bucket every text is compared with the bucket's
 first and with its neighbour, so that pairs grow with the rows of a bucket; what this links becomes a
 component. Buckets that then still hold several components are compared in full across components,
-block by block inside tasks, first on the signatures, and only links leave them. Every link is
-verified on the shingles themselves.
+block by block inside tasks: first the signatures alone, in blocks of thousands of rows, then the rows
+that have a likely partner with their shingles. Only links leave the tasks. Every link is verified on
+the shingles themselves.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import kept, mix64, rows_that_stay, small_or_none, steps, table, text_buffers
@@ -35,8 +36,9 @@ K = BANDS * ROWS
 #: Pairs whose signatures agree less than SIMILARITY by this many standard deviations are not verified.
 SLACK = 4.5
 FIRST_SLAB = 2.0**-6
-#: Rows of a block of a bucket in the comparison across components.
-BLOCK = 512
+#: Rows of a block of a bucket in the comparison across components: of signatures alone, and of whole rows, and about
+#: how many bytes of cells a block of these has.
+SKETCH_BLOCK, BLOCK, BLOCK_BYTES = 2048, 1024, 16 << 20
 
 SIGNED = "doc_id long, text_hash long, row_id long, n_cells long, f1 long, f2 long, sketch binary, bands array<long>, cells binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -179,6 +181,46 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(x) + len(y) - common)
 
 
+def _groups(batches, columns: tuple[str, ...]):
+    """Rows sorted by (key, left, right) -> (key, rows) of each group with more than one row."""
+    group, rows = None, []
+    for batch in batches:
+        for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "left", "right", *columns)), strict=True):
+            if (key, i, j) != group:
+                if len(rows) > 1:
+                    yield group[0], rows
+                group, rows = (key, i, j), []
+            rows.append(row)
+    if len(rows) > 1:
+        yield group[0], rows
+
+
+def _partners(i: int, right: np.ndarray, node: np.ndarray, comp: np.ndarray, side: np.ndarray, size: np.ndarray, similarity: float) -> np.ndarray:
+    """Of the rows on the right those of other components that row i has to meet here, and whose size leaves them a chance."""
+    other = right[(comp[right] != comp[i]) & ((side[right] != 3) | (node[right] > node[i]))]
+    return other[np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i])]
+
+
+def _partnered(least: int, similarity: float):
+    """Rows of blocks, sorted by group -> the rows of each bucket whose signature agrees with one of another component."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+    def run(batches):
+        for key, rows in _groups(batches, ("node", "component", "side", "n_cells", "sketch")):
+            node, comp, side, size = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+            sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), K)
+            left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+            some = np.zeros(len(rows), bool)
+            for i in left.tolist():
+                other = _partners(i, right, node, comp, side, size, similarity)
+                other = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
+                some[other] = True
+                some[i] |= len(other) > 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), key)), pa.array(node[some])], schema=schema)
+
+    return run
+
+
 def _across(least: int, similarity: float):
     """Rows of blocks, sorted by group -> links between different components.
 
@@ -188,14 +230,14 @@ def _across(least: int, similarity: float):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
 
     def links_of(rows):
-        band, node, comp, side = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-        sketch = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), K)
-        keys = np.array([r[5] for r in rows], np.int64)[:, : band[0]]
-        cells = [np.frombuffer(r[6], "<u4") for r in rows]
+        band, node, comp, side, size = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+        sketch = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(len(rows), K)
+        keys = np.array([r[6] for r in rows], np.int64)[:, : band[0]]
+        cells = [np.frombuffer(r[7], "<u4") for r in rows]
         left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
         out = []
         for i in left.tolist():
-            other = right[(comp[right] != comp[i]) & ((side[right] != 3) | (node[right] > node[i]))]
+            other = _partners(i, right, node, comp, side, size, similarity)
             other = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
             other = other[~(keys[other] == keys[i]).any(axis=1)]
             for j in other.tolist():
@@ -205,21 +247,9 @@ def _across(least: int, similarity: float):
         return out
 
     def run(batches):
-        group, rows = None, []
-
-        def close():
-            a, b, s = zip(*found, strict=True) if (found := links_of(rows) if len(rows) > 1 else []) else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], schema=schema)
-
-        for batch in batches:
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "left", "right", "band", "node", "component", "side", "sketch", "bands", "cells")), strict=True):
-                if (key, i, j) != group:
-                    if rows:
-                        yield close()
-                    group, rows = (key, i, j), []
-                rows.append(row)
-        if rows:
-            yield close()
+        for _, rows in _groups(batches, ("band", "node", "component", "side", "n_cells", "sketch", "bands", "cells")):
+            a, b, s = zip(*found, strict=True) if (found := links_of(rows)) else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float64())], schema=schema)
 
     return run
 
@@ -238,36 +268,55 @@ def _with_both(pairs: DataFrame, signed: DataFrame, column: str) -> DataFrame:
 
 
 def links(nodes: DataFrame, signed: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Nodes and the table (node, sketch, bands, cells) that holds them -> a, b, similarity: verified links that join all that belong together."""
+    """Nodes and the table (node, n_cells, sketch, bands, cells) that holds them -> a, b, similarity: verified links that join all that belong together."""
     least = least_agreement(similarity)
     keyed = F.expr("transform(bands, (x, i) -> struct(i as band, x as key, bands[(i + 1) % size(bands)] as next_key))")
-    banded = kept(_only(signed, nodes, "bands").select("node", F.explode(keyed).alias("x")).select("node", "x.band", "x.key", "x.next_key"))
-    bucket = Window.partitionBy("key").orderBy("next_key", "node")
-    placed = banded.select("node", F.first("node").over(bucket).alias("leader"), F.lag("node").over(bucket).alias("neighbour"))
+    banded = _only(signed, nodes, "n_cells", "bands").select("node", "n_cells", F.explode(keyed).alias("x")).select("node", "n_cells", "x.band", "x.key", "x.next_key")
+    in_bucket = Window.partitionBy("key")
+    ordered = in_bucket.orderBy("next_key", "node")
+    # what stands alone in its bucket, nearly all, goes before anything is written
+    placed = kept(
+        banded.select(
+            "key", "band", "node", "n_cells", F.first("node").over(ordered).alias("leader"), F.lag("node").over(ordered).alias("neighbour"),
+            F.count(F.lit(1)).over(in_bucket).alias("n"), F.sum("n_cells").over(in_bucket).alias("bucket_cells"),
+        ).where("n > 1")
+    )
     near = placed.where("neighbour is not null").select("node", F.explode(F.array_distinct(F.array("leader", "neighbour"))).alias("other"))
     tried = kept(near.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
     likely = kept(_with_both(tried, signed, "sketch").mapInArrow(_agreeing(least), "a long, b long"))
     found = kept(_with_both(likely, signed, "cells").mapInArrow(_similar(similarity), "a long, b long, similarity double"))
 
-    # of one or two rows a bucket has no pair that was not tried
-    full = kept(banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2"))
+    # of two rows a bucket has no pair that was not tried
     label = components(found.select("a", "b")).withColumnRenamed("node", "labelled")
-    rows = banded.select("node", "band", "key").join(full, "key").join(label, F.col("node") == F.col("labelled"), "left")
-    rows = kept(rows.select("node", "band", "key", "n", F.coalesce("component", "node").alias("component")))
+    rows = placed.where("n > 2").join(label, F.col("node") == F.col("labelled"), "left")
+    rows = kept(rows.select("key", "band", "node", "n_cells", "n", "bucket_cells", F.coalesce("component", "node").alias("component")))
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    # a bucket of more than BLOCK rows is dealt into blocks, and a group is a pair of blocks
-    rows = rows.join(kept(mixed), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = rows.join(kept(mixed), "key")
+    # first the signatures alone, in large blocks: which rows have a likely partner in another component
+    blocks = F.ceil(F.col("n") / SKETCH_BLOCK)
+    sketched = _in_blocks(rows, blocks).join(_only(signed, kept(rows.select("node").distinct()), "sketch"), "node")
+    partnered = kept(_grouped(sketched).mapInArrow(_partnered(least, similarity), "key long, node long"))
+    # then those rows with all that a decision takes, in blocks of bounded rows and bytes
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bucket_cells") * 4 / BLOCK_BYTES))
+    rows = kept(_in_blocks(rows.join(partnered, ["key", "node"], "left_semi"), blocks))
+    rows = rows.join(_only(signed, kept(rows.select("node").distinct()), "sketch", "bands", "cells"), "node")
+    return found.union(_grouped(rows).mapInArrow(_across(least, similarity), "a long, b long, similarity double"))
+
+
+def _in_blocks(rows: DataFrame, blocks: Column) -> DataFrame:
+    """Rows of buckets -> a row for each pair of blocks that its block stands in; side says on which side."""
+    rows = rows.withColumn("blocks", blocks.cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(
-        "key", "band", "node", "component",
+    return rows.select(
+        "key", "band", "node", "n_cells", "component",
         F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"),
         F.when(F.col("block") == F.col("with"), 3).when(F.col("block") < F.col("with"), 1).otherwise(2).alias("side"),
     )
-    rows = kept(rows)
-    rows = rows.join(_only(signed, kept(rows.select("node").distinct()), "sketch", "bands", "cells"), "node")
-    grouped = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return found.union(grouped.mapInArrow(_across(least, similarity), "a long, b long, similarity double"))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

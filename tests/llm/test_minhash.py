@@ -41,6 +41,7 @@ def corpus(seed=1):
 @pytest.mark.parametrize("block", [512, 7])
 def test_classes_against_all_pairs(spark, monkeypatch, block):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "SKETCH_BLOCK", 2 * block)
     texts = corpus()
     rows = [(i, t, "clash", 0) for i, t in enumerate(texts)]
     got = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
