@@ -32,8 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests, one machine), below /tmp."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/docloom-shared"
+    """A new folder below spark.checkpoint.dir. Where that is unset, below /tmp on one machine; an error on a cluster,
+    whose executors would not see each other's files."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file:///tmp/docloom-shared"
     return f"{root.rstrip('/')}/docloom-{uuid.uuid4().hex}"
 
 
@@ -46,7 +51,25 @@ def kept(df: DataFrame, codec: str = "snappy") -> DataFrame:
     bound_batches(spark)
     path = shared_dir(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.kept_at = path
+    return read
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables from kept() that nothing will read again."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def small_or_none(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
@@ -93,16 +116,18 @@ def rows_that_stay(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of docs(doc_id, text, ...) that decisions(doc_id, text_hash, stays) keep; text_hash is xxhash64(text).
 
     Only the ids to drop move if a count shows that they can be broadcast, so texts stay where they are.
-    Rows that share a doc_id are told apart by their texts; of rows equal in both, one stays.
+    Rows that share a doc_id are told apart by their texts; of rows equal in both, one stays. Other
+    columns of docs may have any name.
     """
     by_id = decisions.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")).where("not stays or n > 1")
-    by_id = kept(by_id.withColumnRenamed("doc_id", "other_id"))
-    same_id = docs.doc_id.eqNullSafe(F.col("other_id"))
-    once = docs.join(small_or_none(by_id.select("other_id")), same_id, "left_anti")
-    again = by_id.where("stays").select("other_id")
+    other, text_hash, stay_id, stay_hash = (free_name(docs, x) for x in ("other_id", "text_hash", "stay_id", "stay_hash"))
+    by_id = kept(by_id.select(F.col("doc_id").alias(other), "stays"))
+    same_id = F.col("doc_id").eqNullSafe(F.col(other))
+    once = docs.join(small_or_none(by_id.select(other)), same_id, "left_anti")
+    again = by_id.where("stays").select(other)
     if again.isEmpty():
         return once
-    stay = decisions.where("stays").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_text"))
-    rows = docs.join(again, same_id, "left_semi").withColumn("text_hash_", F.xxhash64("text"))
-    rows = rows.join(stay, rows.doc_id.eqNullSafe(F.col("stay_id")) & (F.col("text_hash_") == F.col("stay_text")), "left_semi")
-    return once.unionByName(rows.dropDuplicates(["doc_id", "text_hash_"]).drop("text_hash_"))
+    stay = decisions.where("stays").select(F.col("doc_id").alias(stay_id), F.col("text_hash").alias(stay_hash))
+    rows = docs.join(again, same_id, "left_semi").withColumn(text_hash, F.xxhash64("text"))
+    rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col(stay_id)) & (F.col(text_hash) == F.col(stay_hash)), "left_semi")
+    return once.unionByName(rows.dropDuplicates(["doc_id", text_hash]).drop(text_hash))

@@ -6,7 +6,8 @@ Texts are equal when they are after the deletion of every space and every byte f
    write one entry for each text (key, bytes, best row, rows) and one member row for each document to
    shared files. However many copies a text has, a task writes it once.
 2. The directory starts as one bucket and doubles while a bucket is overfull and can be split by one
-   more bit of the key; each bucket owns a range of keys.
+   more bit of the key; each bucket owns a range of keys. The driver holds the first DRIVER_BITS bits; a
+   slot that is still overfull is split on by the executors, as deep as its count asks for.
 3. Owner tasks take whole buckets, sorted by key, chain the entries of a key and compare their bytes:
    entries of different bytes under one key are different chains.
 4. Members join their entry's chain by the entry's id: at most the rows of one map task have it.
@@ -15,6 +16,7 @@ Texts are equal when they are after the deletion of every space and every byte f
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import SPACE, kept, rows_that_stay, steps, table
 
-#: Entries of a bucket before it splits; raised so that the directory stays within MAX_DEPTH bits.
+#: Entries of a bucket before it splits.
 CAPACITY = 512
-#: Bits of the key that the directory can use. A bucket that is still overfull is chained longer.
-MAX_DEPTH = 16
+#: Bits of the directory that the driver holds.
+DRIVER_BITS = 16
 #: Bytes of texts that a map task holds before it writes its entries and starts anew.
 HELD_BYTES = 24 << 20
 KEY_BITS = 64
@@ -95,7 +97,7 @@ def _entries(key_bits: int):
     return run
 
 
-def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH) -> tuple[int, list[int]]:
+def directory(counts: dict[int, int], capacity: int, max_depth: int = DRIVER_BITS) -> tuple[int, list[int]]:
     """Entries by the first ``max_depth`` bits of their key -> depth used, and the bucket of each slot."""
     below = np.zeros((1 << max_depth) + 1, np.int64)
     for prefix, n in counts.items():
@@ -122,6 +124,11 @@ def directory(counts: dict[int, int], capacity: int, max_depth: int = MAX_DEPTH)
     return depth, slots
 
 
+def deeper(n: int, capacity: int) -> int:
+    """By how many more bits to split n entries, so that about ``capacity`` stay together; key bits are as good as random."""
+    return max(0, math.ceil(math.log2(n / capacity))) if n else 0
+
+
 def _chains(batches):
     """Rows in the order of their key -> for each entry, the row that its text keeps."""
     schema = _arrow_schema(CHAIN_SCHEMA)
@@ -155,30 +162,34 @@ def _chains(batches):
         yield batch_of(out)
 
 
-def duplicates(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS) -> DataFrame:
+def duplicates(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = KEY_BITS, driver_bits: int = DRIVER_BITS) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, keep_id, group_size, kept, text_sha256, text_hash; one row a document.
 
     A null text is the empty text. Of equal texts the row with the most code points stays, then the
     smallest doc_id (a null doc_id is the largest), then, of rows that agree in both, exactly one. Rows
     that share a doc_id are rows of their own. An empty table gives an empty one. ``key_bits`` shortens
-    the keys, for tests of chains.
+    the keys, for tests of chains, and ``driver_bits`` the driver's part of the directory.
     """
     spark = docs.sparkSession
     index = kept(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_entries(key_bits), ENTRY_SCHEMA), "zstd")
     entries = index.where("kind = 0").drop("kind", "row_id", "doc_id", "text_hash")
-    prefix = F.shiftrightunsigned("key", KEY_BITS - MAX_DEPTH)
-    counts = {r[0]: r[1] for r in entries.groupBy(prefix.alias("prefix")).count().collect()}  # at most 2 ** MAX_DEPTH rows
-    depth, slots = directory(counts, max(capacity, sum(counts.values()) >> (MAX_DEPTH - 2)))
-    buckets = F.broadcast(spark.createDataFrame(list(enumerate(slots)), "slot long, bucket long"))
+    prefix = F.shiftrightunsigned("key", KEY_BITS - driver_bits)
+    counts = {r[0]: r[1] for r in entries.groupBy(prefix.alias("prefix")).count().collect()}  # at most 2 ** DRIVER_BITS rows
+    depth, slots = directory(counts, capacity, driver_bits)
+    # a slot of the full depth is one prefix
+    more = [min(deeper(counts.get(i, 0), capacity), KEY_BITS - driver_bits) if depth == driver_bits else 0 for i in range(len(slots))]
+    buckets = F.broadcast(spark.createDataFrame(list(zip(range(len(slots)), slots, more, strict=True)), "slot long, bucket long, more int"))  # at most 2 ** DRIVER_BITS rows
     slot = F.shiftrightunsigned("key", KEY_BITS - depth) if depth else F.lit(0).cast("long")
-    owned = entries.withColumn("slot", slot).join(buckets, "slot").repartition("bucket").sortWithinPartitions("bucket", "key")
-    chains = owned.drop("slot", "bucket").mapInArrow(_chains, CHAIN_SCHEMA)
+    part = F.when(F.col("more") > 0, F.expr(f"shiftrightunsigned(shiftleft(key, {driver_bits}), {KEY_BITS} - more)")).otherwise(F.lit(0))
+    owned = entries.withColumn("slot", slot).join(buckets, "slot").withColumn("part", part).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "key")
+    chains = owned.drop("slot", "bucket", "more", "part").mapInArrow(_chains, CHAIN_SCHEMA)
     members = index.where("kind = 1").select("row_id", "doc_id", "text_hash", "entry")
     return members.join(chains, "entry").select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256", "text_hash")
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns of any names. Nulls, empty and long texts, ties, repeated
+    rows and empty tables as in duplicates()."""
     return rows_that_stay(docs, kept(duplicates(docs).select("doc_id", "text_hash", F.col("kept").alias("stays"))))
 
 

@@ -349,7 +349,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay: one of each class, with all their columns."""
+    """The rows of docs that stay: one of each class, with all their columns of any names. Nulls, empty and long texts,
+    ties, repeated rows and empty tables as in near_duplicates()."""
     found = near_duplicates(docs).select("doc_id", "text_hash", F.col("kept").alias("stays"))
     return rows_that_stay(docs, kept(found))
 

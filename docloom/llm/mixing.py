@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import kept, small_or_none, table
+from docloom.llm.common import free_name, kept, small_or_none, table
 
 #: A document's copies stop at this many times its own.
 MOST_COPIES = 3
@@ -86,7 +86,8 @@ def sampled_copies(docs: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
 def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """docs(doc_id, source, text, ...) -> doc_id, source, size, text_hash, source_size, target, copies, taken.
 
-    A null text has size 0; a null source is a source of its own, the last; a source without words has
+    One pass of global windows over a row a source sets the targets; documents are dealt by hashes of their
+    doc_ids, null ones as the empty text. A null text has size 0; texts of any length are counted whole; a null source is a source of its own, the last; a source without words has
     target 0 and gives nothing; equal doc_ids are rows of their own. An empty table gives an empty one.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
@@ -96,16 +97,21 @@ def mix(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """The rows of docs, with all their columns, each as often as the mix takes it."""
-    copies = mix(docs, seed).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("copies_"), F.count(F.lit(1)).alias("rows_"))
-    copies = copies.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "copies_", "rows_").where("copies_ > 0")
-    copies = kept(copies)
-    hashed = docs.withColumn("text_hash_", F.xxhash64("text"))
+    """The rows of docs, with all their columns of any names, each as often as the mix takes it.
+
+    Rows equal in doc_id and text stand for one another: what the mix takes of them is taken of one. Nulls,
+    empty texts and empty tables as in mix().
+    """
+    id_, hash_, copies_, rows_, copy_ = (free_name(docs, x) for x in ("mix_id", "mix_hash", "mix_copies", "mix_rows", "mix_copy"))
+    copies = mix(docs, seed).groupBy("doc_id", "text_hash").agg(F.sum("copies").alias(copies_), F.count(F.lit(1)).alias(rows_))
+    copies = kept(copies.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), copies_, rows_).where(F.col(copies_) > 0))
+    own = free_name(docs, "own_hash")
+    hashed = docs.withColumn(own, F.xxhash64("text"))
     # copies has a row for about every document, so it is never a side to broadcast
-    taken = hashed.join(copies.hint("merge"), hashed.doc_id.eqNullSafe(F.col("id_")) & (F.col("text_hash_") == F.col("hash_")))
-    if not copies.where("rows_ > 1").isEmpty():  # equal rows: one of them stands for all
-        taken = taken.where("rows_ = 1").unionByName(taken.where("rows_ > 1").dropDuplicates(["doc_id", "text_hash_"]))
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies_")).alias("copy_")).drop("copy_")
+    taken = hashed.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_)))
+    if not copies.where(F.col(rows_) > 1).isEmpty():  # equal rows: one of them stands for all
+        taken = taken.where(F.col(rows_) == 1).unionByName(taken.where(F.col(rows_) > 1).dropDuplicates(["doc_id", own]))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies_))).alias(copy_)).drop(copy_)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

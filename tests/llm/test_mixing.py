@@ -44,3 +44,16 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     rows = [(1, "a", "x y", ""), (1, "a", "x y", ""), (None, "a", None, None)]
     assert len(mixing.mix(spark.createDataFrame(rows, SCHEMA)).collect()) == 3
     assert mixing.mix(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_names_that_clash_and_very_long_texts(spark):
+    names = "doc_id long, text string, source string, id_ long, mix_id long, copies_ int, own_hash string, copy_ int"
+    rows = [(i, "w " * (i + 1), "ab"[i % 2], 5, 6, 1, "x", 2) for i in range(40)] + [(99, "long " * 400_000, "c", 5, 6, 1, "x", 2)]
+    docs = spark.createDataFrame(rows, names)
+    taken = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    got = {}
+    for r in out.collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert got == {i: n for i, n in taken.items() if n}
