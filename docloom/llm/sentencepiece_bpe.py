@@ -1,16 +1,17 @@
 """Operator 6: SentencePiece BPE encoding and decoding in vectorised merge rounds.
 
-The symbols of many words lie in one flat numpy array. A round looks up the rank of every adjacent
-pair, takes the minimum of each word, merges the leftmost pair of that rank in all words at once and
-compacts the array; words without a pair leave it, until none remains. Words of a text are what no
-piece of the vocabulary crosses, so each word is independent; a worker keeps the words that it has met.
-The merge rules come from the vocabulary file; the library only normalises and reads that file.
+The symbols of many words lie in one flat numpy array, beside the rank of each with its right neighbour.
+A round takes the minimum rank of each word, merges from the left all pairs of that rank in all words at
+once, compacts the array and looks up the new neighbours' ranks; words without a pair leave it, until
+none remains. Words of a text are what no piece of the vocabulary crosses, so each is independent; longer
+ones are cut wherever two characters stand side by side in no piece. A worker keeps the words that it has
+met, up to a number of bytes. The merge rules come from the vocabulary file; the library only normalises
+and reads that file.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 import sys
 from array import array
@@ -20,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.llm.common import steps, table
+from docloom.llm.word_cache import WordCache
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Words in each of the two generations that a worker remembers; the older goes when the younger is full.
-CACHE_WORDS = 100_000
-#: A longer word is merged by a heap, since a round merges one pair of a word.
-LONG_WORD = 96
+#: Longer words are looked through for places that no piece crosses.
+LONG_WORD = 32
 NO_RANK = 1 << 40
 
 
@@ -76,7 +76,11 @@ class PieceTable:
             for cut in range(1, len(piece)):
                 if (a := ids.get(piece[:cut])) is not None and (b := ids.get(piece[cut:])) is not None:
                     pairs[a << self.bits | b] = (rank[i], i)
-        self.pairs = pairs
+        self.unsafe = self._unsafe_ranks(pairs)
+        longest = max((len(self.pieces[i]) for i in normal), default=1)
+        self.apart = 2 * longest + 2
+        sides = {piece[i : i + 2] for piece in (self.pieces[i] for i in normal) for i in range(len(piece) - 1)}
+        self.sides = np.array(sorted(ord(a) << 32 | ord(b) for a, b in sides), np.int64)
         keys = np.array(sorted(pairs), np.int64)
         self.keys = np.append(keys, np.int64(1) << 62)
         self.ranks = np.array([*(pairs[int(k)][0] for k in keys), NO_RANK], np.int64)
@@ -84,9 +88,41 @@ class PieceTable:
         joined = {c for i in normal if len(self.pieces[i]) > 1 for c in self.pieces[i]}
         alone = "".join(c for c in "\n\t\r\x0b\x0c" if c not in joined)
         gap = f"[{re.escape(alone)}]|" if alone else ""
-        self.words = re.compile(f"{gap}{MARK}+[^{MARK}{re.escape(alone)}]*|[^{MARK}{re.escape(alone)}]+").findall
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        words = f"{gap}{MARK}+[^{MARK}{re.escape(alone)}]*|[^{MARK}{re.escape(alone)}]+"
+        self.words = re.compile(words).findall
+        if most := self._even_rows(normal, rank):
+            self.words = re.compile(f"{MARK}{{{most}}}(?={MARK})|{words}").findall
+        self.cache = WordCache(self._packed)
+
+    def _even_rows(self, normal: list[int], rank: dict[int, int]) -> int:
+        """The marks of the longest piece of nothing else, if every longer row of marks is cut into these from the left: their
+        merges come after all others, and rows of up to four times as many show it. Else 0."""
+        rows = {len(self.pieces[i]): i for i in normal if len(self.pieces[i]) > 1 and not self.pieces[i].strip(MARK)}
+        most = max(rows, default=0)
+        last = most and all(rank[i] == max(rank.values()) for i in rows.values()) and not any(re.match(f"{MARK}{MARK}+[^{MARK}]", self.pieces[i]) for i in normal)
+        if not last:
+            return 0
+        ids = self.merge_words([MARK * n for n in range(1, 4 * most + 1)])
+        cut = [[rows[most]] * ((n - 1) // most) + ids[(n - 1) % most] for n in range(1, 4 * most + 1)]
+        return most if ids == cut else 0
+
+    def _unsafe_ranks(self, pairs: dict[int, tuple[int, int]]) -> np.ndarray:
+        """By rank, whether a merge of this rank can make a pair of the same rank or a lower one. A new pair of x and a
+        piece put together of l and r cannot where x and l, or r and x, are a pair of a lower rank: it would be gone."""
+        mask = (1 << self.bits) - 1
+        made_of: dict[int, list[tuple[int, int]]] = {}
+        for key, (_, i) in pairs.items():
+            made_of.setdefault(i, []).append((key >> self.bits, key & mask))
+        rank = {i: r for r, i in pairs.values()}
+        unsafe = np.zeros(max(rank.values(), default=0) + 1, bool)
+        low = lambda a, b, r: (hit := pairs.get(a << self.bits | b)) is not None and hit[0] < r
+        for key, (r, _) in pairs.items():
+            a, b = key >> self.bits, key & mask
+            if b in rank and r <= rank[b] and not all(low(a, left, rank[b]) for left, _ in made_of[b]):
+                unsafe[rank[b]] = True
+            if a in rank and r <= rank[a] and not all(low(right, b, rank[a]) for _, right in made_of[a]):
+                unsafe[rank[a]] = True
+        return unsafe
 
     # -- encoding
 
@@ -104,89 +140,93 @@ class PieceTable:
                 at += 1
         return out
 
-    def _heap_merge(self, symbols: list[int]) -> list[int]:
-        n = len(symbols)
-        before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        heap: list[tuple] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (hit := self.pairs.get(symbols[i] << self.bits | symbols[after[i]])):
-                heapq.heappush(heap, (hit[0], i, symbols[i], symbols[after[i]], hit[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, to = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j < 0 or symbols[i] != a or symbols[j] != b:
-                continue
-            symbols[i], alive[j], after[i] = to, False, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return [s for s, ok in zip(symbols, alive, strict=True) if ok]
+    def _parts(self, word: str) -> list[str]:
+        """A long word, cut where its two neighbours stand side by side in no piece."""
+        points = np.frombuffer(word.encode("utf-32-le"), "<u4").astype(np.int64)
+        side = points[:-1] << 32 | points[1:]
+        at = np.minimum(np.searchsorted(self.sides, side), len(self.sides) - 1)
+        cuts = [0, *(np.flatnonzero(self.sides[at] != side) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def merge_words(self, words: list[str]) -> list[list[int]]:
         """Ids of each word, by simultaneous merge rounds."""
-        out: list[list[int] | None] = [None] * len(words)
+        parts = [self._parts(w) if len(w) > LONG_WORD and len(self.sides) else [w] for w in words]
+        merged = iter(self._merge_parts([p for of in parts for p in of]))
+        return [next(merged) if len(of) == 1 else [i for _ in of for i in next(merged)] for of in parts]
+
+    def _merge_parts(self, words: list[str]) -> list[list[int]]:
+        out: list[list[int]] = [[]] * len(words)
         get, stranger = self.symbols.get, self.stranger
-        short = []
-        for i, word in enumerate(words):
-            if len(word) > LONG_WORD:
-                out[i] = self._final(self._heap_merge([get(c, stranger) for c in word]), word)
-            else:
-                short.append(i)
-        if not short:
-            return out
-        sym = np.array([get(c, stranger) for i in short for c in words[i]], np.int64)
-        owner = np.repeat(np.array(short, np.int64), [len(words[i]) for i in short])
+        sym = np.array([get(c, stranger) for word in words for c in word], np.int64)
+        owner = np.repeat(np.arange(len(words)), np.array([len(word) for word in words], np.int64))
+        rank, to = np.empty(len(sym), np.int64), np.empty(len(sym), np.int64)
+
+        def rank_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            key = a << self.bits | b
+            at = np.searchsorted(self.keys, key)
+            return np.where(self.keys[at] == key, self.ranks[at], NO_RANK)
+
+        def look_up(i: np.ndarray) -> None:
+            """The ranks of the symbols at i with their right neighbours, and what they make; the last one of a word has none."""
+            j = np.minimum(i + 1, len(sym) - 1)
+            key = sym[i] << self.bits | sym[j]
+            at = np.searchsorted(self.keys, key)
+            pair = (self.keys[at] == key) & (owner[i] == owner[j]) & (i != j)
+            rank[i], to[i] = np.where(pair, self.ranks[at], NO_RANK), self.merged[at]
+
+        look_up(np.arange(len(sym)))
         while len(sym):
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            key = (sym << self.bits) | np.r_[sym[1:], 0]
-            at = np.searchsorted(self.keys, key)
-            hit = self.keys[at] == key
-            hit[np.r_[first[1:], len(sym)] - 1] = False  # the last symbol of a word has no right one
-            rank = np.where(hit, self.ranks[at], NO_RANK)
             least = np.minimum.reduceat(rank, first)
             sizes = np.diff(np.r_[first, len(sym)])
-            open_word = np.repeat(least < NO_RANK, sizes)
-            if not open_word.all():
-                done = least == NO_RANK
-                flat = sym[~open_word].tolist()
-                end = np.cumsum(sizes[done]).tolist()
-                for i, a, b in zip(owner[first[done]].tolist(), [0, *end], end):
+            if (done := least == NO_RANK).any():
+                ended = np.repeat(done, sizes)
+                flat, ends = sym[ended].tolist(), np.cumsum(sizes[done]).tolist()
+                for i, a, b in zip(owner[first[done]].tolist(), [0, *ends], ends, strict=False):
                     out[i] = self._final(flat[a:b], words[i])
-            best = np.flatnonzero(open_word & (rank == np.repeat(least, sizes)))
-            if not len(best):
-                break
-            left = best[np.r_[True, owner[best[1:]] != owner[best[:-1]]]]
-            sym[left] = self.merged[at[left]]
-            open_word[left + 1] = False
-            sym, owner = sym[open_word], owner[open_word]
+                sym, owner, rank, to = (x[~ended] for x in (sym, owner, rank, to))
+                least, sizes = least[~done], sizes[~done]
+                if not len(sym):
+                    break
+            best = np.flatnonzero(rank == np.repeat(least, sizes))
+            # of pairs that overlap in a row every other one goes, from the left
+            gap, nth = np.diff(best, prepend=-2), np.arange(len(best))
+            chosen = (nth - np.maximum.accumulate(np.where(gap > 1, nth, 0))) % 2 == 0
+            if len(risky := best[chosen & self.unsafe[rank[best]]]):
+                # in words where a merge makes a pair that comes before the rest of this rank, only the first one goes of
+                # those that are too near each other to be independent
+                made = sym.copy()
+                made[best[chosen]] = to[best[chosen]]
+                before = np.where((risky > 1) & (made[risky - 2] != sym[risky - 2]), risky - 2, risky - 1)
+                after = np.minimum(risky + 2, len(sym) - 1)
+                early = (rank_of(made[before], to[risky]) <= rank[risky]) & (risky > 0) & (owner[before] == owner[risky])
+                early |= (rank_of(to[risky], sym[after]) <= rank[risky]) & (risky + 2 < len(sym)) & (owner[after] == owner[risky])
+                words_of = np.isin(owner[best], owner[risky[early]])
+                chosen = np.where(words_of, (gap > self.apart) | (np.diff(owner[best], prepend=-1) != 0), chosen)
+            left = best[chosen]
+            sym[left] = to[left]
+            stays = np.ones(len(sym), bool)
+            stays[left + 1] = False
+            left = (np.cumsum(stays) - 1)[left]
+            sym, owner, rank, to = (x[stays] for x in (sym, owner, rank, to))
+            look_up(left)
+            look_up(left[left > 0] - 1)
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) > CACHE_WORDS:
-            self.older, self.cache = self.cache, {}
-        missing = words - self.cache.keys()
-        for word in missing & self.older.keys():
-            self.cache[word] = self.older[word]
-        missing = list(missing - self.older.keys())
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            for word, ids in zip(some, self.merge_words(some), strict=True):
-                out = array("I", ids)
-                if sys.byteorder == "big":
-                    out.byteswap()
-                self.cache[word] = out.tobytes()
+    def _packed(self, words: list[str]) -> list[bytes]:
+        out = []
+        for ids in self.merge_words(words):
+            packed = array("I", ids)
+            if sys.byteorder == "big":
+                packed.byteswap()
+            out.append(packed.tobytes())
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, begin and end included, as little-endian unsigned 32-bit integers."""
         split = [self.words(self.processor.normalize(t)) if t else [] for t in texts]
-        self._learn(set().union(*split))
+        get = self.cache.learn(set().union(*split))
         begin, end = np.uint32(self.begin).tobytes(), np.uint32(self.end).tobytes()
-        get = self.cache.__getitem__
         return [b"".join([begin, *map(get, words), end]) for words in split]
 
     # -- decoding

@@ -54,11 +54,25 @@ def test_long_words_merge_alike(monkeypatch, library):
     rounds = pieces.merge_words(words)
     monkeypatch.setattr(bpe, "LONG_WORD", 0)
     assert pieces.merge_words(words) == rounds
+    monkeypatch.setattr(pieces, "apart", 1 << 40)  # one pair of a word in a round
+    monkeypatch.setattr(pieces, "unsafe", np.ones_like(pieces.unsafe))
+    assert pieces.merge_words(words[:300]) == rounds[:300]
 
 
-def test_the_older_words_go(monkeypatch, library):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+def test_very_long_words(library):
+    rng = random.Random(7)
+    pieces = bpe.piece_table()
+    for _ in range(300):
+        word = "".join(rng.choices(["th", "ing", "some", "hat", "t", "h", "e", "in", "g", " ", "▁▁▁", "to", "rad"], k=rng.randint(20, 200)))
+        assert np.frombuffer(pieces.encode([word])[0], "<u4").tolist() == library.encode(word, add_bos=True, add_eos=True)
+    words = ["a" * 1_000_000, "ab" * 100_001, "".join(rng.choices("theinrsoa", k=60_000)), "".join(rng.choices("0123456789abcdef", k=60_000)), "日本語" * 50_000, "." * 99_999, "e" * 65_537, " " * 100_003 + "the", "  the" * 9_999, "\t" * 50_000]
+    for word in words:
+        assert np.frombuffer(pieces.encode([word])[0], "<u4").tolist() == library.encode(word, add_bos=True, add_eos=True)
+
+
+def test_the_older_words_go(library):
     pieces = bpe.PieceTable(bpe.model_path())
+    pieces.cache.most = 2000
     for t in texts()[1:200]:
         assert np.frombuffer(pieces.encode([t])[0], "<u4").tolist() == library.encode(t, add_bos=True, add_eos=True)
-    assert len(pieces.cache) + len(pieces.older) < 100
+    assert len(pieces.cache.young) + len(pieces.cache.older) < 100
