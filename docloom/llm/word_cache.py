@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Bytes of the pieces and their ids in each generation; the older one goes when the younger is full.
-CACHE_BYTES = 24 << 20
+CACHE_BYTES = 64 << 20
 #: What an entry takes besides the characters and ids.
 ENTRY_BYTES = 200
 #: Pieces that are worked out together.
