@@ -22,15 +22,14 @@ def _part(c: Column, start: Column, stop: Column | None = None) -> Column:
 
 
 def without_identifiers(paragraphs: DataFrame, entries: DataFrame) -> DataFrame:
-    """Approved replacements, entries(doc_id, start, stop, text_sha256, prefix_sha256, identifier_sha256, suffix_sha256, replacement): a
-    text in which the identifier stands, before or after its replacement, gets a placeholder; the first entry that fits counts.
+    """Approved replacements, entries(doc_id, ord, start, stop, text_sha256, prefix_sha256, identifier_sha256, suffix_sha256, replacement): a
+    text in which the identifier stands, before or after its replacement, gets a placeholder; the first entry by ord that fits counts.
 
     Entries meet texts by the hashes of what stands before and after, so the join is an equi-join on the prefix.
     """
     lengths = entries.select("doc_id", "prefix_sha256", "start").distinct()
     tried = paragraphs.join(lengths, "doc_id").withColumn("p", _sha(_part(F.col("text"), F.lit(0), F.col("start")))).where("p = prefix_sha256").drop("p")
-    e = entries.withColumn("ord", F.monotonically_increasing_id())
-    joined = tried.join(e, ["doc_id", "prefix_sha256", "start"])
+    joined = tried.join(entries, ["doc_id", "prefix_sha256", "start"])
     t, start, stop = F.col("text"), F.col("start"), F.col("stop")
     after = start + F.length("replacement")
     old = (_sha(t) == F.col("text_sha256")) & (_sha(_part(t, start, stop)) == F.col("identifier_sha256")) & (_sha(_part(t, stop)) == F.col("suffix_sha256"))
@@ -158,14 +157,12 @@ def equations(objects: DataFrame) -> DataFrame:
 
 
 def comments(rules: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """rules(rule_id, style, summary), paragraphs(doc_id, pos, text, style) -> doc_id, rule_id, pos, comment: one at the first anchor of each rule.
+    """rules(doc_id, rule_id, style, summary), paragraphs(doc_id, pos, text, style) -> doc_id, rule_id, pos, comment: one at the first anchor of each rule.
 
     A rule's anchor is the first paragraph of its style that is not blank, else the first that is not blank.
     """
     filled = paragraphs.where(T.not_blank(F.col("text")))
     of_style = filled.groupBy("doc_id", "style").agg(F.min("pos").alias("styled"))
     of_doc = filled.groupBy("doc_id").agg(F.min("pos").alias("first"))
-    wanted = rules.select("rule_id", F.col("style").alias("rule_style"), F.col("summary").alias("comment"))
-    each = of_doc.join(F.broadcast(wanted))  # the rules of one profile, for every document
-    joined = each.join(of_style, (each.doc_id == of_style.doc_id) & (each.rule_style == of_style.style), "left")
-    return joined.select(each.doc_id, "rule_id", F.coalesce("styled", "first").alias("pos"), "comment")
+    joined = rules.join(of_doc, "doc_id").join(of_style, ["doc_id", "style"], "left")
+    return joined.select("doc_id", "rule_id", F.coalesce("styled", "first").alias("pos"), F.col("summary").alias("comment"))

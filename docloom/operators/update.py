@@ -80,9 +80,12 @@ def fields_from_markers(paragraphs: DataFrame, bookmarks: DataFrame) -> DataFram
 
 
 def toc(paragraphs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Static tables of contents, ranges(doc_id, first, last): the first paragraph becomes the marker, the others go."""
-    marked = paragraphs.join(ranges, (paragraphs.doc_id == ranges.doc_id) & paragraphs.pos.between(ranges["first"], ranges["last"]), "left").select(paragraphs["*"], ranges["first"])
-    return marked.where(F.col("first").isNull() | (F.col("pos") == F.col("first"))).withColumn("text", F.when(F.col("first").isNotNull(), "[[TOC]]").otherwise(F.col("text"))).drop("first")
+    """Static tables of contents, ranges(doc_id, first, last): the first paragraph of each becomes the marker, the others go. Where ranges overlap
+    a paragraph that is the first of one of them stays."""
+    inside = paragraphs.select("doc_id", "pos").join(ranges, "doc_id").where(F.col("pos").between(F.col("first"), F.col("last")))
+    inside = inside.groupBy("doc_id", "pos").agg(F.bool_or(F.col("pos") == F.col("first")).alias("opens"))
+    marked = paragraphs.join(inside, ["doc_id", "pos"], "left").where("opens is null or opens")
+    return marked.withColumn("text", F.when(F.col("opens"), "[[TOC]]").otherwise(F.col("text"))).select(*paragraphs.columns)
 
 
 def headings(paragraphs: DataFrame, approved: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import hashlib
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -27,7 +28,10 @@ NAMESPACES = {
     "urn:schemas-microsoft-com:vml": "v",
     "http://schemas.openxmlformats.org/officeDocument/2006/relationships": "r",
 }
-NODES = "doc_id string, part string, node int, parent int, depth int, tag string, attrs map<string,string>, text string, sha256 string"
+WORD_PARTS = r"^word/.*\.xml$"
+#: Of these elements a node knows the nearest one that it stands in, or is, by its node number.
+AROUND = {"w:p": "p", "w:r": "r", "w:tbl": "tbl", "w:tr": "tr", "w:tc": "tc", "w:style": "style", "w:sectPr": "sect", "w:pPr": "ppr", "w:rPr": "rpr", "w:lvl": "lvl", "w:abstractNum": "abstract"}
+NODES = "doc_id string, part string, node int, parent int, depth int, tag string, attrs map<string,string>, text string, sha256 string" + "".join(f", {c} int" for c in AROUND.values())
 OBJECTS = "doc_id string, kind string, name string, sha256 string"
 
 
@@ -47,12 +51,29 @@ def fault_of(content: bytes | None) -> str | None:
     return None if "word/document.xml" in names else "no_main_part"
 
 
+def part_of(package: zipfile.ZipFile, name: str) -> ElementTree.Element | None:
+    """The root of a part; None where it is damaged, encrypted or no XML."""
+    try:
+        return ElementTree.fromstring(package.read(name))
+    except (ElementTree.ParseError, zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, LookupError, ValueError):
+        return None
+
+
+def part_faults(content: bytes) -> list[str]:
+    """Faults of a package that opens: one for each part below word/ that cannot be read."""
+    package = zipfile.ZipFile(io.BytesIO(content))
+    return [f"bad_part:{name}" for name in sorted(package.namelist()) if re.match(WORD_PARTS, name) and part_of(package, name) is None]
+
+
 def faults(files: DataFrame) -> DataFrame:
-    """doc_id, fault of the packages that cannot be read."""
+    """doc_id, fault of the packages, and of the parts of packages, that cannot be read; the other scans leave these out."""
 
     def run(batches):
         for batch in batches:
-            found = [(d, f) for d, c in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True) if (f := fault_of(c))]
+            found = []
+            for doc, content in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                whole = fault_of(content)
+                found += [(doc, f) for f in ([whole] if whole else part_faults(content))]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["doc_id", "fault"])
 
     return files.mapInArrow(run, "doc_id string, fault string")
@@ -65,16 +86,26 @@ def short_name(name: str) -> str:
 
 def walk(root: ElementTree.Element):
     """(node, parent, depth, element) in document order."""
-    stack, n = [(root, -1, 0)], 0
-    while stack:
-        element, parent, depth = stack.pop()
+    for n, parent, depth, element, _ in walk_around(root):
         yield n, parent, depth, element
-        stack += [(child, n, depth + 1) for child in reversed(element)]
+
+
+def walk_around(root: ElementTree.Element):
+    """(node, parent, depth, element, the nodes of AROUND that it stands in) in document order. The cell of an outer table is
+    not that of a table within."""
+    stack, n = [(root, -1, 0, (None,) * len(AROUND))], 0
+    places = {tag: i for i, tag in enumerate(AROUND)}
+    while stack:
+        element, parent, depth, around = stack.pop()
+        if (i := places.get(short_name(element.tag))) is not None:
+            around = around[:i] + (n,) + around[i + 1 :]
+        yield n, parent, depth, element, around
+        stack += [(child, n, depth + 1, around) for child in reversed(element)]
         n += 1
 
 
-def nodes(files: DataFrame, parts: str = r"^word/.*\.xml$") -> DataFrame:
-    """The nodes of the parts whose names match; others are not parsed. sha256 stands for formulas only."""
+def nodes(files: DataFrame, parts: str = WORD_PARTS) -> DataFrame:
+    """The nodes of the parts whose names match; others are not parsed, parts that cannot be read are left out. sha256 stands for formulas only."""
     wanted = re.compile(parts)
 
     def run(batches):
@@ -84,13 +115,15 @@ def nodes(files: DataFrame, parts: str = r"^word/.*\.xml$") -> DataFrame:
                     continue
                 package, rows = zipfile.ZipFile(io.BytesIO(content)), []
                 for part in sorted(x for x in package.namelist() if wanted.match(x)):
-                    for n, parent, depth, e in walk(ElementTree.fromstring(package.read(part))):
+                    if (root := part_of(package, part)) is None:
+                        continue
+                    for n, parent, depth, e, around in walk_around(root):
                         tag = short_name(e.tag)
                         sha = None
                         if tag == "m:oMath":
                             sha = hashlib.sha256(ElementTree.canonicalize(ElementTree.tostring(e, encoding="unicode")).encode()).hexdigest()
-                        rows.append((doc, part, n, parent, depth, tag, [(short_name(k), v) for k, v in e.attrib.items()], e.text, sha))
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()]
+                        rows.append((doc, part, n, parent, depth, tag, [(short_name(k), v) for k, v in e.attrib.items()], e.text, sha, *around))
+                kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string()] + [pa.int32()] * len(AROUND)
                 for i in range(0, len(rows), 5000):
                     columns = [pa.array(c, k) for c, k in zip(zip(*rows[i : i + 5000], strict=True), kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in NODES.split(", ")])
@@ -150,7 +183,9 @@ def paragraph_tokens(files: DataFrame, parts: str = K.CONTENT_PART) -> DataFrame
                     continue
                 package, rows = zipfile.ZipFile(io.BytesIO(content)), []
                 for part in sorted(x for x in package.namelist() if wanted.match(x)):
-                    found = [e for *_, e in walk(ElementTree.fromstring(package.read(part))) if short_name(e.tag) == "w:p"]
+                    if (root := part_of(package, part)) is None:
+                        continue
+                    found = [e for *_, e in walk(root) if short_name(e.tag) == "w:p"]
                     for pos, p in enumerate(found):
                         styles = [v for q in p for e in q for k, v in e.attrib.items() if short_name(q.tag) == "w:pPr" and short_name(e.tag) == "w:pStyle" and short_name(k) == "w:val"]
                         tokens = [{"kind": k, "text": t} for k, t in tokens_of(p)]

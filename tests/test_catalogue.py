@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from docloom import catalogue
+from docloom import catalogue, catalogue_rules  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

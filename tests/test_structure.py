@@ -14,7 +14,7 @@ def test_normalised_texts(spark):
     texts = [("toc a", None), ("1.2 Title [[PAGE]]", "Heading 2"), ("图 3.2-1 梁", None), ("表 1.1-2 moved", None), ("表 - generated", "Caption"), ("图 4.1-3 captioned", None), ("表 2.2-2 manual", None), ("tail", None)]
     p = spark.createDataFrame([(1, "d", i, i, t, s) for i, (t, s) in enumerate(texts)] + [(1, "h", 0, None, "header", None), (2, "d", 0, 0, "other", None)], PARAGRAPHS)
     entry = (1, 2, 7, sha("图 3.2-1 梁"), sha("图 "), sha("3.2-1"), sha(" 梁"), "9.9-9")
-    r = spark.createDataFrame([(1, 2, 7, *entry[3:])], "doc_id int, start int, stop int, text_sha256 string, prefix_sha256 string, identifier_sha256 string, suffix_sha256 string, replacement string")
+    r = spark.createDataFrame([(1, 0, 2, 7, *entry[3:])], "doc_id int, ord int, start int, stop int, text_sha256 string, prefix_sha256 string, identifier_sha256 string, suffix_sha256 string, replacement string")
     args = [
         spark.createDataFrame([(1, 7)], "doc_id int, cutoff int"), r,
         spark.createDataFrame([(1, sha("表 1.1-2 moved"), False), (1, sha("表 2.2-2 manual"), True)], "doc_id int, text_sha256 string, manual boolean"),
@@ -56,5 +56,5 @@ def test_audits(spark):
     assert sorted((x.prop, x.actual) for x in found.collect()) == [("chapter_start", "3"), ("convert_explicit_markers", " [[PAGE]] "), ("rebuild_heading_numbering", "Heading 2"), ("strip_manual_heading_prefixes", "1.2 T"), ("update_on_open", "false")]
     o = spark.createDataFrame([(1, "omml", None, None), (1, "ole", "Equation.DSMT4", None), (1, "ole", "Excel", None), (1, "image", None, "My Formula 1"), (1, "image", None, "photo")], "doc_id int, kind string, prog_id string, hint string")
     assert tuple(structure.equations(o).first()) == (1, 1, 1, 0, 1, 1, 2)
-    r = spark.createDataFrame([("a", "Heading 2", "s1"), ("b", "None", "s2")], "rule_id string, style string, summary string")
+    r = spark.createDataFrame([(1, "a", "Heading 2", "s1"), (1, "b", "None", "s2")], "doc_id int, rule_id string, style string, summary string")
     assert sorted(map(tuple, structure.comments(r, p).collect())) == [(1, "a", 1, "s1"), (1, "b", 0, "s2")]

@@ -52,3 +52,9 @@ def test_tables_and_sections_that_go(spark):
     s = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (1, 3)], "doc_id int, idx int")
     free = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "doc_id int, idx int")
     assert [r.idx for r in update.without_trailing(s, spark.createDataFrame([(1, 3), (1, 1)], "doc_id int, idx int"), free).orderBy("idx").collect()] == [0, 1, 2]
+
+
+def test_tables_of_contents_that_overlap(spark):
+    p = spark.createDataFrame([(1, i, f"t{i}") for i in range(8)], "doc_id int, pos int, text string")
+    ranges = spark.createDataFrame([(1, 1, 4), (1, 3, 5), (1, 1, 2)], "doc_id int, first int, last int")
+    assert sorted((r.pos, r.text) for r in update.toc(p, ranges).collect()) == [(0, "t0"), (1, "[[TOC]]"), (3, "[[TOC]]"), (6, "t6"), (7, "t7")]
