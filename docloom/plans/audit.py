@@ -56,6 +56,20 @@ def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite" if overwrite else "errorifexists").json(path)
 
 
+def write_outputs(folder: str, formatted: DataFrame, review: DataFrame, reports: DataFrame, overwrite: bool = False) -> dict[str, str]:
+    """The three results of a run below ``folder``: formatted and reviewed packages (doc_id, content) and reports (doc_id, report), each checked
+    after it is written. -> their paths by name. None is written if one of them is there and may not be overwritten."""
+    spark = formatted.sparkSession
+    paths = {name: f"{folder.rstrip('/')}/{name}" for name in ("formatted", "review", "format-report")}
+    for path in paths.values():
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not overwrite and there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+            raise FileExistsError(path)
+    for (path, df, what) in zip(paths.values(), (formatted, review, reports), ("content", "content", "report"), strict=True):
+        write_checked(df.withColumn("sha256", F.sha2(F.col(what).cast("binary"), 256)), path, "doc_id", "sha256", overwrite)
+    return paths
+
+
 def report(rules: DataFrame, failures: DataFrame, unresolved: DataFrame) -> DataFrame:
     """rules(doc_id, id, summary, targets), failures(doc_id, rule_id, prop), unresolved(doc_id, name) -> doc_id, report: Markdown of a document."""
     line = lambda df, order, text: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), "\n").alias("t"))

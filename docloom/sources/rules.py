@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PROFILE = """
-schema_version string, profile_id string, name string, locale string, scope struct<document_type:string,input_format:string,notes:string>, target_applications array<string>,
-runtime_policy struct<caller_requirements_highest:boolean,editable_equations_required:boolean,formula_image_policy:string>, source_precedence array<string>,
-sources array<struct<id:string,type:string,label:string,public:boolean>>,
-rules array<struct<id:string,category:string,selector:struct<kind:string,value:string>,properties:map<string,string>,source_ids:array<string>,confidence:string,status:string,application:string>>,
-conflicts array<struct<id:string,rule_ids:array<string>,status:string,resolution:string>>, open_questions array<struct<id:string,question:string,blocking:boolean,answer:string>>,
-approval struct<status:string,approved_by:string,approved_at:string,notes:string>"""
+
+
+def schema_path() -> str:
+    """Where the schema of rule profiles lies, as text."""
+    return os.path.join(os.path.dirname(__file__), "profile.ddl")
+
+
+with open(schema_path(), encoding="utf-8") as _file:
+    PROFILE = _file.read()
 LOCATOR = "struct<kind:string,table:int,row:int,cell:int,paragraph:int>"
 MAP = f"""
 schema_version string, status string, source struct<content_fingerprint:string>, conflicts array<string>,

@@ -3,9 +3,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import profiles
-from docloom.plans import audit, inspect
-from docloom.sources import docx, rules
+from docloom.operators import authority, profiles, structure
+from docloom.plans import apply, audit, inspect
+from docloom.sources import docx, rules, word
 from docloom.streaming import arrivals
 from test_docx import FIELD, package
 
@@ -74,3 +74,43 @@ def test_packages_as_they_arrive(spark, tmp_path):
         q = arrivals.write_each(arrivals.arrivals(spark, f"{tmp_path}/in"), docx.paragraphs, f"{tmp_path}/out", f"{tmp_path}/state")
         q.awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+
+
+def test_outputs_are_written_once(spark, tmp_path):
+    df = spark.createDataFrame([("a", bytearray(b"1"))], "doc_id string, content binary")
+    reports = spark.createDataFrame([("a", "# r")], "doc_id string, report string")
+    paths = audit.write_outputs(f"file://{tmp_path}/o", df, df, reports)
+    assert sorted(paths) == ["format-report", "formatted", "review"] and spark.read.parquet(paths["format-report"]).first().report == "# r"
+    with pytest.raises(FileExistsError):
+        audit.write_outputs(f"file://{tmp_path}/o", df, df, reports)
+    assert audit.write_outputs(f"file://{tmp_path}/o", df, df, reports, overwrite=True) == paths
+
+
+def test_inspect_apply_and_audit_a_package(spark):
+    """A package is inspected, its candidates approved, the map applied and the result audited."""
+    texts = [("目录", None), ("1.1 old entry", None), ("第1章 总则", None), ("1.1 范围", None), ("正文。", None), ("图 1.1-1 梁", None)]
+    rows = [("a", i, t, s) for i, (t, s) in enumerate(texts)]
+    p = spark.createDataFrame(rows, "doc_id string, seq int, text string, style string")
+    files = word.packed(p.select("doc_id", "seq", word.paragraph_xml(F.col("text"), F.col("style")).alias("xml")))
+    read = word.paragraphs(docx.nodes(files)).select("doc_id", F.col("paragraph").alias("pos"), "text", F.coalesce("style_id", F.lit("Normal")).alias("style")).cache()
+    found = inspect.candidates(read)
+    headings = found["headings"].where("pos > 1").select("doc_id", "pos", "level", "text_sha256")
+    captions = found["captions"].select("doc_id", "pos", F.lit("replace_identifier").alias("action"), "text_sha256", F.lit("1.1-9").alias("replacement"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    document = {"paragraphs": read, "rows": none("doc_id string, table int, row int, is_header boolean, cant_split boolean"), "sections": none("doc_id string, idx int"), "empty_sections": none("doc_id string, idx int")}
+    approved = {
+        "toc": spark.createDataFrame([("a", 0, 1)], "doc_id string, first int, last int"), "headings": headings, "captions": captions,
+        "tables": none("doc_id string, table int, header_rows array<int>, caption_row int"), "trailing_sections": none("doc_id string, idx int"),
+    }
+    after, changes = apply.apply_map(document, approved)
+    assert [tuple(r) for r in after["paragraphs"].orderBy("pos").collect()] == [
+        ("a", 0, "[[TOC]]", "Normal"), ("a", 2, "总则", "Heading 1"), ("a", 3, "范围", "Heading 2"), ("a", 4, "正文。", "Normal"), ("a", 5, "图 1.1-9 梁", "Caption"),
+    ]
+    assert [(r.step, r.kind, r.targets) for r in changes.orderBy("step").collect()] == [(0, "toc", 1), (1, "headings", 2), (3, "captions", 1)]
+    entries = found["captions"].select("doc_id", "pos", F.col("identifier_start").alias("start"), F.col("identifier_stop").alias("stop"), F.lit(8).alias("title_start"), "text_sha256", "identifier_sha256", "title_text_sha256", F.lit("1.1-9").alias("replacement"))
+    (r,) = structure.replacement_audit(read, after["paragraphs"], entries, ["doc_id", "pos"]).collect()
+    assert r.passed
+    rules = spark.createDataFrame([("a", "r", "Heading 1"), ("a", "q", "Missing")], "doc_id string, rule_id string, style string")
+    styles = spark.createDataFrame([("a", "Heading 1", "bold", "true")], "doc_id string, style string, key string, value string")
+    props = spark.createDataFrame([("r", "bold", "true"), ("q", "bold", "true")], "rule_id string, key string, value string")
+    assert [(x.rule_id, x.prop, x.actual) for x in authority.style_failures(rules, props, styles).collect()] == [("q", "*", "missing style")]
