@@ -11,7 +11,9 @@ earlier in the same text. Whole copies of a text are found first and go whole.
 3. Runs. A task sorts the suffixes that are left, with the bytes before them that strings of their
    anchor can reach, keeps the first of equal ones, front-codes the sorted run (length of the prefix
    common with the one before, and the rest) and sends each part to its owner. Owners are dealt by the
-   hash of the first SEED bytes, so that no range of text is hot.
+   hash of the first SEED bytes, so that no range of text is hot. Suffixes of a seed that stands very
+   often are dealt by more of their bytes: their strings are parted by how far before the anchor they
+   start, and all strings of a part share at least CORE bytes, which then choose the owner.
 4. Merge. An owner merges its runs with a loser tree whose nodes know the prefix that loser and winner
    share; bytes that are known to agree are never compared again. The merge leaves the prefix that
    neighbours share; suffixes that share SEED bytes are a group.
@@ -41,6 +43,13 @@ OWNER_BYTES, RUN_BYTES = 4 << 20, 24 << 20
 #: Strings that an owner looks at together; a group is not cut.
 STRINGS = 1_000_000
 LAST = (1 << 63) - 1
+#: Parts of the strings of an anchor whose seed stands very often: least and most bytes before the anchor; and the
+#: bytes that all strings of a part share.
+PARTS = ((0, 18), (19, 37), (38, 56), (57, REACH))
+CORE = LENGTH - max(b - a for a, b in PARTS)
+#: A seed stands very often from so many anchors on, more where otherwise more than MOST_HOT seeds could be; it is
+#: looked for in one text of HOT_SAMPLE, and in a task that meets it HOT_LEAST times. Results do not depend on it.
+HOT, MOST_HOT, HOT_SAMPLE, HOT_LEAST = 50_000, 100_000, 8, 4
 
 #: t8: a hash of the text's key. Texts that share one get each other's anchors too, which costs work and changes nothing.
 ANCHORS = "h long, known boolean, t8 long, packed long"
@@ -167,13 +176,46 @@ def _rows(rows: list[tuple], schema: pa.Schema):
         yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 5000], strict=True), schema, strict=True)], schema=schema)
 
 
-def _send(owners: int):
+def _seeds(batches):
+    """Rows of texts -> seed, n of the seeds that the task meets at least HOT_LEAST times."""
+    schema = pa.schema([("seed", pa.binary()), ("n", pa.int64())])
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged():
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+    for batch in batches:
+        for part in steps(batch):
+            data, offsets = text_buffers(part.column("text"))
+            _, place, *_ = anchors(data, offsets)
+            if len(place):
+                windows = np.lib.stride_tricks.sliding_window_view(data, SEED)[place]
+                held.append(np.unique(np.ascontiguousarray(windows).view(f"V{SEED}").ravel(), return_counts=True))
+            if len(held) > 64:
+                held = [merged()]
+    if held:
+        keys, n = merged()
+        often = np.flatnonzero(n >= HOT_LEAST)
+        yield pa.RecordBatch.from_arrays([pa.array([keys[i].tobytes() for i in often.tolist()], pa.binary()), pa.array(n[often])], schema=schema)
+
+
+def hot_seeds(texts: DataFrame, total_bytes: int, hot: int = HOT) -> set[bytes]:
+    """texts(t8, text) -> the seeds that stand very often, at most about MOST_HOT of SEED bytes each."""
+    least = max(hot, total_bytes // 40 // MOST_HOT)  # there is an anchor for about forty bytes
+    some = texts.where(F.pmod("t8", F.lit(HOT_SAMPLE)) == 0).select("text").mapInArrow(_seeds, "seed binary, n long")
+    found = some.groupBy("seed").agg(F.sum("n").alias("n")).where(F.col("n") * HOT_SAMPLE >= least)
+    return {bytes(r["seed"]) for r in found.select("seed").collect()}
+
+
+def _send(owners: int, shared=None):
     """Texts with their repeated anchors -> blocks of sorted runs, and spans that the task can settle."""
     schema = _schema(SENT)
 
     def run(batches):
         number = TaskContext.get().partitionId() << 20
-        entries: list[tuple] = []  # suffix, bytes before, least reach, doc_id, tid, place
+        hot = shared.value if shared is not None else ()
+        entries: list[tuple] = []  # suffix, bytes before, least reach, doc_id, tid, place, what chooses the owner
         held = 0
 
         def flush():
@@ -183,14 +225,14 @@ def _send(owners: int):
             out, blocks, before = [], {}, {}
             last = None
             for e in entries:
-                suffix, left, lo, doc, tid, place = e
+                suffix, left, lo, doc, tid, place, key = e
                 if last is not None and suffix == last[0] and left == last[1] and lo == last[2]:
                     # the same bytes stand in an earlier place of this run: all strings of this anchor go;
                     # the spans of one text are dealt apart, for they may be very many
                     out.append((1, int.from_bytes(tid[:7], "little") + place, 0, tid, None, place - len(left), place - lo + LENGTH))
                     continue
                 last = e
-                owner = int.from_bytes(hashlib.blake2b(suffix[:SEED], digest_size=6).digest(), "little") % owners
+                owner = int.from_bytes(hashlib.blake2b(key or suffix[:SEED], digest_size=6).digest(), "little") % owners
                 if (prior := before.get(owner)) is None:
                     block, prior = blocks.setdefault(owner, []), b""
                 else:
@@ -216,7 +258,16 @@ def _send(owners: int):
                     place, lo, hi = packed >> 16, packed >> 8 & 255, packed & 255
                     if place < hi or place - lo + LENGTH > len(data):
                         continue  # of another text with the same t8
-                    entries.append((data[place : place - lo + LENGTH], data[place - hi : place], lo, LAST if doc is None else doc, tid, place))
+                    doc = LAST if doc is None else doc
+                    if not hot or data[place : place + SEED] not in hot:
+                        entries.append((data[place : place - lo + LENGTH], data[place - hi : place], lo, doc, tid, place, None))
+                        continue
+                    for first, last in PARTS:
+                        a, b = max(lo, first), min(hi, last)
+                        if a <= b:
+                            core = data[place - first : place - last + LENGTH] + b"%d" % first
+                            entries.append((data[place : place - a + LENGTH], data[place - b : place], a, doc, tid, place, core))
+                            held += 140
                 held += 140 * len(places)
                 if held > RUN_BYTES:
                     yield from flush()
@@ -418,12 +469,13 @@ def _cut(batches):
             yield from _rows(rows, schema)
 
 
-def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes), one row a document.
 
     A null text is the empty one. A null doc_id is the largest. Rows with equal doc_ids stand in the order
     of their texts' hashes; of rows that are equal in both, the first is the original of the others. Texts
-    shorter than LENGTH bytes lose nothing. An empty table gives an empty one.
+    shorter than LENGTH bytes lose nothing; longer ones are worked on whole, whatever their length. An empty
+    table gives an empty one. ``hot``: from how many anchors on a seed is dealt by more bytes.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.select("doc_id", "text", F.unhex(F.md5("text")).alias("tid"))
@@ -443,9 +495,10 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = False) -> DataFrame:
     keyed = originals.withColumn("t8", F.xxhash64("tid")).where("t8 is not null")  # the inner join's filter, so that both joins share one exchange
     by_text = keyed.repartition("t8")
 
+    often = docs.sparkSession.sparkContext.broadcast(hot_seeds(keyed.select("t8", "text"), total, hot))
     found = keyed.select("t8", "text").mapInArrow(_find_anchors, ANCHORS).repartition("h").sortWithinPartitions("h")
     places = found.mapInArrow(_repeated, "t8 long, packed long").groupBy("t8").agg(F.collect_list("packed").alias("places"))
-    sent = by_text.join(places, "t8").select("tid", "doc_id", "text", "places").mapInArrow(_send(owners), SENT)
+    sent = by_text.join(places, "t8").select("tid", "doc_id", "text", "places").mapInArrow(_send(owners, often), SENT)
     gone = sent.repartition("owner").sortWithinPartitions("kind", "owner", "run").mapInArrow(_merge, "tid binary, start long, stop long")
     spans = gone.groupBy(F.xxhash64("tid").alias("t8")).agg(F.collect_list(F.struct("tid", "start", "stop")).alias("spans"))
     cut = by_text.join(spans, "t8", "left").select("doc_id", "tid", "text", "spans")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
@@ -52,15 +53,55 @@ def corpus():
     return [(3 * i - 50, t, "clash", 1) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("run_bytes", [24 << 20, 3000])
-def test_against_brute_force(spark, monkeypatch, run_bytes):
-    monkeypatch.setattr(suffixes, "RUN_BYTES", run_bytes)
-    monkeypatch.setattr(suffixes, "STRINGS", 500 if run_bytes < 5000 else suffixes.STRINGS)
+@pytest.mark.parametrize("hot", [suffixes.HOT, 4])
+def test_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT_SAMPLE", 1)
     rows = corpus()
-    got = suffixes.remove_repeats(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    seeds = suffixes.hot_seeds(docs.where("text is not null").selectExpr("xxhash64(text) as t8", "text"), 0, hot)
+    assert bool(seeds) == (hot == 4) and all(len(s) == suffixes.SEED for s in seeds)
+    got = suffixes.remove_repeats(docs, hot=hot).collect()
     assert sorted(map(tuple, got)) == sorted(brute(rows))
 
 
+class Shared:
+    def __init__(self, value):
+        self.value = value
+
+    @staticmethod
+    def get():
+        return Shared
+
+    @staticmethod
+    def partitionId():
+        return 0
+
+
+def sent(texts, hot):
+    """Entries by owner of texts that hold one anchor in their middle, from one task."""
+    places = [[suffixes._pack(np.array([150]), np.array([0]), np.array([76])).item()] for _ in texts]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([hashlib.md5(t.encode()).digest() for t in texts]), pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(places, pa.list_(pa.int64()))], names=["tid", "doc_id", "text", "places"]
+    )
+    owners = {}
+    for part in suffixes._send(64, Shared(hot))(iter([batch])):
+        for kind, owner, block in zip(*(part.column(c).to_pylist() for c in ("kind", "owner", "block")), strict=True):
+            if kind == 0:
+                owners[owner] = owners.get(owner, 0) + sum(1 for _ in suffixes.read_block(block))
+    return owners
+
+
+def test_a_phrase_with_many_surroundings_has_many_owners(monkeypatch):
+    monkeypatch.setattr(suffixes, "TaskContext", Shared)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    phrase = text(24)
+    texts = [text(150) + phrase + text(150) for _ in range(5000)]
+    whole, parted = sent(texts, set()), sent(texts, {phrase.encode()})
+    assert len(whole) == 1 and sum(whole.values()) == 5000
+    assert len(parted) == 64 and sum(parted.values()) == 4 * 5000 and max(parted.values()) < 0.03 * 4 * 5000
+
+
 def test_repeated_ids_null_ids_and_empty(spark):
     t = "".join(random.Random(1).choices("abcdef ", k=150))
     rows = [(1, t, "", 0), (1, t, "", 0), (None, t, "", 0), (None, "z" + t, "", 0), (2, None, "", 0), (2, "", "", 0)]
