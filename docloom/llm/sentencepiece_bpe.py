@@ -213,13 +213,13 @@ class PieceTable:
             look_up(left[left > 0] - 1)
         return out
 
-    def _packed(self, words: list[str]) -> list[bytes]:
-        out = []
-        for ids in self.merge_words(words):
+    def _packed(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for word, ids in zip(words, self.merge_words(words), strict=True):
             packed = array("I", ids)
             if sys.byteorder == "big":
                 packed.byteswap()
-            out.append(packed.tobytes())
+            out[word] = packed.tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,8 +65,8 @@ def model_path(path: str | None = None) -> str:
 
 #: What is white space to nobody: between such a character and a space every text may be cut.
 CLEAN = re.compile(r"[\w!-~]").match
-#: The letter by which a byte-level vocabulary file writes a space.
-SPACE_LETTER = "\u0120"
+#: The letters by which a byte-level vocabulary file writes a space and a newline.
+OPENING = ("\u0120", "\u010a")
 
 
 class Encoder:
@@ -90,42 +91,50 @@ class Encoder:
         level = file["pre_tokenizer"] or {}
         self.by_pieces = file["normalizer"] is None and not any(" " in x for x in self.special) and level.get("type") == "ByteLevel" and level["use_regex"] and not level["add_prefix_space"]
         self.opens = np.zeros(self.library.get_vocab_size(), bool)
-        self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith(SPACE_LETTER)]] = True
+        self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith(OPENING)]] = True
         self.cache = WordCache(self._ids_of_pieces)
 
     def by_library(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _ids_of_pieces(self, pieces: list[str]) -> list[bytes | None]:
-        """Pieces without their space -> ids of each with it, None where another piece must not follow. The library gets
-        the others as one text, in which only the first id of a piece stands for bytes that begin with a space."""
+    def _ids_of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces, each without its space or with its newline -> ids of each with it; none of those that another piece must
+        not follow. The library gets the others as one text, in which only the first id of a piece stands for bytes that
+        begin with a space or a newline."""
         clean = [p for p in pieces if CLEAN(p[-1:])]
-        raw = self.by_library(" ".join(["", *clean]))
+        raw = self.by_library(" ".join(["", *clean]).replace(" \n", "\n"))
         first = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
         if len(first) != len(clean):
-            return [self.by_library(" " + p) if CLEAN(p[-1:]) else None for p in pieces]
+            return {p: self.by_library(p if p.startswith("\n") else " " + p) for p in clean}
         ends = [*first, len(raw)][1:]
-        found = {p: raw[a:b] for p, a, b in zip(clean, first, ends, strict=True)}
-        return list(map(found.get, pieces))
+        return {p: raw[a:b] for p, a, b in zip(clean, first, ends, strict=True)}
+
+    def _pieces(self, text: str) -> list[str]:
+        if not self.by_pieces or any(x in text for x in self.special):
+            return [text]
+        if "\n" in text and all(CLEAN(x) and CLEAN(x[-1]) for x in text.split("\n")):
+            text = text.replace("\n", " \n")
+        elif " \n" in text:
+            return [text]
+        words = text.split(" ")
+        # the first piece has no space before it
+        return words if CLEAN(words[0][-1:]) and not words[0].startswith("\n") else [text]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [[t] if not self.by_pieces or any(x in t for x in self.special) else t.split(" ") for t in texts]
-        # the first piece has no space before it, and the last one may end in white space
-        split = [words if CLEAN(words[0][-1:]) else [text] for text, words in zip(texts, split, strict=True)]
-        ends = [len(words) if CLEAN(words[-1][-1:]) else -1 for words in split]
-        inner = [words[1:end] for words, end in zip(split, ends, strict=True)]
+        split = list(map(self._pieces, texts))
+        # the last piece may end in white space
+        inner = [words[1:] if CLEAN(words[-1][-1:]) else words[1:-1] for words in split]
         get = self.cache.learn(set().union(*inner))
         out = []
         for text, words, middle in zip(texts, split, inner, strict=True):
             try:
-                ids = [self.by_library(words[0]), *map(get, middle)]
+                ids = b"".join(map(get, middle))
             except KeyError:  # of a piece that ends in white space
-                ids = [self.by_library(text)]
-            else:
-                if 1 + len(middle) < len(words):
-                    ids.append(self.by_library(" " + words[-1]))
-            out.append(b"".join(ids))
+                out.append(self.by_library(text))
+                continue
+            last = b"" if len(middle) + 1 >= len(words) else self.by_library(" " + words[-1])
+            out.append(self.by_library(text if len(words) == 1 else words[0]) + ids + last)
         return out
 
 
@@ -201,19 +210,20 @@ def _stage(path: str | None):
 
 
 def _once(batches):
-    """Rows sorted by hash: the first of each hash; others must have its bytes. Recipes pass."""
+    """Rows sorted by kind and hash: the first of each hash; others must have its bytes. Recipes pass."""
     last_hash, last_payload = None, None
     for batch in batches:
-        keep = []
-        for i, (kind, digest, payload) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("kind", "hash", "payload")), strict=True)):
-            if kind == 0 and digest == last_hash:
-                if payload != last_payload:
-                    raise ValueError(f"two chunks have the hash {digest.hex()}")
-                continue
-            keep.append(i)
-            if kind == 0:
-                last_hash, last_payload = digest, payload
-        yield batch.take(pa.array(keep, pa.int64()))
+        if not batch.num_rows:
+            continue
+        hashes = batch.column("hash")
+        before = pa.concat_arrays([pa.array([last_hash], hashes.type), hashes.slice(0, len(hashes) - 1)])
+        again = pc.fill_null(pc.equal(hashes, before), False)  # a recipe has no hash
+        payloads = batch.column("payload")
+        for i in np.flatnonzero(again.to_numpy(zero_copy_only=False)).tolist():
+            if payloads[i].as_py() != (payloads[i - 1].as_py() if i else last_payload):
+                raise ValueError(f"two chunks have the hash {hashes[i].as_py().hex()}")
+        last_hash, last_payload = hashes[-1].as_py(), payloads[-1].as_py()
+        yield batch.filter(pc.invert(again))
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:

@@ -14,9 +14,9 @@ STEP_PIECES = 20_000
 
 class WordCache:
     """``ids_of`` gives the ids of a list of pieces, each as bytes; a piece is worked out once while it is remembered.
-    Pieces for which it gives None are never kept: looking them up is a KeyError."""
+    Pieces that it leaves out are never kept: looking them up is a KeyError."""
 
-    def __init__(self, ids_of: Callable[[list[str]], list[bytes]], most: int | None = None):
+    def __init__(self, ids_of: Callable[[list[str]], dict[str, bytes]], most: int | None = None):
         self.ids_of, self.most = ids_of, most or CACHE_BYTES
         self.young: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -26,15 +26,15 @@ class WordCache:
         """-> a look-up that has ``pieces`` until the next call."""
         if self.held > self.most:
             self.older, self.young, self.held = self.young, {}, 0
-        missing = pieces - self.young.keys()
-        known = missing & self.older.keys()
-        self._keep({piece: self.older[piece] for piece in known})
-        missing = list(missing - known)
+        young, older = self.young, self.older
+        missing = [p for p in pieces if p not in young]
+        if older:
+            self._keep({p: older[p] for p in missing if p in older})
+            missing = [p for p in missing if p not in young]
         for i in range(0, len(missing), STEP_PIECES):
-            some = missing[i : i + STEP_PIECES]
-            self._keep({piece: ids for piece, ids in zip(some, self.ids_of(some), strict=True) if ids is not None})
-        return self.young.__getitem__
+            self._keep(self.ids_of(missing[i : i + STEP_PIECES]))
+        return young.__getitem__
 
     def _keep(self, found: dict[str, bytes]) -> None:
-        self.young |= found
-        self.held += 4 * sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+        self.young.update(found)
+        self.held += 4 * len("".join(found)) + len(b"".join(found.values())) + ENTRY_BYTES * len(found)
