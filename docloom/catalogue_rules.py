@@ -285,3 +285,40 @@ def rule_comments(spark, d):
     each = F.explode(F.array(*[F.struct(F.lit(a).alias("rule_id"), F.lit(b).alias("style")) for a, b in (("short", "Short"), ("none", "Nowhere"))])).alias("x")
     rules = read(spark, d, "documents").select("doc_id", each).select("doc_id", "x.*").withColumn("summary", F.concat("rule_id", F.lit(" rule")))
     return structure.comments(rules, p)
+
+
+KINDS_OF_FIELD = ["SEQ Figure", "REF b1", "seq Table", "PAGE", "SEQ Equation"]
+
+
+@query(f"""WITH f AS (SELECT o_custkey AS doc_id, {pick_sql('o_orderkey', KINDS_OF_FIELD)} AS i FROM orders)
+SELECT doc_id, count(*) AS fields, coalesce(string_agg(DISTINCT split_part(i, ' ', 2), ',' ORDER BY split_part(i, ' ', 2)) FILTER (lower(i) LIKE 'seq %'), '') AS sequences FROM f GROUP BY 1""")
+def field_sequences(spark, d):
+    o = read(spark, d, "orders")
+    return authority.sequences(o.select(F.col("o_custkey").alias("doc_id"), pick(F.col("o_orderkey"), KINDS_OF_FIELD).alias("instruction")))
+
+
+@query("""WITH n AS (SELECT c_nationkey AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS row FROM customer)
+SELECT doc_id::VARCHAR AS doc_id, row::INT AS row, row = 0 AS is_header FROM n""")
+def package_table_rows(spark, d):
+    """The rows of tables in packages, their header rows first."""
+    c = read(spark, d, "customer")
+    rows = c.select(F.col("c_nationkey").alias("doc_id"), "c_custkey", F.col("c_name").alias("text"))
+    first = rows.groupBy("doc_id").agg(F.min("c_custkey").alias("first"))
+    xml = word.row_xml(F.array("text"), F.col("c_custkey") == F.col("first")).alias("xml")
+    parts = [rows.join(first, "doc_id").select("doc_id", F.col("c_custkey").alias("seq"), xml)]
+    parts += [first.select("doc_id", F.lit(at).cast("long").alias("seq"), F.lit(tag).alias("xml")) for at, tag in ((-1, "<w:tbl>"), (1 << 60, "</w:tbl>"))]
+    n = docx.nodes(word.packed(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    return word.rows(n).select("doc_id", "row", "is_header")
+
+
+@query("SELECT n_nationkey::VARCHAR AS doc_id, n_nationkey % 3 = 0 AS mirror_margins, n_nationkey % 2 = 0 AS landscape, (n_nationkey % 4)::INT AS starts_at, 0.1 * (n_nationkey % 5)::DOUBLE AS inner_mm FROM nation".replace("0.1 * (n_nationkey % 5)::DOUBLE", "round((n_nationkey % 5) * 127 / 360.0, 6)"))
+def package_sections(spark, d):
+    """Sections of packages in millimetres, and a toggle of the whole document."""
+    k = F.col("n_nationkey")
+    number = lambda c: c.cast("string")
+    size = F.when(k % 2 == 0, F.lit('w:w="16838" w:h="11906"')).otherwise(F.lit('w:w="11906" w:h="16838"'))
+    xml = F.concat(F.lit("<w:p/><w:sectPr><w:pgSz "), size, F.lit('/><w:pgMar w:left="'), number(k % 5 * 20), F.lit('"/><w:pgNumType w:start="'), number(k % 4), F.lit('"/></w:sectPr>'))
+    n = docx.nodes(word.packed(read(spark, d, "nation").select(k.alias("doc_id"), F.lit(0).alias("seq"), xml.alias("xml"))))
+    toggles = read(spark, d, "nation").where(k % 3 == 0).select(number(k).alias("doc_id"), F.lit("mirrorMargins").alias("name"))
+    s = word.with_toggles(word.sections(n), toggles)
+    return s.select("doc_id", "mirror_margins", (F.col("page_width_mm") > F.col("page_height_mm")).alias("landscape"), "starts_at", F.round("margin_left_mm", 6).alias("inner_mm"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.catalogue import LINES_SQL, lines, query, read
 from docloom.catalogue_rules import RULES_SQL, pick, pick_sql, rules_of
 from docloom.functions import constants as K
-from docloom.operators import profiles, structure, update
+from docloom.operators import authority, profiles, structure, update
 from docloom.plans import apply
 from docloom.plans import audit as plan
 
@@ -170,6 +170,19 @@ def field_rule_audit(spark, d):
     return structure.field_failures(p, s.select("doc_id", F.lit("Heading 1").alias("style"), (F.col("doc_id") % 2 == 0).alias("numbered")), settings, levels=2, chapter_start=1)
 
 
+@query("""WITH p AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, o_orderpriority AS style, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS own FROM orders),
+s AS (SELECT o_custkey AS doc_id, o_orderpriority AS style, max(o_totalprice) AS styled FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2), f AS (SELECT doc_id, pos, coalesce(own, styled) AS v FROM p LEFT JOIN s USING (doc_id, style))
+SELECT doc_id, pos, 'font_size_pt' AS prop, v IS NULL AS missing FROM f WHERE NOT coalesce(abs(v - 100000) <= greatest(0.05, 1e-9 * greatest(abs(v), 100000.0)), false)""")
+def paragraph_rule_audit(spark, d):
+    """What paragraphs set themselves, else what their styles set, against a rule."""
+    o = read(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("style"), F.col("o_totalprice").cast("string").alias("value"))
+    key, rule = F.lit("font_size_pt").alias("key"), F.lit("r").alias("rule_id")
+    styles = o.where("pos % 2 = 0").groupBy("doc_id", "style").agg(F.max(F.col("value").cast("double")).cast("string").alias("value")).withColumn("key", key)
+    props = spark.range(1).select(rule, key, F.lit("100000").alias("value"))
+    found = authority.paragraph_failures(o.select("doc_id", rule, "pos"), props, o, o.where("pos % 3 = 0").select("doc_id", "pos", key, "value"), styles)
+    return found.select("doc_id", "pos", "prop", F.col("actual").isNull().alias("missing"))
+
+
 @query(f"""WITH {LINES_SQL}, p AS (SELECT doc_id, pos, doc_id % 4 AS k, text FROM lines), c AS (SELECT doc_id, count(*) - 2 AS cutoff FROM lines WHERE doc_id % 3 = 0 GROUP BY 1)
 SELECT doc_id, pos::INT AS pos, sha256(CASE WHEN k = 0 AND pos = 0 THEN '' ELSE text END) AS text_sha256 FROM p LEFT JOIN c USING (doc_id) WHERE cutoff IS NULL OR pos < cutoff""")
 def normalised_texts(spark, d):
@@ -288,6 +301,14 @@ def map_constraints(spark, d):
     return profiles.map_violations(maps)
 
 
+@query("""WITH m AS (SELECT c_custkey AS map_id, c_custkey % 5 AS v, c_custkey AS k FROM customer)
+SELECT * FROM (SELECT map_id, CASE WHEN v = 4 THEN 'version' WHEN k % 2 = 0 THEN 'not_approved' WHEN k % 3 = 0 THEN 'conflicts' WHEN v IN (1, 2) AND k % 7 = 0 THEN 'unknown_role_approved' WHEN v IN (1, 2) AND k % 11 = 0 THEN 'role_without_place'
+  WHEN v IN (1, 2) AND k % 13 = 0 THEN 'open_anomalies' END AS violation FROM m) WHERE violation IS NOT NULL""")
+def first_map_fault(spark, d):
+    """The first thing that keeps each map from being applied."""
+    return profiles.first_violations(map_constraints(spark, d), "map_id", profiles.MAP_CHECKS)
+
+
 @query(f"WITH {RULES_SQL}, p AS (SELECT rule_id, string_agg(key || '=' || value, ', ' ORDER BY key, value) AS pairs FROM props GROUP BY 1) SELECT id, id || ': ' || coalesce(pairs, '') || '. Sources: s1, s2' AS summary FROM rules LEFT JOIN p ON rule_id = id")
 def rule_summary(spark, d):
     rules, props = rules_of(spark, d)

@@ -90,6 +90,12 @@ def moves_with_numbers(captions: DataFrame) -> DataFrame:
     return sets.select("map_id", (F.size(F.array_except("a", "b")) > 0).alias("generates"))
 
 
+def sequences(fields: DataFrame) -> DataFrame:
+    """fields(doc_id, instruction) -> doc_id, fields, sequences: how many there are, and the names of the sequences that number something."""
+    name = F.when(T.field_kind(F.col("instruction")) == "SEQ", T.field_argument(F.col("instruction")))
+    return fields.groupBy("doc_id").agg(F.count(F.lit(1)).alias("fields"), F.array_join(F.array_sort(F.collect_set(name)), ",").alias("sequences"))
+
+
 def action_counts(captions: DataFrame) -> DataFrame:
     return captions.where(F.col("approved") & F.col("action").isin(CHANGING)).groupBy("map_id", "action").agg(F.count(F.lit(1)).alias("n"))
 
@@ -175,6 +181,16 @@ def style_failures(rules: DataFrame, props: DataFrame, styles: DataFrame) -> Dat
     return missing.unionByName(found.where(~same).select("doc_id", "rule_id", F.col("key").alias("prop"), "expected", "actual"))
 
 
+def paragraph_failures(targets: DataFrame, props: DataFrame, paragraphs: DataFrame, direct: DataFrame, styles: DataFrame) -> DataFrame:
+    """targets(doc_id, rule_id, pos), props(rule_id, key, value), paragraphs(doc_id, pos, style), direct(doc_id, pos, key, value), styles(doc_id, style,
+    key, value) -> doc_id, rule_id, pos, prop, expected, actual: what a paragraph sets itself counts, else what its style sets."""
+    asked = targets.join(props.where(F.col("key").isin(K.ALLOWED_PROPERTIES["style"])).withColumnRenamed("value", "expected"), "rule_id")
+    found = asked.join(paragraphs.select("doc_id", "pos", "style"), ["doc_id", "pos"]).join(direct.withColumnRenamed("value", "own"), ["doc_id", "pos", "key"], "left")
+    found = found.join(styles.withColumnRenamed("value", "styled"), ["doc_id", "style", "key"], "left").withColumn("actual", F.coalesce("own", "styled"))
+    same = F.coalesce(T.same_value(F.col("key"), F.col("expected"), F.col("actual")), F.lit(False))
+    return found.where(~same).select("doc_id", "rule_id", "pos", F.col("key").alias("prop"), "expected", "actual")
+
+
 def equation_failures(rules: DataFrame, equations: DataFrame) -> DataFrame:
     """rules(doc_id, rule_id, block_formula_images), equations(doc_id, formula_image_candidates): the only property of such rules that an audit can fail."""
     joined = rules.where(truthy(F.col("block_formula_images"))).join(equations.where("formula_image_candidates > 0"), "doc_id")

@@ -31,6 +31,12 @@ def violations(df: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     return df.select(key, F.explode(F.array_compact(found)).alias("violation"))
 
 
+def first_violations(found: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """violations -> of each key the one that stands first in ``order``."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("violation"))
+    return found.groupBy(key).agg(F.min_by("violation", rank).alias("violation"))
+
+
 def profile_violations(profiles: DataFrame, sources: DataFrame, rules: DataFrame, props: DataFrame, conflicts: DataFrame, allowed: DataFrame) -> DataFrame:
     """Of profiles as relations (profile_id in each): repeated ids, unknown references, properties that a rule may not set, and what approval asks for."""
     each = []
@@ -99,6 +105,13 @@ def caption_rule_violations(rules: DataFrame, props: DataFrame) -> DataFrame:
     return found.select("rule.profile_id", F.concat("violation", F.lit(":"), "rule.rule_id").alias("violation"))
 
 
+#: The order in which a map's faults are told.
+MAP_CHECKS = [
+    "version", "not_approved", "conflicts", "unknown_role_approved", "role_without_place", "incomplete_caption", "caption_action", "caption_numbering", "caption_semantics", "caption_domain",
+    "relocation_without_move", "replacement_incomplete", "sequence_incomplete", "move_incomplete", "chapter_start", "open_anomalies",
+]
+
+
 def map_violations(maps: DataFrame) -> DataFrame:
     """maps as sources.rules.maps() reads them -> map_id, violation: what keeps a map from being applied, before it meets its document."""
     semantic = F.col("schema_version").isin(K.SEMANTIC_MAP_VERSIONS)

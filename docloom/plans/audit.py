@@ -70,12 +70,19 @@ def write_outputs(folder: str, formatted: DataFrame, review: DataFrame, reports:
     return paths
 
 
-def report(rules: DataFrame, failures: DataFrame, unresolved: DataFrame) -> DataFrame:
-    """rules(doc_id, id, summary, targets), failures(doc_id, rule_id, prop), unresolved(doc_id, name) -> doc_id, report: Markdown of a document."""
+def report(rules: DataFrame, failures: DataFrame, unresolved: DataFrame, **more: DataFrame) -> DataFrame:
+    """rules(doc_id, id, summary, targets), failures(doc_id, rule_id, prop), unresolved(doc_id, name) -> doc_id, report: Markdown of a document.
+
+    ``more``: further sections by name, such as manual items or anchors that were not found, each (doc_id, name).
+    """
     line = lambda df, order, text: df.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
     a = line(rules, "id", F.concat(F.lit("- "), "summary", F.lit(" ("), F.col("targets").cast("string"), F.lit(" targets)"))).withColumnRenamed("t", "rules")
     b = line(failures, "rule_id", F.concat(F.lit("- "), "rule_id", F.lit(": "), "prop")).withColumnRenamed("t", "failures")
     c = line(unresolved, "name", F.concat(F.lit("- "), "name")).withColumnRenamed("t", "unresolved")
     part = lambda title, column: F.concat(F.lit(f"## {title}\n\n"), F.coalesce(column, F.lit("None.")))
     joined = a.join(b, "doc_id", "full_outer").join(c, "doc_id", "full_outer")
-    return joined.select("doc_id", F.concat_ws("\n\n", F.lit("# Format report"), part("Rules", F.col("rules")), part("Failures", F.col("failures")), part("Unresolved references", F.col("unresolved"))).alias("report"))
+    for name, df in more.items():
+        joined = joined.join(line(df, "name", F.concat(F.lit("- "), "name")).withColumnRenamed("t", name), "doc_id", "full_outer")
+    parts = [part("Rules", F.col("rules")), part("Failures", F.col("failures")), part("Unresolved references", F.col("unresolved"))]
+    parts += [part(name.replace("_", " ").capitalize(), F.col(name)) for name in more]
+    return joined.select("doc_id", F.concat_ws("\n\n", F.lit("# Format report"), *parts).alias("report"))

@@ -131,6 +131,10 @@ def nodes(files: DataFrame, parts: str = WORD_PARTS) -> DataFrame:
     return files.mapInArrow(run, NODES)
 
 
+def _parsed(df: DataFrame) -> DataFrame:
+    return df if "tag" in df.columns else nodes(df)
+
+
 def objects(files: DataFrame) -> DataFrame:
     """Media and embedded files of each package, with their hashes."""
 
@@ -201,21 +205,22 @@ def paragraphs(files: DataFrame) -> DataFrame:
     return paragraph_tokens(files).withColumn("text", ordered.text_outside_results(F.col("tokens"))).drop("tokens")
 
 
-def fields(files: DataFrame) -> DataFrame:
-    """doc_id, part, instruction of every field, simple and complex."""
-    simple = nodes(files).where("tag = 'w:fldSimple'").select("doc_id", "part", F.trim(F.col("attrs")["w:instr"]).alias("instruction")).where("instruction <> ''")
+def fields(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """doc_id, part, instruction of every field, simple and complex; ``parsed``: what nodes() gave, if it is at hand."""
+    simple = (nodes(files) if parsed is None else parsed).where("tag = 'w:fldSimple'").select("doc_id", "part", F.trim(F.col("attrs")["w:instr"]).alias("instruction")).where("instruction <> ''")
     in_paragraphs = paragraph_tokens(files, r"^word/.*\.xml$").withColumn("instruction", F.explode(ordered.field_instructions(F.col("tokens"))))
     return simple.unionByName(in_paragraphs.select("doc_id", "part", "instruction"))
 
 
 def bookmarks(files: DataFrame) -> DataFrame:
-    return nodes(files).where("tag = 'w:bookmarkStart'").select("doc_id", F.col("attrs")["w:name"].alias("name")).distinct()
+    """Of packages, or of their nodes."""
+    return _parsed(files).where("tag = 'w:bookmarkStart'").select("doc_id", F.col("attrs")["w:name"].alias("name")).distinct()
 
 
 def counts(files: DataFrame) -> DataFrame:
     """Elements of each kind that a document holds, and whether it has notes and comments."""
     tag, has = F.col("tag"), lambda part: F.max((F.col("part") == part).cast("int"))
-    return nodes(files).groupBy("doc_id").agg(
+    return _parsed(files).groupBy("doc_id").agg(
         F.count_if(tag.isin("w:fldChar", "w:fldSimple")).alias("fields"), F.count_if(F.rlike(tag, F.lit("(^|:)oMath$"))).alias("equations"),
         F.count_if(tag == "w:drawing").alias("drawings"), F.count_if(tag == "w:txbxContent").alias("text_boxes"),
         has("word/footnotes.xml").alias("footnotes"), has("word/endnotes.xml").alias("endnotes"), has("word/comments.xml").alias("comments"),
@@ -223,4 +228,4 @@ def counts(files: DataFrame) -> DataFrame:
 
 
 def formulas(files: DataFrame) -> DataFrame:
-    return nodes(files).where("sha256 is not null").select("doc_id", F.lit("omml").alias("kind"), "part", "sha256")
+    return _parsed(files).where("sha256 is not null").select("doc_id", F.lit("omml").alias("kind"), "part", "sha256")

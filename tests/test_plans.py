@@ -27,6 +27,9 @@ def test_inventory_and_verdicts(spark, tmp_path):
     files = docx.packages(spark, str(tmp_path))
     got = inspect.inventory_of(files)
     assert [r.name for r in got["unresolved"].collect()] == ["there"] and got["fingerprints"].count() == 2
+    assert [(r.fields, r.sequences) for r in got["sequences"].collect()] == [(2, "")] and got["headings"].count() == got["sections"].count() == got["tables"].count() == 0
+    kept = inspect.inventory_of(files, keep=lambda df: df.cache())
+    assert sorted(map(tuple, kept["counts"].collect())) == sorted(map(tuple, got["counts"].collect()))
     text, objects = docx.paragraphs(files), got["objects"]
     none = spark.createDataFrame([], "doc_id string, rule_id string")
     assert all(r.passed for r in audit.verdicts(text, text, objects, objects, none).collect())
@@ -44,6 +47,10 @@ def test_checked_writing(spark, tmp_path):
     assert sorted(map(tuple, blocks.collect())) == [(1, "legacy_equations"), (2, "unresolved_references")]
     r = audit.report(spark.createDataFrame([(1, "r1", "r1: bold=true", 2)], "doc_id int, id string, summary string, targets int"), spark.createDataFrame([], "doc_id int, rule_id string, prop string"), spark.createDataFrame([(1, "x")], "doc_id int, name string"))
     assert r.first()["report"] == "# Format report\n\n## Rules\n\n- r1: bold=true (2 targets)\n\n## Failures\n\nNone.\n\n## Unresolved references\n\n- x"
+    more = spark.createDataFrame([(1, "m2"), (1, "m1")], "doc_id int, name string")
+    none = spark.createDataFrame([], "doc_id int, rule_id string, prop string")
+    r = audit.report(spark.createDataFrame([(1, "r1", "s", 2)], "doc_id int, id string, summary string, targets int"), none, more.where("false"), manual_items=more)
+    assert r.first()["report"].endswith("\n\n## Unresolved references\n\nNone.\n\n## Manual items\n\n- m1\n- m2")
 
 
 def test_profiles_and_maps_from_json(spark, tmp_path):
