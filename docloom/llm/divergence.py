@@ -184,8 +184,16 @@ def _parts(batches: Iterator[pa.RecordBatch], groups: dict[str, tuple[int, list[
                 for a in np.unique(at).tolist():
                     has = np.flatnonzero(counts[:, a])
                     rest = base[a] if base is not None else distance(none[a], none)
+                    if (lang, a) not in sums:
+                        sums[lang, a] = np.zeros((2, len(sources)), np.int64)
+                        cells += 2 * len(sources)
                     for i in range(0, len(has), step):
-    XX                    high = has[p[has, a] > q[has]]
+                        own = has[i : i + step]
+                        more = distance(p[own, a][:, None], p[own]) - rest
+                        sums[lang, a][0] += more.sum(axis=0)
+                        more[counts[own] > 0] = 0  # there the other source counts the pair the other way round
+                        sums[lang, a][1] += more.sum(axis=0)
+                    high = has[p[has, a] > q[has]]
                     value = distance(p[high, a], q[high])
                     if len(value) > top:
                         stays = value >= np.partition(value, -top)[-top]
