@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import divergence, exact_dedup, language, licences, minhash, mixing, nearest, quality, sentencepiece_bpe, suffixes, token_store
+from docloom.llm import divergence, exact_dedup, language, licences, merkle, minhash, mixing, nearest, quality, sentencepiece_bpe, suffixes, token_store
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_quality": quality.op9_quality,
         "op10_suffixes": suffixes.op10_suffixes,
         "op12_divergence": divergence.op12_divergence,
+        "op13_merkle": merkle.op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The others are models, tokenizers or an approximate search; tests hold them against brute force, libraries or held-out rows."""
-    return {"op1_minhash": minhash.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op10_suffixes": suffixes.OP10_SQL, "op12_divergence": divergence.OP12_SQL}
+    return {"op1_minhash": minhash.OP1_SQL, "op3_mix_sources": mixing.OP3_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op10_suffixes": suffixes.OP10_SQL, "op12_divergence": divergence.OP12_SQL, "op13_merkle": merkle.OP13_SQL}
