@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import divergence, exact_dedup, language, licences, merkle, minhash, mixing, nearest, quality, sentencepiece_bpe, suffixes, token_store
+from docloom.llm import divergence, exact_dedup, language, licences, merkle, minhash, mixing, nearest, quality, sentencepiece_bpe, suffixes, token_store, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_token_store": token_store.op8_token_store,
         "op9_quality": quality.op9_quality,
         "op10_suffixes": suffixes.op10_suffixes,
+        "op11_toxicity": toxicity.op11_toxicity,
         "op12_divergence": divergence.op12_divergence,
         "op13_merkle": merkle.op13_merkle,
     }

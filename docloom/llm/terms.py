@@ -20,6 +20,11 @@ def terms(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     Of the letters only A to Z are lower-cased. Terms never cross texts; null counts as empty. Terms are compared as such,
     not by a hash.
     """
+    return spanned_terms(column)[:3]
+
+
+def spanned_terms(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """terms(), and the bytes of its text at which each starts and ends."""
     data, offsets = text_buffers(column)
     inside = _IN_TERM[data]
     first = inside.copy()
@@ -30,4 +35,6 @@ def terms(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     # the bytes of all terms follow one another, so a term ends where the next one starts
     at = np.r_[np.cumsum(inside, dtype=np.int64)[start] - 1, np.count_nonzero(inside)] if len(start) else np.zeros(1, np.int64)
     found = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(at), pa.py_buffer(_LOWER[data[inside]])]).dictionary_encode()
-    return found.dictionary, found.indices.to_numpy(), np.searchsorted(offsets, start, "right") - 1
+    doc = np.searchsorted(offsets, start, "right") - 1
+    start = start - offsets[doc]
+    return found.dictionary, found.indices.to_numpy(), doc, start, start + np.diff(at)
