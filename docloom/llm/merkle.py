@@ -36,6 +36,9 @@ FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPERED = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Runs that are broadcast to those below them, at most; each has some kilobytes with its path.
+SMALL_RUNS = 2_000
+
 NODE, RUN, ROOT = 0, 1, 2
 FOREST = pa.schema([("fragment", pa.int64()), ("kind", pa.int32()), ("tree", pa.int64()), ("size", pa.int64()), ("level", pa.int32()), ("index", pa.int64()), ("digests", pa.binary())])
 FOREST_DDL = "fragment long, kind int, tree long, size long, level int, index long, digests binary"
@@ -105,7 +108,7 @@ class Forest:
     def __init__(self, trees: int):
         self.trees = trees
         self.open: dict[tuple[int, int, int, int], dict[int, bytes]] = {}
-        self.done: list[tuple[int, int, int, bytes]] = []
+        self.done: list[tuple[int, int, int, int, bytes]] = []
         self.root: bytes | None = None
 
     def put(self, tree: int, size: int, level: int, index: int, digest: bytes) -> None:
@@ -124,16 +127,16 @@ class Forest:
             if len(held) < min(ARITY, nodes - ARITY * run):
                 return
             del self.open[tree, size, level, run]
-            index, digest = run, self.resolve(tree, level, run, b"".join(held[i] for i in range(len(held))))
+            index, digest = run, self.resolve(tree, size, level, run, b"".join(held[i] for i in range(len(held))))
             level += 1
 
-    def resolve(self, tree: int, level: int, run: int, children: bytes) -> bytes:
-        self.done.append((tree, level, run, children))
+    def resolve(self, tree: int, size: int, level: int, run: int, children: bytes) -> bytes:
+        self.done.append((tree, size, level, run, children))
         return _digest(children)
 
     def rows(self, fragment: int, last: bool) -> Iterator[pa.RecordBatch]:
         """The runs made since the last call, and at the end the nodes that are left."""
-        out = [(fragment, RUN, tree, 0, level, run, children) for tree, level, run, children in self.done]
+        out = [(fragment, RUN, *x) for x in self.done]
         self.done = []
         if last:
             out += [(fragment, NODE, tree, size, level, run * ARITY + i, digest) for (tree, size, level, run), held in self.open.items() for i, digest in held.items()]
@@ -155,7 +158,7 @@ def _folded(batches: Iterator[pa.RecordBatch], trees: int) -> Iterator[pa.Record
         for a, b in pairwise([*at.tolist(), len(run)]):
             t, n, r = int(tree[a]), int(size[a]), int(run[a])
             if n > 1 and b - a == min(ARITY, n - ARITY * r):  # a whole run
-                forest.put(t, n, 1, r, forest.resolve(t, 0, r, b"".join(leaf[a:b])))
+                forest.put(t, n, 1, r, forest.resolve(t, n, 0, r, b"".join(leaf[a:b])))
             else:
                 for i in range(a, b):
                     forest.put(t, n, 0, int(index[i]), leaf[i])
@@ -172,7 +175,7 @@ def _merged(group: pa.Table, trees: int) -> pa.Table:
 
 
 def forest(rows: DataFrame, trees: int) -> tuple[DataFrame, bytes]:
-    """located() of ``trees`` sources -> all runs of all trees (tree, level, index, digests), and the root."""
+    """located() of ``trees`` sources -> all runs of all trees (tree, size, level, index, digests), and the root."""
     ordered = rows.select("tree", "size", "index", "leaf", "place").repartitionByRange("place").sortWithinPartitions("place").drop("place")
     made = kept(ordered.mapInArrow(partial(_folded, trees=trees), FOREST_DDL))
     runs = [made]
@@ -180,14 +183,14 @@ def forest(rows: DataFrame, trees: int) -> tuple[DataFrame, bytes]:
         nodes = made.where(f"kind = {NODE}").withColumn("fragment", F.expr(f"fragment div {FAN}"))
         made = kept(nodes.groupBy("fragment").applyInArrow(lambda group: _merged(group, trees), FOREST_DDL))
         runs.append(made)
-    every = [x.where(f"kind = {RUN}").select("tree", "level", "index", "digests") for x in runs]
+    every = [x.where(f"kind = {RUN}").select("tree", "size", "level", "index", "digests") for x in runs]
     out = every[0]
     for x in every[1:]:
         out = out.unionByName(x)
     return out, bytes(root[0].digests)
 
 
-def _above(runs: DataFrame, trees: int, sizes: DataFrame) -> DataFrame:
+def _above(runs: DataFrame) -> DataFrame:
     """All runs -> for those of leaves of sources and of the tree of sources: tree, index, digests, path, the runs above
     with the place in each of them."""
     spark = runs.sparkSession
@@ -196,7 +199,7 @@ def _above(runs: DataFrame, trees: int, sizes: DataFrame) -> DataFrame:
 
     def stepped(here: DataFrame, above: DataFrame) -> DataFrame:
         """here(tree, index, digests, up_tree, up_index, at) under above(tree, index, digests, path)."""
-        up = above.select(F.col("tree").alias("t"), F.col("index").alias("i"), F.col("digests").alias("d"), "path")
+        up = small_or_none(above, SMALL_RUNS).select(F.col("tree").alias("t"), F.col("index").alias("i"), F.col("digests").alias("d"), "path")
         path = F.when(F.col("d").isNotNull(), F.concat(F.array(F.struct(F.col("at").cast("int").alias("at"), F.col("d").alias("digests"))), "path")).otherwise(F.array().cast(nothing))
         return here.join(up, (F.col("up_tree") == F.col("t")) & (F.col("up_index") == F.col("i")), "left").select("tree", "index", "digests", path.cast(nothing).alias("path"))
 
@@ -206,7 +209,7 @@ def _above(runs: DataFrame, trees: int, sizes: DataFrame) -> DataFrame:
         above = kept(stepped(here, above))
     top, level = above, levels.get(False, -1)
     while level >= 0:
-        here = runs.where((F.col("tree") != TOP) & (F.col("level") == level)).join(small_or_none(sizes), "tree")
+        here = runs.where((F.col("tree") != TOP) & (F.col("level") == level))
         alone = F.col("size") <= ARITY ** (level + 1)  # the one run of its level: the tree's root is above it
         up = {"up_tree": F.when(alone, TOP).otherwise(F.col("tree")).cast("long"), "up_index": F.when(alone, F.expr(f"tree div {ARITY}")).otherwise(F.expr(f"index div {ARITY}")), "at": F.when(alone, F.col("tree") % ARITY).otherwise(F.col("index") % ARITY)}
         above = stepped(here.withColumns(up), above if above is top else above.unionByName(top))
@@ -262,7 +265,6 @@ def manifest(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], OUT_DDL)
     trees += 1
     runs, root = forest(rows, trees)
-    sizes = kept(rows.where(F.col("index") == 0).select("tree", "size"))
     alone = F.col("size") == 1  # a leaf without siblings is its tree's root
     depth = sum((F.col("size") > ARITY**k).cast("int") for k in range(15))  # levels of the source's tree
     keyed = rows.select(
@@ -270,7 +272,7 @@ def manifest(docs: DataFrame) -> DataFrame:
         F.struct((F.when(alone, F.col("tree")).otherwise(F.col("index")) % ARITY).cast("int").alias("at"), "doc_id", "leaf", "tampered", depth.alias("depth")).alias("row"),
     )
     of_run = keyed.groupBy("key_tree", "key_index").agg(F.collect_list("row").alias("rows"))  # at most ARITY rows
-    above = _above(runs, trees, sizes)
+    above = _above(runs)
     joined = of_run.join(above, (F.col("key_tree") == F.col("tree")) & (F.col("key_index") == F.col("index")), "left").select("key_tree", "digests", "path", "rows")
     return joined.mapInArrow(partial(_proved, root=root), OUT_DDL)
 
