@@ -32,11 +32,11 @@ LEAST_DOCS, TOP = 10, 10
 #: A term's share of a group, with two pseudo-occurrences of each kept term, is an integer in this unit.
 UNIT = 10**9
 #: Pieces that a map task holds before it sums them up, and cells of a matrix that one step works on.
-HELD_PIECES, STEP_CELLS = 1_000_000, 1 << 20
+HELD_PIECES, STEP_CELLS = 400_000, 1 << 20
 #: Sums of pairs that a task holds before it writes them.
 HELD_CELLS = 1 << 22
 #: Bytes of texts whose terms are counted at once.
-TEXT_BYTES = 8 << 20
+TEXT_BYTES = 4 << 20
 
 PIECES = pa.schema([("lang", pa.large_string()), ("term", pa.large_string()), ("source", pa.large_string()), ("document", pa.int64()), ("docs", pa.int64()), ("n", pa.int64())])
 RUNS = pa.schema([("lang", pa.large_string()), ("term", pa.large_string()), ("docs", pa.int64()), ("sources", pa.list_(pa.large_string())), ("counts", pa.list_(pa.int64()))])
