@@ -12,7 +12,8 @@ first and with its neighbour, so that pairs grow with the rows of a bucket; what
 component. Buckets that then still hold several components are compared in full across components,
 block by block inside tasks: first the signatures alone, in blocks of thousands of rows, then the rows
 that have a likely partner with their shingles. Only links leave the tasks. Every link is verified on
-the shingles themselves.
+the cells of both documents, by 32 bits of each: two of n cells agree in one by chance with probability n * n / 2 ** 32.
+Texts of few words share a band only if all 64 bits of a cell agree.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import kept, mix64, rows_that_stay, small_or_none, steps, table, text_buffers
 from docloom.llm.components import components
-from docloom.llm.words import ELEMENT_BITS, shingle_elements
+from docloom.llm.words import shingles
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -44,17 +45,25 @@ SIGNED = "doc_id long, text_hash long, row_id long, n_cells long, f1 long, f2 lo
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cells_of(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Document and hash of each unit cell: the c-th time that a shingle stands in a document is its cell c."""
-    elements = shingle_elements(data, offsets, width)
-    doc = (elements >> np.uint64(ELEMENT_BITS)).astype(np.int64)
-    if not len(elements):
-        return doc, elements
-    new = np.r_[True, elements[1:] != elements[:-1]]
-    at = np.arange(len(elements))
+def cells_of(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Document and hash of each unit cell: the c-th time that a shingle stands in a document is its cell c. And two sums
+    over each document's shingles, which texts of the same shingles share."""
+    doc, element, other = shingles(data, offsets, width)
+    n = len(offsets) - 1
+    at = np.searchsorted(doc, np.arange(n + 1))
+    with np.errstate(over="ignore"):
+        sums = [np.r_[np.uint64(0), np.cumsum(mix64(x), dtype=np.uint64)] for x in (element, other)]
+        prints = tuple((p[at[1:]] - p[at[:-1]]).view(np.int64) for p in sums)
+    if not len(doc):
+        return doc, element, prints
+    order = np.argsort(element)
+    order = order[np.argsort(doc[order], kind="stable")]
+    doc, element = doc[order], element[order]
+    new = np.r_[True, (element[1:] != element[:-1]) | (doc[1:] != doc[:-1])]
+    at = np.arange(len(element))
     nth = at - np.maximum.accumulate(np.where(new, at, 0))
     with np.errstate(over="ignore"):
-        return doc, mix64((elements & np.uint64((1 << ELEMENT_BITS) - 1)) + nth.astype(np.uint64) * _ODD)
+        return doc, mix64(element + nth.astype(np.uint64) * _ODD), prints
 
 
 def _slabs():
@@ -110,13 +119,11 @@ def _sign(batches):
     for batch in batches:
         for part in steps(batch, step_bytes=1 << 18):
             n = part.num_rows
-            doc, cells = cells_of(*text_buffers(part.column("text")))
+            doc, cells, (f1, f2) = cells_of(*text_buffers(part.column("text")))
             value = signatures(doc, cells, n)
             sizes = np.bincount(doc, minlength=n)
             at = np.cumsum(np.r_[0, sizes])
             with np.errstate(over="ignore"):
-                prints = [np.r_[np.uint64(0), np.cumsum(mix64(cells ^ np.uint64(s)), dtype=np.uint64)] for s in (3, 5)]
-                f1, f2 = ((p[at[1:]] - p[at[:-1]]).view(np.int64) for p in prints)
                 key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (n, BANDS)).copy()
                 for r in range(ROWS):
                     key = mix64(key * _ODD + value[:, r::ROWS])
@@ -322,7 +329,8 @@ def _grouped(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, class_id, class_size, text_id, kept, text_hash; one row a document.
 
-    text_id is the smallest doc_id of those with the same shingles, class_id the smallest of all that
+    text_id is the smallest doc_id of those with the same shingles, told by two sums of independent hashes of 64 bits
+    over them, class_id the smallest of all that
     links of at least ``similarity`` join, directly or by others. kept marks one row of each class, that
     of class_id. Words stand between spaces and bytes 9 to 13. A text of one to four words is one
     shingle; a null text or one without words is a class of its own. A null doc_id is the largest.

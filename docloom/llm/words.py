@@ -8,11 +8,9 @@ from docloom.llm.common import SPACE, mix64
 
 _MULTIPLIER = np.uint64(0x5851F42D4C957F2D)
 _INVERSE = np.uint64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
-_BYTE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(77))
+_BYTE, _OTHER_BYTE = (mix64(np.arange(256, dtype=np.uint64) + np.uint64(x)) for x in (77, 1077))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
-#: An element of a shingle set: this many bits of the shingle's hash.
-ELEMENT_BITS = 40
 _powers: list[np.ndarray] = []
 
 
@@ -25,11 +23,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, of_byte: np.ndarray = _BYTE) -> np.ndarray:
     """Running sums of byte values times powers; see span_hash()."""
     up, _ = powers(len(data) + 1)
     with np.errstate(over="ignore"):
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * up[: len(data)], dtype=np.uint64)])
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(of_byte[data] * up[: len(data)], dtype=np.uint64)])
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -56,23 +54,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return start, stop, np.searchsorted(offsets, start, "right") - 1
 
 
-def shingle_elements(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> np.ndarray:
-    """Sorted (document << ELEMENT_BITS | hash) of each run of ``width`` words; a shorter text with words is one run."""
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document and two hashes of 64 bits of each run of ``width`` words, in order; a shorter text with words is one run.
+    The hashes have no step in common, so together they have 128 bits."""
     start, stop, doc = word_spans(data, offsets)
     if not len(start):
-        return np.zeros(0, np.uint64)
-    words = span_hash(prefix_hash(data), start, stop)
-    n = len(words)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    n = len(start)
     ends_inside = np.zeros(n, bool)
     ends_inside[: max(0, n - width + 1)] = doc[width - 1 :] == doc[: max(0, n - width + 1)] if n >= width else False
     first = np.r_[True, doc[1:] != doc[:-1]]
     at = np.flatnonzero(ends_inside | first & ~ends_inside)
-    total = np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(width):
-            there = np.minimum(at + j, n - 1)
-            same = (at + j < n) & (doc[there] == doc[at])
-            total = total * np.uint64(0xD6E8FEB86659FD93) + np.where(same, words[there], np.uint64(j + 1))
-            total ^= total >> np.uint64(29)
-    hashes = mix64(total) >> np.uint64(64 - ELEMENT_BITS)
-    return np.sort(doc[at].astype(np.uint64) << np.uint64(ELEMENT_BITS) | hashes)
+    out = []
+    for of_byte, factor in ((_BYTE, np.uint64(0xD6E8FEB86659FD93)), (_OTHER_BYTE, np.uint64(0xA0761D6478BD642F))):
+        words = span_hash(prefix_hash(data, of_byte), start, stop)
+        total = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(width):
+                there = np.minimum(at + j, n - 1)
+                same = (at + j < n) & (doc[there] == doc[at])
+                total = total * factor + np.where(same, words[there], np.uint64(j + 1))
+                total ^= total >> np.uint64(29)
+        out.append(mix64(total))
+    return doc[at], *out

@@ -68,7 +68,7 @@ def test_agreement_is_the_weighted_similarity():
     b = " ".join(f"w{i % 70}" for i in range(100, 420)) + " " + " ".join(f"v{i}" for i in range(80))
     import pyarrow as pa
 
-    doc, cells = minhash.cells_of(*text_buffers(pa.array([a, b])))
+    doc, cells, _ = minhash.cells_of(*text_buffers(pa.array([a, b])))
     hits = np.mean([np.mean(np.equal(*minhash.signatures(doc, cells ^ np.uint64(s * 2**20), 2, 400))) for s in range(1, 9)])
     assert abs(hits - similarity(shingles(a), shingles(b))) < 0.04
 
@@ -85,3 +85,33 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(2, 2), (7, 6)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 0 for i in range(61)} | {1000 + i: 1000 for i in range(50)}
+
+
+def test_short_texts_whose_hashes_shared_40_bits_stay_apart(spark):
+    rows = [(1, "item 2705127", "", 0), (2, "item 3297559", "", 0), (3, "item  2705127", "", 0)]
+    got = {r.doc_id: (r.class_id, r.text_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1, 1, True), 2: (2, 2, True), 3: (1, 1, False)}
+
+
+def test_identities_of_many_short_texts():
+    import pyarrow as pa
+
+    texts = pa.array([f"item {i}" for i in range(1_000_000)])
+    doc, cells, (f1, f2) = minhash.cells_of(*text_buffers(texts))
+    assert len(doc) == len(np.unique(cells)) == len(np.unique(f1)) == len(np.unique(f2)) == 1_000_000
+    assert np.abs(np.corrcoef(f1.astype(float), f2.astype(float))[0, 1]) < 0.01
+
+
+def test_very_long_texts_and_a_hot_bucket(spark):
+    """Texts with a long common part, so that many stand in the same buckets and are no near duplicates."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    long = [word() for _ in range(30_000)]
+    part = [word() for _ in range(70)]
+    rows = [(1, " ".join(long), "", 0), (2, " ".join([*long[:29_000], *(word() for _ in range(500))]), "", 0), (3, " ".join(long[:15_000]), "", 0)]
+    rows += [(10 + i, " ".join([*part, *(word() for _ in range(25))]), "", 0) for i in range(300)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got[1] == got[2] == 1 and got[3] == 3
+    bags = {i: shingles(t) for i, t, *_ in rows if i >= 10}
+    near = [(a, b) for a in bags for b in bags if a < b and similarity(bags[a], bags[b]) >= 0.8]
+    assert not near and all(got[i] == i for i in bags)
