@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from docloom import catalogue, catalogue_rules, catalogue_updates  # noqa: F401
+from docloom import catalogue, catalogue_packages, catalogue_rules, catalogue_updates  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
