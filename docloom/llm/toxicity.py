@@ -36,8 +36,8 @@ CALIBRATE = 5
 FIRST_BYTES, PRIOR = (3, 4, 5, 6, 7, 8), 4.0
 #: What a term costs; segments of which a clean document has fewer than this are significant; the score from which one is toxic.
 SHIFT, EXPECTED, TOXIC = 1.0, 0.01, 0.7
-#: A feature is told apart from the one before it if their scores differ by so much.
-LEAST_STEP = 0.25
+#: A feature is told apart from the one before it if their scores differ by so much, and known if so many documents have it.
+LEAST_STEP, LEAST_DOCS = 0.25, 3
 #: Bounds of L: scores are log-odds, for which it is about 1, and more where clean documents have no high ones.
 SCALE = (0.2, 2.0)
 #: Share of labels that the calibration takes for wrong, and the slopes that it tries.
@@ -277,7 +277,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_DOCS) -> Model:
     apart = once.withColumnRenamed("toxic", "toxic_")
     chosen = sample.join(small_or_none(apart), F.col("doc_id") == F.col("id")).select("text", "toxic", "calibrates")
     counted = chosen.where("not calibrates").select("text", "toxic").mapInArrow(_features, "feature long, before long, level int, clean long, toxic long")
-    counts = counted.groupBy("feature").agg(F.first("before").alias("before"), F.first("level").alias("level"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 2").toPandas()
+    counts = counted.groupBy("feature").agg(F.first("before").alias("before"), F.first("level").alias("level"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = kept(counts.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS))
+    # only what stands out, and what stands behind such a beginning, reaches the driver; all others score 0
+    share = sizes.get((1, False), 0) / max(sizes.get((0, False), 0) + sizes.get((1, False), 0), 1)
+    theta = (F.col("toxic") + PRIOR * share) / (F.col("clean") + F.col("toxic") + PRIOR)
+    out = F.log(theta / (1 - theta)) - float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))) >= LEAST_STEP
+    begins = counts.where(out).select(F.col("feature").alias("begins"))
+    counts = counts.where(out).unionByName(counts.where(~out).join(begins, F.col("before") == F.col("begins"), "left_semi")).toPandas()
     feature, before = (counts[c].to_numpy(np.int64).view(np.uint64) for c in ("feature", "before"))
     model = scored(*(counts[c].to_numpy(np.float64) for c in ("clean", "toxic")), feature, before, counts["level"].to_numpy(), sizes.get((0, False), 0), sizes.get((1, False), 0))
     held = kept(chosen.where("calibrates").select("text", "toxic"), "zstd")
