@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.catalogue import LINES_SQL, lines, query, read
 from docloom.catalogue_rules import RULES_SQL, pick, pick_sql, rules_of
 from docloom.functions import constants as K
-from docloom.operators import authority, profiles, structure, update
+from docloom.operators import authority, mapped, profiles, structure, update
 from docloom.plans import apply
 from docloom.plans import audit as plan
 
@@ -17,36 +17,68 @@ sha = lambda c: F.sha2(c, 256)
 # -- updates
 
 
-@query(f"""WITH {LINES_SQL}, r AS (SELECT doc_id, doc_id % 3 AS a, doc_id % 3 + 2 AS b FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, 1 + doc_id % 4 FROM documents WHERE doc_id % 5 = 0),
-i AS (SELECT doc_id, pos, bool_or(pos = a) AS opens FROM lines JOIN r USING (doc_id) WHERE pos BETWEEN a AND b GROUP BY 1, 2)
-SELECT doc_id, pos::INT AS pos, sha256(CASE WHEN opens THEN '[[TOC]]' ELSE text END) AS text_sha256 FROM lines LEFT JOIN i USING (doc_id, pos) WHERE coalesce(opens, true)""")
+@query(f"""WITH {LINES_SQL}, r AS (SELECT doc_id, 0 AS ord, doc_id % 3 AS a, doc_id % 3 + 2 AS b, doc_id % 4 + 1 AS levels FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, 1, 1 + doc_id % 4, 4 FROM documents WHERE doc_id % 5 = 0),
+s AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1), g AS (SELECT r.*, b >= n AS out FROM r JOIN s USING (doc_id)),
+c AS (SELECT doc_id, ord, a, levels, pos, text, row_number() OVER (PARTITION BY doc_id, pos ORDER BY ord) > 1 AS again FROM g JOIN lines USING (doc_id) WHERE NOT out AND pos BETWEEN a AND b),
+f AS (SELECT doc_id, min(fault) AS fault FROM (SELECT doc_id, 'toc_out_of_bounds' AS fault FROM g WHERE out UNION ALL SELECT doc_id, 'toc_changed' FROM c WHERE doc_id % 7 = 0 AND pos = a OR again AND text <> '') GROUP BY 1),
+i AS (SELECT doc_id, pos, coalesce(string_agg('TOC \\o "1-' || levels || '" \\h \\z \\u', '|' ORDER BY ord) FILTER (pos = a), '') AS fields FROM c GROUP BY 1, 2)
+SELECT doc_id, pos::INT AS pos, sha256(CASE WHEN i.fields IS NULL THEN text ELSE '' END) AS text_sha256, coalesce(i.fields, '') AS fields, coalesce(fault, '') AS fault FROM lines LEFT JOIN i USING (doc_id, pos) LEFT JOIN f USING (doc_id)""")
 def toc_update(spark, d):
+    """Tables of contents cleared and made fields, their hashes checked paragraph by paragraph; what doesn't hold is told."""
     k = F.col("doc_id")
+    p = _spotted(lines(spark, d).withColumn("style", F.lit("Normal")))
     docs = read(spark, d, "documents")
-    ranges = docs.where(k % 2 == 0).select("doc_id", (k % 3).alias("first"), (k % 3 + 2).alias("last")).unionByName(docs.where(k % 5 == 0).select("doc_id", F.lit(1).cast("long").alias("first"), (1 + k % 4).alias("last")))
-    return update.toc(lines(spark, d), ranges).select("doc_id", "pos", sha(F.col("text")).alias("text_sha256"))
+    ranges = docs.where(k % 2 == 0).select("doc_id", F.lit(0).alias("ord"), (k % 3).alias("first"), (k % 3 + 2).alias("last"), (k % 4 + 1).cast("int").alias("levels"))
+    ranges = ranges.unionByName(docs.where(k % 5 == 0).select("doc_id", F.lit(1).alias("ord"), F.lit(1).cast("long").alias("first"), (1 + k % 4).alias("last"), F.lit(None).cast("int").alias("levels")))
+    asked = F.when((k % 7 == 0) & (F.col("place") == F.col("first")), "other").otherwise(sha(F.col("text")))
+    hashes = ranges.join(p, "doc_id").where(F.col("place").between(F.col("first"), F.col("last"))).groupBy("doc_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", asked.alias("h")))), lambda x: x["h"]).alias("hashes"))
+    step = mapped.toc(p, ranges.join(hashes, ["doc_id", "ord"], "left").withColumn("hashes", F.coalesce("hashes", F.array().cast("array<string>"))))
+    fields = step.fields.groupBy("doc_id", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "instruction"))), lambda x: x["instruction"]), "|").alias("fields"))
+    faults = step.faults.groupBy("doc_id").agg(F.min("fault").alias("fault"))
+    out = step.after.join(fields, ["doc_id", "place"], "left").join(faults, "doc_id", "left").fillna("", ["fields", "fault"])
+    return out.select("doc_id", F.col("place").alias("pos"), sha(F.col("text")).alias("text_sha256"), "fields", "fault")
+
+
+def _spotted(paragraphs: DataFrame) -> DataFrame:
+    return paragraphs.select("doc_id", F.col("pos").alias("place"), mapped.body_spot(F.col("pos")).alias("spot"), "text", "style")
 
 
 NUMBERS = ["第3章 ", "2.1 ", "2.1.3 ", "2.1.3.4 "]
 
 
-@query(f"""WITH {LINES_SQL}, h AS (SELECT doc_id, pos, pos % 4 + 1 AS level, doc_id % 7 <> 0 AS bound, {pick_sql('pos', NUMBERS)} AS number, regexp_replace(text, '^\\s+', '') AS text FROM lines WHERE pos % 3 <> 0)
-SELECT doc_id, pos::INT AS pos, sha256(CASE WHEN bound THEN text ELSE number || text END) AS text_sha256, CASE WHEN bound THEN 'Heading ' || level ELSE 'Normal' END AS style FROM h""")
+@query(f"""WITH {LINES_SQL}, h AS (SELECT doc_id, pos, pos % 4 + 1 AS level, doc_id % 7 <> 0 AND pos % 11 <> 0 AS bound, {pick_sql('pos', NUMBERS)} || regexp_replace(text, '^\\s+', '') AS text FROM lines WHERE pos % 3 <> 0)
+SELECT doc_id, pos::INT AS pos, sha256(text) AS text_sha256, CASE WHEN bound THEN 'Heading ' || level ELSE 'Normal' END AS style FROM h""")
 def heading_update(spark, d):
+    """Approved headings get the style of their level; their numbers stay in the text."""
     p = lines(spark, d).where(F.col("pos") % 3 != 0)
-    p = p.select("doc_id", "pos", F.concat(pick(F.col("pos"), NUMBERS), F.regexp_replace("text", "^[ \\t\\n\\f\\r]+", "")).alias("text"), F.lit("Normal").alias("style"))
-    approved = p.select("doc_id", "pos", (F.col("pos") % 4 + 1).alias("level"), F.when(F.col("doc_id") % 7 != 0, sha(F.col("text"))).otherwise("other").alias("text_sha256"))
-    return update.headings(p, approved).select("doc_id", "pos", sha(F.col("text")).alias("text_sha256"), "style")
+    p = _spotted(p.select("doc_id", "pos", F.concat(pick(F.col("pos"), NUMBERS), F.regexp_replace("text", "^[ \\t\\n\\f\\r]+", "")).alias("text"), F.lit("Normal").alias("style")))
+    approved = p.select("doc_id", "spot", F.when(F.col("place") % 11 == 0, 5).otherwise(F.col("place") % 4 + 1).alias("level"), F.when(F.col("doc_id") % 7 != 0, sha(F.col("text"))).otherwise("other").alias("text_sha256"))
+    return mapped.headings(p, approved).after.select("doc_id", F.col("place").alias("pos"), sha(F.col("text")).alias("text_sha256"), "style")
 
 
-@query(f"""WITH p AS (SELECT p_size AS doc_id, p_partkey AS pos, {pick_sql('p_partkey', K.CAPTION_ACTIONS)} AS action, p_partkey % 6 <> 0 AS bound, CASE WHEN p_partkey % 2 = 0 THEN '图' ELSE '表' END AS label, p_name FROM part)
-SELECT doc_id, pos, CASE WHEN bound AND action = 'replace_identifier' THEN label || ' 9.9-9 ' || p_name WHEN bound AND action = 'convert_to_seq' THEN label || ' 3.2-[[SEQ:' || CASE label WHEN '图' THEN 'Figure' ELSE 'Table' END || ']] ' || p_name
-  ELSE label || ' 3.2-1 ' || p_name END AS text, CASE WHEN bound AND action <> 'preserve' THEN 'Caption' ELSE 'Normal' END AS style FROM p""")
+@query(f"""WITH p AS (SELECT p_size AS doc_id, p_partkey AS pos, CASE WHEN p_partkey % 10 = 9 THEN 'convert_to_seq' ELSE {pick_sql('p_partkey', K.CAPTION_ACTIONS)} END AS action, CASE WHEN p_partkey % 2 = 0 THEN '图' ELSE '表' END AS label, p_name FROM part),
+f AS (SELECT *, pos % 6 = 0 OR action = 'replace_identifier' AND pos % 8 = 3 OR action = 'convert_to_seq' AND pos % 9 = 4 AS bad FROM p)
+SELECT doc_id, pos, CASE WHEN NOT bad AND action = 'replace_identifier' THEN label || ' 9.9-9 ' || p_name WHEN NOT bad AND action = 'convert_to_seq' THEN label || ' - ' || p_name ELSE label || ' 3.2-1 ' || p_name END AS text,
+  CASE WHEN NOT bad AND action IN ('convert_to_seq', 'move_caption') THEN 'Caption' ELSE 'Normal' END AS style,
+  CASE WHEN NOT bad AND action = 'convert_to_seq' THEN '2:STYLEREF 2 \\s=3.2|3:SEQ ' || CASE label WHEN '图' THEN 'Figure' ELSE 'Table' END || ' \\* ARABIC \\s 2=1' ELSE '' END AS fields FROM f""")
 def caption_update(spark, d):
+    """The actions of captions: identifiers replaced where all around is as approved, sequences with the style of their chapter."""
     k = F.col("p_partkey")
-    p = read(spark, d, "part").select(F.col("p_size").alias("doc_id"), k.alias("pos"), F.concat(F.when(k % 2 == 0, "图").otherwise("表"), F.lit(" 3.2-1 "), "p_name").alias("text"), F.lit("Normal").alias("style"))
-    approved = p.select("doc_id", "pos", pick(F.col("pos"), K.CAPTION_ACTIONS).alias("action"), F.when(F.col("pos") % 6 != 0, sha(F.col("text"))).otherwise("other").alias("text_sha256"), F.lit("9.9-9").alias("replacement"))
-    return update.captions(p, approved)
+    label = F.when(k % 2 == 0, "图").otherwise("表")
+    p = _spotted(read(spark, d, "part").select(F.col("p_size").alias("doc_id"), k.alias("pos"), F.concat(label, F.lit(" 3.2-1 "), "p_name").alias("text"), F.lit("Normal").alias("style")))
+    at, t = F.col("place"), F.col("text")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    approved = p.select(
+        "doc_id", "spot", F.lit(0).alias("ord"), F.when(at % 10 == 9, "1.1").otherwise("1.2").alias("version"), pick(at, K.CAPTION_ACTIONS).alias("action"), F.when(at % 6 != 0, sha(t)).otherwise("other").alias("text_sha256"),
+        F.lit(False).alias("migrate_outside_table"), F.lit(2).alias("start"), F.lit(7).alias("stop"), sha(F.lit("3.2-1")).alias("identifier_sha256"), sha(F.substring(t, 1, 2)).alias("identifier_prefix_sha256"),
+        F.when(at % 8 != 3, sha(F.substring(t, F.lit(8), F.length(t)))).otherwise("other").alias("identifier_suffix_sha256"), F.lit("9.9-9").alias("replacement_identifier"),
+        F.when(at % 9 == 4, "?").otherwise(F.substring(t, 1, 1)).alias("label"), F.when(at % 2 == 0, "Figure").otherwise("Table").alias("sequence_name"), F.lit(2).alias("heading_level"), none("cached_hierarchy"), none("cached_sequence"),
+    )
+    rows = spark.createDataFrame([], "doc_id int, table int, row int, cells int")
+    step, _, _ = mapped.captions(p, rows, rows.select("doc_id", "table", F.lit(None).cast("long").alias("place")), approved)
+    one = F.concat(F.col("at").cast("string"), F.lit(":"), "instruction", F.lit("="), "shown")
+    fields = step.fields.groupBy("doc_id", "place").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", one.alias("f")))), lambda x: x["f"]), "|").alias("fields"))
+    return step.after.join(fields, ["doc_id", "place"], "left").fillna("", ["fields"]).select("doc_id", F.col("place").alias("pos"), "text", "style", "fields")
 
 
 @query("""WITH c AS (SELECT l_orderkey AS t, l_linenumber AS r, l_partkey AS cell, min(l_suppkey % 3) AS id, min(l_suppkey)::VARCHAR AS text FROM lineitem GROUP BY 1, 2, 3),
@@ -324,36 +356,56 @@ def automatic_rules(spark, d):
 # -- a whole map
 
 
-@query(f"""WITH {LINES_SQL}, p AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 3 THEN '2.1 ' ELSE '' END || regexp_replace(text, '^\\s+', '') AS text FROM lines),
-t AS (SELECT doc_id, 'toc' AS kind, 0 AS step, count(*) FILTER (pos = 1) AS n FROM p WHERE doc_id % 2 = 0 GROUP BY 1), h AS (SELECT doc_id, 'headings' AS kind, 1 AS step, count(*) AS n FROM p WHERE pos % 4 = 3 AND doc_id % 3 <> 0 GROUP BY 1),
-b AS (SELECT doc_id, 'tables' AS kind, 2 AS step, count(*) AS n FROM documents WHERE doc_id % 5 = 0 GROUP BY 1)
-SELECT doc_id, step::INT AS step, kind, n AS targets FROM (FROM t UNION ALL FROM h UNION ALL FROM b) WHERE n > 0""")
+MAPPED_SQL = f"""{LINES_SQL}, p AS (SELECT doc_id, pos, CASE WHEN pos % 4 = 3 THEN '2.1 ' ELSE '' END || regexp_replace(text, '^\\s+', '') AS text FROM lines), z AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY 1),
+bad AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND n < 3 THEN 0 ELSE 2 END AS step, CASE WHEN doc_id % 2 = 0 AND n < 3 THEN 'toc_out_of_bounds' ELSE 'table_changed' END AS fault FROM z WHERE doc_id % 2 = 0 AND n < 3 OR doc_id % 15 = 0)"""
+
+
+@query(f"""WITH {MAPPED_SQL}, t AS (SELECT doc_id, 0 AS step, 'toc' AS kind, 2 AS n FROM z WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, 'headings', count(*) FROM p WHERE pos % 4 = 3 AND doc_id % 3 <> 0 GROUP BY 1
+  UNION ALL SELECT doc_id, 2, 'tables', 1 FROM z WHERE doc_id % 5 = 0 UNION ALL SELECT doc_id, 3, 'captions', 1 FROM z WHERE doc_id % 10 = 5)
+SELECT doc_id, step::INT AS step, kind, n::BIGINT AS targets FROM t WHERE doc_id NOT IN (SELECT doc_id FROM bad) UNION ALL SELECT doc_id, step::INT, 'fault ' || fault, 0 FROM bad""")
 def map_application(spark, d):
-    """A map applied in its fixed order, and the kinds of change that it makes in each document."""
-    document, approved = _mapped(spark, d)
-    return apply.apply_map(document, approved)[1]
+    """A map applied in its fixed order: the kinds of change that it makes in each document, or the first fault, which leaves it as it was."""
+    _, changes, faults = apply.apply_map(*_mapped(spark, d))
+    return changes.unionByName(faults.select("doc_id", "step", F.concat(F.lit("fault "), "fault").alias("kind"), F.lit(0).cast("long").alias("targets")))
 
 
-@query(f"""WITH {LINES_SQL}, p AS (SELECT doc_id, pos, regexp_replace(text, '^\\s+', '') AS text, pos % 4 = 3 AS h FROM lines WHERE NOT (doc_id % 2 = 0 AND pos = 2))
-SELECT doc_id, pos::INT AS pos, sha256(CASE WHEN doc_id % 2 = 0 AND pos = 1 THEN '[[TOC]]' WHEN h AND doc_id % 3 <> 0 THEN text WHEN h THEN '2.1 ' || text ELSE text END) AS text_sha256, CASE WHEN h AND doc_id % 3 <> 0 THEN 'Heading 2' ELSE 'Normal' END AS style FROM p""")
+@query(f"""WITH {MAPPED_SQL}, x AS (SELECT p.*, doc_id % 2 = 0 AND pos IN (1, 2) AS cleared, pos % 4 = 3 AND doc_id % 3 <> 0 AS h, doc_id IN (SELECT doc_id FROM bad) AS bad FROM p),
+c AS (SELECT doc_id, doc_id % 10 = 5 AND doc_id NOT IN (SELECT doc_id FROM bad) AS moved, doc_id IN (SELECT doc_id FROM bad) AS bad FROM z WHERE doc_id % 5 = 0)
+SELECT doc_id, 'b/' || pos AS what, pos AS place, sha256(CASE WHEN cleared AND NOT bad THEN '' ELSE text END) AS value, CASE WHEN h AND NOT bad THEN 'Heading 2' ELSE 'Normal' END AS style FROM x
+UNION ALL SELECT doc_id, 'c/0/0/0/0', CASE WHEN moved THEN 1000000 ELSE 1000001 END, sha256('表 1.1-1 t'), CASE WHEN moved THEN 'Caption' ELSE 'Normal' END FROM c
+UNION ALL SELECT doc_id, 'c/0/1/0/0', 1000002, sha256('head'), 'Normal' FROM c
+UNION ALL SELECT doc_id, 'row', CASE WHEN moved THEN i - 1 ELSE i END, CASE WHEN i = 1 AND NOT bad THEN 'header' ELSE '' END, CASE WHEN i > 0 AND NOT bad THEN 'whole' ELSE '' END FROM c, range(3) t(i) WHERE NOT (moved AND i = 0)""")
 def map_result(spark, d):
-    """The paragraphs after a whole map."""
-    document, approved = _mapped(spark, d)
-    return apply.apply_map(document, approved)[0]["paragraphs"].select("doc_id", "pos", sha(F.col("text")).alias("text_sha256"), "style")
+    """The paragraphs and rows after a whole map: cleared, styled, and captions before their tables."""
+    after, _, _ = apply.apply_map(*_mapped(spark, d))
+    p = after["paragraphs"].select("doc_id", F.col("spot").alias("what"), F.col("place").cast("long").alias("place"), sha(F.col("text")).alias("value"), "style")
+    flag = lambda c, name: F.when(F.col(c), name).otherwise("")
+    return p.unionByName(after["rows"].select("doc_id", F.lit("row").alias("what"), F.col("row").cast("long").alias("place"), flag("is_header", "header").alias("value"), flag("cant_split", "whole").alias("style")))
 
 
 def _mapped(spark, d) -> tuple[dict, dict]:
+    k = F.col("doc_id")
     bare = F.regexp_replace("text", "^[ \\t\\n\\f\\r]+", "")
-    p = lines(spark, d).select("doc_id", "pos", F.concat(F.when(F.col("pos") % 4 == 3, "2.1 ").otherwise(""), bare).alias("text"), F.lit("Normal").alias("style"))
+    p = _spotted(lines(spark, d).select("doc_id", "pos", F.concat(F.when(F.col("pos") % 4 == 3, "2.1 ").otherwise(""), bare).alias("text"), F.lit("Normal").alias("style"))).withColumn("place", F.col("place").cast("long"))
     docs = read(spark, d, "documents").select("doc_id")
-    rows = docs.where("doc_id % 5 = 0").select("doc_id", F.lit(0).alias("table"), F.explode(F.array(F.lit(0), F.lit(1))).alias("row"), F.lit(False).alias("is_header"), F.lit(False).alias("cant_split"))
-    sections = docs.select("doc_id", F.lit(0).alias("idx"))
-    none = lambda schema: spark.createDataFrame([], schema)
+    tabled = docs.where(k % 5 == 0)
+    cell = lambda place, spot, text: F.struct(F.lit(place).cast("long").alias("place"), F.lit(spot).alias("spot"), F.lit(text).alias("text"))
+    cells = tabled.select("doc_id", F.explode(F.array(cell(1_000_001, "c/0/0/0/0", "表 1.1-1 t"), cell(1_000_002, "c/0/1/0/0", "head"))).alias("x"))
+    rows = tabled.select("doc_id", F.lit(0).alias("table"), F.explode(F.array(*map(F.lit, range(3)))).alias("row"), F.lit(False).alias("is_header"), F.lit(False).alias("cant_split"), F.lit(1).alias("cells"))
+    tables = tabled.select("doc_id", F.lit(0).alias("table"), F.lit(1_000_000).cast("long").alias("place"), F.lit(3).alias("rows"), F.lit("t").alias("table_text_sha256"), F.lit("f").alias("first_row_sha256"))
+    toc = p.where((k % 2 == 0) & F.col("place").isin(1, 2)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", sha(F.col("text")).alias("h")))), lambda x: x["h"]).alias("hashes"))
+    toc = docs.where(k % 2 == 0).join(toc, "doc_id", "left").select("doc_id", F.lit(0).alias("ord"), F.lit(1).alias("first"), F.lit(2).alias("last"), F.coalesce("hashes", F.array().cast("array<string>")).alias("hashes"), F.lit(3).alias("levels"))
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    move = docs.where(k % 10 == 5).select(
+        "doc_id", F.lit("c/0/0/0/0").alias("spot"), F.lit(0).alias("ord"), F.lit("1.2").alias("version"), F.lit("move_caption").alias("action"), sha(F.lit("表 1.1-1 t")).alias("text_sha256"), F.lit(True).alias("migrate_outside_table"),
+        *none("int", "start", "stop", "heading_level"), *none("string", "identifier_sha256", "identifier_prefix_sha256", "identifier_suffix_sha256", "replacement_identifier", "label", "sequence_name", "cached_hierarchy", "cached_sequence"),
+    )
     approved = {
-        "toc": docs.where("doc_id % 2 = 0").select("doc_id", F.lit(1).alias("first"), F.lit(2).alias("last")),
-        "headings": p.where("pos % 4 = 3 and doc_id % 3 <> 0").select("doc_id", "pos", F.lit(2).alias("level"), sha(F.col("text")).alias("text_sha256")),
-        "tables": docs.where("doc_id % 5 = 0").select("doc_id", F.lit(0).alias("table"), F.lit(None).cast("array<int>").alias("header_rows"), F.lit(None).cast("int").alias("caption_row")),
-        "captions": none("doc_id long, pos int, action string, text_sha256 string, replacement string"),
-        "trailing_sections": none("doc_id long, idx int"),
-    }
-    return {"paragraphs": p, "rows": rows, "sections": sections, "empty_sections": none("doc_id long, idx int")}, approved
+        "toc": toc,
+        "headings": p.where("place % 4 = 3 and doc_id % 3 <> 0").select("doc_id", "spot", F.lit(2).alias("level"), sha(F.col("text")).alias("text_sha256")),
+        "tables": tabled.select("doc_id", F.lit(True).alias("semantic"), F.lit(0).alias("table"), F.lit("data").alias("kind"), F.lit("t").alias("table_text_sha256"), F.when(k % 15 == 0, "other").otherwise("f").alias("first_row_sha256"),
+                                F.array(F.lit(1)).alias("repeat_header_rows"), F.lit(False).alias("repeat_header"), F.lit(True).alias("prevent_normal_row_split"), F.lit(0).alias("caption_row")),
+        "captions": move,
+    }
+    paragraphs = p.unionByName(cells.select("doc_id", "x.place", "x.spot", "x.text", F.lit("Normal").alias("style")))
+    return {"paragraphs": paragraphs, "rows": rows, "tables": tables}, approved

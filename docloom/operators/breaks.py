@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,16 +41,16 @@ def trailing_empty(nodes: DataFrame) -> DataFrame:
     )
 
 
-def without_trailing(nodes: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
+def without_trailing(nodes: DataFrame, approved: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """approved: rows of trailing_empty() with approved_delete -> the body's children that stay (doc_id, child, node, tag, section, sect), and
     faults(doc_id, section, fault).
 
     Sections go from the end inward: of the approved ones the last must be the document's last, the next the one before it, and so on.
     Each must name its boundary by place and hash, still be empty, be safe by its evidence, and have no page numbers, first page or
     headers of its own. A document with a fault keeps all its children, and its first fault is told. Otherwise what follows the last
-    boundary that stays goes; the boundary gives its break to the body, and goes too if it then holds nothing.
+    boundary that stays goes; the boundary gives its break to the body, and goes too if it then holds nothing. ``keep`` writes what is used again.
     """
-    children = parts.body_children(nodes)
+    children = keep(parts.body_children(nodes))
     wanted = approved.where("approved_delete").select(
         "doc_id", "section", F.col("previous_boundary_paragraph").alias("paragraph"), F.col("previous_boundary_sha256").alias("sha256"), F.col("evidence.safe_to_delete").alias("safe"),
         F.coalesce("evidence.header_footer_has_payload", F.lit(True)).alias("told_payload"),
@@ -66,7 +68,7 @@ def without_trailing(nodes: DataFrame, approved: DataFrame) -> tuple[DataFrame,
         .when(F.col("found") != F.col("sha256"), "boundary_changed").when(F.coalesce("filled", F.lit(False)), "no_longer_empty").when(F.col("breaks").isNull(), "boundary_without_break")
         .when(F.coalesce("own_pages", F.lit(False)) | (F.coalesce("refers", F.lit(False)) & F.col("told_payload")), "own_settings")
     )
-    judged = tried.withColumn("fault", fault)
+    judged = keep(tried.withColumn("fault", fault))
     faults = judged.where("fault is not null").groupBy("doc_id").agg(F.max_by("fault", "section").alias("fault"), F.max("section").alias("section"))
     going = judged.join(faults.select("doc_id"), "doc_id", "left_anti").groupBy("doc_id").agg(F.min("section").alias("from"))
     every = Window.partitionBy("doc_id")

@@ -79,42 +79,6 @@ def fields_from_markers(paragraphs: DataFrame, bookmarks: DataFrame) -> DataFram
     return named.join(there, ["doc_id", "name"], "left").select("doc_id", "pos", "nth", "marker", "instruction", F.coalesce(known, F.lit(False)).alias("known"))
 
 
-def toc(paragraphs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Static tables of contents, ranges(doc_id, first, last): the first paragraph of each becomes the marker, the others go. Where ranges overlap
-    a paragraph that is the first of one of them stays."""
-    inside = paragraphs.select("doc_id", "pos").join(ranges, "doc_id").where(F.col("pos").between(F.col("first"), F.col("last")))
-    inside = inside.groupBy("doc_id", "pos").agg(F.bool_or(F.col("pos") == F.col("first")).alias("opens"))
-    marked = paragraphs.join(inside, ["doc_id", "pos"], "left").where("opens is null or opens")
-    return marked.withColumn("text", F.when(F.col("opens"), "[[TOC]]").otherwise(F.col("text"))).select(*paragraphs.columns)
-
-
-def headings(paragraphs: DataFrame, approved: DataFrame) -> DataFrame:
-    """approved(doc_id, pos, level, text_sha256): style and text without its number, where the hash is that of the paragraph."""
-    a = approved.select("doc_id", "pos", "level", F.col("text_sha256").alias("sha"))
-    joined = paragraphs.join(a, ["doc_id", "pos"], "left")
-    bound = F.sha2("text", 256) == F.col("sha")
-    bare = F.col("text")
-    for level in (1, 2, 3, 4):
-        bare = F.when(F.col("level") == level, F.substring("text", F.length(T.heading_prefix(F.col("text"), level)) + 1, F.length("text"))).otherwise(bare)
-    return joined.select("doc_id", "pos", F.when(bound, bare).otherwise(F.col("text")).alias("text"), F.when(bound, F.concat(F.lit("Heading "), F.col("level").cast("string"))).otherwise(F.col("style")).alias("style"))
-
-
-def captions(paragraphs: DataFrame, approved: DataFrame) -> DataFrame:
-    """approved(doc_id, pos, action, text_sha256, replacement): style, replaced identifiers and sequence fields."""
-    joined = paragraphs.join(approved.withColumnRenamed("text_sha256", "sha"), ["doc_id", "pos"], "left")
-    bound, c = F.sha2("text", 256) == F.col("sha"), T.caption(F.col("text"))
-    head = F.substring(F.col("text"), F.lit(1), c["identifier_start"])
-    tail = F.substring(F.col("text"), c["identifier_stop"] + 1, F.length("text"))
-    field = F.concat(F.lit("[[SEQ:"), c["sequence_name"], F.lit("]]"))
-    text = (
-        F.when(bound & (F.col("action") == "replace_identifier") & c["identifier"].isNotNull(), F.concat(head, F.col("replacement"), tail))
-        .when(bound & (F.col("action") == "convert_to_seq") & c["sequence"].isNotNull(), F.concat(c["label"], F.lit(" "), c["hierarchy"], F.lit("-"), field, F.lit(" "), T.extract(F.col("text"), K.CAPTION, 4)))
-        .otherwise(F.col("text"))
-    )
-    styled = bound & (F.col("action") != "preserve")
-    return joined.select("doc_id", "pos", text.alias("text"), F.when(styled, "Caption").otherwise(F.col("style")).alias("style"))
-
-
 def caption_rows_moved(cells: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
     """cells(doc_id, table, row, cell, cell_id, text), approved(doc_id, table, caption_row) -> cells without the rows, and the paragraphs (doc_id, table, text)
     that stand before their tables instead. Only a row of one merged cell moves."""

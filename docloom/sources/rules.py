@@ -17,17 +17,20 @@ def schema_path() -> str:
 with open(schema_path(), encoding="utf-8") as _file:
     PROFILE = _file.read()
 LOCATOR = "struct<kind:string,table:int,row:int,cell:int,paragraph:int>"
+EVIDENCE = """struct<header_reference_count:int,footer_reference_count:int,header_footer_has_payload:boolean,page_number_start:string,different_first_page:boolean,section_type:string,
+  has_page_geometry:boolean,empty_header_footer_references:boolean,safe_to_delete:boolean>"""
+#: The fields of structure maps as they are written (fixed values: their names and kinds), of all their versions.
 MAP = f"""
-schema_version string, status string, source struct<content_fingerprint:string>, conflicts array<string>,
-paragraph_roles array<struct<locator:{LOCATOR},text_sha256:string,role:string,approved:boolean>>,
-headings array<struct<paragraph:int,level:int,cached_number:array<int>,text_sha256:string,approved:boolean>>,
-captions array<struct<locator:{LOCATOR},text_sha256:string,label:string,sequence_name:string,numbering_mode:string,identifier_semantics:string,domain_context:string,domain_confidence:string,action:string,completeness:string,
+schema_version string, status string, source_content_fingerprint_sha256 string, conflicts array<string>,
+paragraph_roles array<struct<locator:{LOCATOR},text_sha256:string,role:string,source_style:string,direct_format_sha256:string,approved:boolean>>,
+headings array<struct<paragraph:int,locator:{LOCATOR},level:int,cached_number:array<int>,text_sha256:string,approved:boolean>>,
+captions array<struct<paragraph:int,locator:{LOCATOR},text_sha256:string,label:string,sequence_name:string,numbering_mode:string,identifier_semantics:string,domain_context:string,domain_confidence:string,action:string,completeness:string,
   hierarchy_status:string,heading_level:int,cached_hierarchy:string,cached_sequence:string,identifier_span:struct<start:int,end:int>,identifier_sha256:string,identifier_prefix_sha256:string,identifier_suffix_sha256:string,
   title_text_sha256:string,title_span_start:int,replacement_identifier:string,replacement_confirmed:boolean,migrate_outside_table:boolean,approved:boolean>>,
-tables array<struct<table:int,kind:string,caption_row:int,header_rows:array<int>,repeat_header_rows:array<int>,text_sha256:string,approved:boolean>>,
+tables array<struct<table:int,kind:string,table_text_sha256:string,first_row_sha256:string,caption_row:int,header_rows:array<int>,repeat_header_rows:array<int>,repeat_header:boolean,prevent_normal_row_split:boolean,approved:boolean>>,
 toc_ranges array<struct<start_paragraph:int,end_paragraph:int,paragraph_sha256:array<string>,levels:int,approved:boolean>>,
-trailing_sections array<struct<section:int,approved:boolean>>,
-numbering struct<mode:string,chapter_start:int,approved:boolean,anomalies:array<struct<kind:string,status:string>>>"""
+trailing_empty_sections array<struct<section:int,previous_boundary_paragraph:int,previous_boundary_sha256:string,approved_delete:boolean,confidence:string,evidence:{EVIDENCE}>>,
+numbering struct<mode:string,chapter_start:int,heading_levels:int,expected_progression:string,approved:boolean,anomalies:array<struct<kind:string,status:string>>>"""
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:

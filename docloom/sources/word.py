@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import constants as K
+
 MAIN = "word/document.xml"
 #: Elements that a paragraph may not lose.
 PAYLOAD = ["w:tbl", "w:drawing", "w:object", "w:pict", "w:bookmarkStart", "w:commentRangeStart", "w:footnoteReference", "w:endnoteReference", "w:fldChar"]
@@ -116,9 +118,11 @@ def runs(nodes: DataFrame) -> DataFrame:
 
 
 def rows(nodes: DataFrame) -> DataFrame:
-    """doc_id, table, row, is_header, cant_split, cells of every table of the main part, tables in document order."""
-    main = nodes.where((F.col("part") == MAIN) & F.col("tbl").isNotNull())
-    tables = main.where("tag = 'w:tbl'").select("doc_id", "tbl").withColumn("table", F.row_number().over(Window.partitionBy("doc_id").orderBy("tbl")) - 1)
+    """doc_id, table, row, is_header, cant_split, cells of the tables that stand in the body itself, in document order, as paragraphs() numbers them."""
+    whole = nodes.where(F.col("part") == MAIN)
+    main = whole.where("tbl is not null")
+    body = whole.where("tag = 'w:body'").select("doc_id", F.col("node").alias("body"))
+    tables = main.where("tag = 'w:tbl'").join(body, "doc_id").where("parent = body").select("doc_id", "tbl").withColumn("table", F.row_number().over(Window.partitionBy("doc_id").orderBy("tbl")) - 1)
     found = main.where("tr is not null").groupBy("doc_id", "tbl", "tr").agg(
         F.coalesce(toggle("w:tblHeader"), F.lit(False)).alias("is_header"), F.coalesce(toggle("w:cantSplit"), F.lit(False)).alias("cant_split"), F.count_if(F.col("tag") == "w:tc").cast("int").alias("cells")
     )
@@ -126,6 +130,33 @@ def rows(nodes: DataFrame) -> DataFrame:
     return found.join(tables, ["doc_id", "tbl"]).select("doc_id", "table", "row", "is_header", "cant_split", "cells")
 
 
+def table_hashes(nodes: DataFrame) -> DataFrame:
+    """doc_id, table, place (its node), rows, table_text_sha256, first_row_sha256 of the tables that stand in the body itself.
+
+    The text of a cell is that of its own paragraphs, a line each; a cell that spans columns counts in each, and one that goes on from
+    the row above has its text. Cells of a row are joined by CELL_END, rows by ROW_END.
+    """
+    main = nodes.where(F.col("part") == MAIN)
+    body = main.where("tag = 'w:body'").select("doc_id", F.col("node").alias("body"))
+    tables = main.where("tag = 'w:tbl'").join(body, "doc_id").where("parent = body").select("doc_id", "tbl")
+    tables = tables.withColumn("table", F.row_number().over(Window.partitionBy("doc_id").orderBy("tbl")) - 1)
+    texts = paragraphs(nodes).where("kind = 'table_cell_paragraph'").groupBy("doc_id", "table", "row", "cell").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("paragraph", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    merged = F.bool_or((F.col("tag") == "w:vMerge") & (F.coalesce(F.col("attrs")["w:val"], F.lit("continue")) == "continue"))
+    cells = main.where("tc is not null").join(tables, ["doc_id", "tbl"]).groupBy("doc_id", "table", "tbl", "tr", "tc").agg(F.greatest(F.coalesce(value("w:gridSpan").try_cast("int"), F.lit(1)), F.lit(1)).alias("span"), merged.alias("goes_on"))
+    cells = cells.withColumn("row", F.dense_rank().over(Window.partitionBy("doc_id", "tbl").orderBy("tr")) - 1)
+    in_row = Window.partitionBy("doc_id", "tr").orderBy("tc")
+    cells = cells.withColumn("cell", F.row_number().over(in_row) - 1).withColumn("column", F.sum("span").over(in_row) - F.col("span"))
+    cells = cells.join(texts, ["doc_id", "table", "row", "cell"], "left")
+    above = F.last(F.when(~F.col("goes_on"), F.coalesce("text", F.lit(""))), True).over(Window.partitionBy("doc_id", "tbl", "column").orderBy("row"))
+    of_row = cells.withColumn("shown", F.coalesce(above, F.lit(""))).groupBy("doc_id", "table", "tbl", "row").agg(
+        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cell", "shown", "span"))), lambda x: F.array_repeat(x["shown"], x["span"]))), K.CELL_END).alias("line")
+    )
+    whole = of_row.groupBy("doc_id", "table", "tbl").agg(F.count(F.lit(1)).cast("int").alias("rows"), F.array_sort(F.collect_list(F.struct("row", "line"))).alias("lines"))
+    return whole.select(
+        "doc_id", "table", F.col("tbl").alias("place"), "rows", F.sha2(F.array_join(F.transform("lines", lambda x: x["line"]), K.ROW_END), 256).alias("table_text_sha256"), F.sha2(F.col("lines")[0]["line"], 256).alias("first_row_sha256")
+    )
+
+
 def sections(nodes: DataFrame) -> DataFrame:
     """doc_id, idx, sizes and margins in mm, title_page, starts_at, headers and footers of each section of the main part, in order."""
     mm = lambda tag, name: (value(tag, name).try_cast("double") * MM)

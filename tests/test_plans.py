@@ -1,9 +1,10 @@
+import hashlib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import authority, profiles, structure
+from docloom.operators import authority, mapped, profiles, structure
 from docloom.plans import apply, audit, inspect
 from docloom.sources import docx, rules, word
 from docloom.streaming import arrivals
@@ -101,21 +102,31 @@ def test_inspect_apply_and_audit_a_package(spark):
     files = word.packed(p.select("doc_id", "seq", word.paragraph_xml(F.col("text"), F.col("style")).alias("xml")))
     read = word.paragraphs(docx.nodes(files)).select("doc_id", F.col("paragraph").alias("pos"), "text", F.coalesce("style_id", F.lit("Normal")).alias("style")).cache()
     found = inspect.candidates(read)
-    headings = found["headings"].where("pos > 1").select("doc_id", "pos", "level", "text_sha256")
-    captions = found["captions"].select("doc_id", "pos", F.lit("replace_identifier").alias("action"), "text_sha256", F.lit("1.1-9").alias("replacement"))
-    none = lambda schema: spark.createDataFrame([], schema)
-    document = {"paragraphs": read, "rows": none("doc_id string, table int, row int, is_header boolean, cant_split boolean"), "sections": none("doc_id string, idx int"), "empty_sections": none("doc_id string, idx int")}
-    approved = {
-        "toc": spark.createDataFrame([("a", 0, 1)], "doc_id string, first int, last int"), "headings": headings, "captions": captions,
-        "tables": none("doc_id string, table int, header_rows array<int>, caption_row int"), "trailing_sections": none("doc_id string, idx int"),
+    spot = mapped.body_spot(F.col("pos")).alias("spot")
+    headings = found["headings"].where("pos > 1").select("doc_id", spot, "level", "text_sha256")
+    none = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    captions = found["captions"].select(
+        "doc_id", spot, F.lit(0).alias("ord"), F.lit("1.2").alias("version"), F.lit("replace_identifier").alias("action"), "text_sha256", F.lit(False).alias("migrate_outside_table"), F.col("identifier_start").alias("start"),
+        F.col("identifier_stop").alias("stop"), "identifier_sha256", "identifier_prefix_sha256", "identifier_suffix_sha256", F.lit("1.1-9").alias("replacement_identifier"), *none("string", "label", "sequence_name", "cached_hierarchy", "cached_sequence"), *none("int", "heading_level"),
+    )
+    empty = lambda schema: spark.createDataFrame([], schema)
+    paragraphs = read.select("doc_id", F.col("pos").alias("place"), spot, "text", "style")
+    document = {
+        "paragraphs": paragraphs, "rows": empty("doc_id string, table int, row int, is_header boolean, cant_split boolean, cells int"),
+        "tables": empty("doc_id string, table int, place int, rows int, table_text_sha256 string, first_row_sha256 string"),
     }
-    after, changes = apply.apply_map(document, approved)
-    assert [tuple(r) for r in after["paragraphs"].orderBy("pos").collect()] == [
-        ("a", 0, "[[TOC]]", "Normal"), ("a", 2, "总则", "Heading 1"), ("a", 3, "范围", "Heading 2"), ("a", 4, "正文。", "Normal"), ("a", 5, "图 1.1-9 梁", "Caption"),
+    hashes = [hashlib.sha256(t.encode()).hexdigest() for t in ("目录", "1.1 old entry")]
+    tables = "doc_id string, semantic boolean, table int, kind string, table_text_sha256 string, first_row_sha256 string, repeat_header_rows array<int>, repeat_header boolean, prevent_normal_row_split boolean, caption_row int"
+    approved = {"toc": spark.createDataFrame([("a", 0, 0, 1, hashes, None)], "doc_id string, ord int, first int, last int, hashes array<string>, levels int"), "headings": headings, "captions": captions, "tables": empty(tables)}
+    result, changes, faults = apply.apply_map(document, approved)
+    after = result["paragraphs"].select("doc_id", F.col("place").alias("pos"), "text", "style")
+    assert [tuple(r) for r in after.orderBy("pos").collect()] == [
+        ("a", 0, "", "Normal"), ("a", 1, "", "Normal"), ("a", 2, "第1章 总则", "Heading 1"), ("a", 3, "1.1 范围", "Heading 2"), ("a", 4, "正文。", "Normal"), ("a", 5, "图 1.1-9 梁", "Normal"),
     ]
-    assert [(r.step, r.kind, r.targets) for r in changes.orderBy("step").collect()] == [(0, "toc", 1), (1, "headings", 2), (3, "captions", 1)]
+    assert [(r.place, r.instruction) for r in result["fields"].collect()] == [(0, 'TOC \\o "1-4" \\h \\z \\u')] and faults.count() == 0
+    assert [(r.step, r.kind, r.targets) for r in changes.orderBy("step").collect()] == [(0, "toc", 2), (1, "headings", 2), (3, "captions", 1)]
     entries = found["captions"].select("doc_id", "pos", F.col("identifier_start").alias("start"), F.col("identifier_stop").alias("stop"), F.lit(8).alias("title_start"), "text_sha256", "identifier_sha256", "title_text_sha256", F.lit("1.1-9").alias("replacement"))
-    (r,) = structure.replacement_audit(read, after["paragraphs"], entries, ["doc_id", "pos"]).collect()
+    (r,) = structure.replacement_audit(read, after, entries, ["doc_id", "pos"]).collect()
     assert r.passed
     rules = spark.createDataFrame([("a", "r", "Heading 1"), ("a", "q", "Missing")], "doc_id string, rule_id string, style string")
     styles = spark.createDataFrame([("a", "Heading 1", "bold", "true")], "doc_id string, style string, key string, value string")

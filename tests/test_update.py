@@ -1,14 +1,9 @@
-import hashlib
-
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.operators import update
 
 
-def sha(t):
-    return hashlib.sha256(t.encode()).hexdigest()
-
-
 def test_later_rules_win_and_direct_formats_go(spark):
     old = spark.createDataFrame([(1, "Normal", "bold", "false"), (1, "Normal", "italic", "true")], "doc_id int, style string, key string, value string")
     props = spark.createDataFrame([(1, "Normal", "bold", "true", 0), (1, "Normal", "bold", "maybe", 1), (1, "Caption", "bold", "true", 2)], "doc_id int, style string, key string, value string, ord int")
@@ -27,19 +22,12 @@ def test_sections(spark):
         update.sections(df, spark.createDataFrame([(1, 0.5)], "doc_id int, margin_top_ratio double")).collect()
 
 
-def test_text_updates(spark):
-    rows = [(1, 0, "contents a", None), (1, 1, "contents b", None), (1, 2, "1.2 Title", None), (1, 3, "图 3.2-1 梁", None), (1, 4, "表 1.1-1 x", None), (1, 5, "[[REF:a]] and [[SEQ:Table]]", None)]
-    p = spark.createDataFrame(rows, "doc_id int, pos int, text string, style string")
-    p2 = update.toc(p, spark.createDataFrame([(1, 0, 1)], "doc_id int, first int, last int"))
-    assert [r.text for r in p2.orderBy("pos").collect()][:2] == ["[[TOC]]", "1.2 Title"]
-    p3 = update.headings(p2, spark.createDataFrame([(1, 2, 2, sha("1.2 Title")), (1, 3, 1, "other")], "doc_id int, pos int, level int, text_sha256 string"))
-    assert {(r.pos, r.text, r.style) for r in p3.collect()} >= {(2, "Title", "Heading 2"), (3, "图 3.2-1 梁", None)}
-    a = spark.createDataFrame([(1, 3, "replace_identifier", sha("图 3.2-1 梁"), "4.2-1"), (1, 4, "convert_to_seq", sha("表 1.1-1 x"), None)], "doc_id int, pos int, action string, text_sha256 string, replacement string")
-    p4 = update.captions(p3, a)
-    assert {(r.pos, r.text, r.style) for r in p4.collect()} >= {(3, "图 4.2-1 梁", "Caption"), (4, "表 1.1-[[SEQ:Table]] x", "Caption")}
-    f = update.fields_from_markers(p4, spark.createDataFrame([(1, "b")], "doc_id int, name string"))
-    assert sorted((r.pos, r.nth, r.instruction, r.known) for r in f.collect()) == [(0, 0, 'TOC \\o "1-3" \\h \\z \\u', True), (4, 0, "SEQ Table \\* ARABIC \\s 1", True), (5, 0, "REF a \\h", False), (5, 1, "SEQ Table \\* ARABIC \\s 1", True)]
-    assert update.changes(p, p4, ["doc_id", "pos"], ["text", "style"]).where("pos = 2").count() == 2
+def test_markers_become_fields(spark):
+    p = spark.createDataFrame([(1, 4, "表 1.1-[[SEQ:Table]] x"), (1, 5, "[[REF:a]] and [[SEQ:Table]]")], "doc_id int, pos int, text string")
+    f = update.fields_from_markers(p, spark.createDataFrame([(1, "b")], "doc_id int, name string"))
+    assert sorted((r.pos, r.nth, r.instruction, r.known) for r in f.collect()) == [(4, 0, "SEQ Table \\* ARABIC \\s 1", True), (5, 0, "REF a \\h", False), (5, 1, "SEQ Table \\* ARABIC \\s 1", True)]
+    after = p.withColumn("text", F.upper("text"))
+    assert update.changes(p, after, ["doc_id", "pos"], ["text"]).where("pos = 5").count() == 1
 
 
 def test_tables_and_sections_that_go(spark):
@@ -52,9 +40,3 @@ def test_tables_and_sections_that_go(spark):
     s = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (1, 3)], "doc_id int, idx int")
     free = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "doc_id int, idx int")
     assert [r.idx for r in update.without_trailing(s, spark.createDataFrame([(1, 3), (1, 1)], "doc_id int, idx int"), free).orderBy("idx").collect()] == [0, 1, 2]
-
-
-def test_tables_of_contents_that_overlap(spark):
-    p = spark.createDataFrame([(1, i, f"t{i}") for i in range(8)], "doc_id int, pos int, text string")
-    ranges = spark.createDataFrame([(1, 1, 4), (1, 3, 5), (1, 1, 2)], "doc_id int, first int, last int")
-    assert sorted((r.pos, r.text) for r in update.toc(p, ranges).collect()) == [(0, "t0"), (1, "[[TOC]]"), (3, "[[TOC]]"), (6, "t6"), (7, "t7")]
