@@ -9,7 +9,7 @@ from docloom.catalogue import LINES_SQL, lines, query, read
 from docloom.catalogue_rules import RULES_SQL, pick, pick_sql, rules_of
 from docloom.functions import constants as K
 from docloom.operators import authority, mapped, profiles, structure, update
-from docloom.plans import apply
+from docloom.plans import apply, profile
 from docloom.plans import audit as plan
 
 sha = lambda c: F.sha2(c, 256)
@@ -409,3 +409,105 @@ def _mapped(spark, d) -> tuple[dict, dict]:
     }
     paragraphs = p.unionByName(cells.select("doc_id", "x.place", "x.spot", "x.text", F.lit("Normal").alias("style")))
     return {"paragraphs": paragraphs, "rows": rows, "tables": tables}, approved
+
+
+#: Rules of four profiles in their order: what each is for, what it sets, and the profiles that have it.
+PROFILE_RULES = [
+    ("sections", None, False, "automatic", {"page_width_mm": "210", "page_height_mm": "297"}, (0, 1, 2, 3)), ("sections", None, False, "automatic", {"orientation": "landscape"}, (0, 2)),
+    ("sections", None, False, "automatic", {"margin_top_ratio": "0.1"}, (0, 1, 2, 3)), ("styles", "Heading 2", True, "automatic", {"bold": "true"}, (0, 1, 2, 3)),
+    ("fields", None, False, "automatic", {"convert_explicit_markers": "true", "strip_manual_heading_prefixes": "true"}, (0, 1, 2, 3)), ("styles", "Heading 2", False, "automatic", {"italic": "true"}, (0, 1, 2, 3)),
+    ("tables", None, False, "automatic", {"repeat_header_row": "true", "prevent_row_split": "true"}, (0, 1, 2, 3)), ("tables", None, False, "automatic", {"repeat_header_row": "false"}, (1,)),
+    ("fields", None, False, "automatic", {"mark_fields_dirty": "true", "rebuild_heading_numbering": "true", "heading_levels": "2"}, (0, 1, 2)), ("fields", None, False, "automatic", {"rebuild_heading_numbering": "true", "heading_levels": "9"}, (3,)),
+    ("styles", "Quote", False, "manual_review", {}, (0, 1, 2, 3)), ("equations", None, False, "automatic", {}, (0, 1)),
+]
+
+
+def _profiled(spark, d):
+    k = F.col("doc_id")
+    rules = [(p, i, f"r{i}", "approved", how, handler, style, by_map) for i, (handler, style, by_map, how, _, of) in enumerate(PROFILE_RULES) for p in of]
+    props = [(p, f"r{i}", key, value) for i, (*_, values, of) in enumerate(PROFILE_RULES) for p in of for key, value in values.items()]
+    rules = spark.createDataFrame(rules, "profile_id long, ord int, id string, status string, application string, handler string, style string, by_map boolean")
+    props = spark.createDataFrame(props, "profile_id long, rule_id string, key string, value string")
+    docs = read(spark, d, "documents").select("doc_id")
+    p = lines(spark, d).select("doc_id", F.col("pos").alias("place"), F.concat(F.when(F.col("pos") % 4 == 3, "2.1 ").otherwise(""), F.regexp_replace("text", "^[ \\t\\n\\f\\r]+", ""), F.when(F.col("pos") % 4 == 3, "[[PAGE]]").otherwise("")).alias("text"), F.lit("Normal").alias("style"))
+    page = {"page_width_mm": 100.0, "page_height_mm": 140.0, "orientation": "portrait"} | dict.fromkeys(profile.LENGTHS, 20.0)
+    tabled = docs.where(k % 5 == 0).withColumn("table", F.lit(0))
+    none = lambda kind: F.lit(None).cast(kind)
+    document = {
+        "of": docs.select("doc_id", (k % 4).alias("profile_id"), none("int").alias("chapter_start")), "paragraphs": p,
+        "styles": docs.where(k % 2 == 0).select("doc_id", F.lit("Heading 2").alias("style"), F.lit("bold").alias("key"), F.lit("false").alias("value")),
+        "direct": p.where("place % 2 = 1").select("doc_id", "place", F.explode(F.array(F.lit("bold"), F.lit("size"))).alias("key"), F.lit("x").alias("value")),
+        "sections": docs.select("doc_id", F.lit(0).alias("idx"), *[F.lit(v).alias(c) for c, v in page.items()]),
+        "tables": tabled.select("doc_id", "table", none("string").alias("style"), none("string").alias("alignment"), none("array<int>").alias("listed"), F.when(k % 2 == 0, 1).alias("caption_row")),
+        "rows": tabled.select("doc_id", "table", F.explode(F.array(F.lit(0), F.lit(1))).alias("row"), F.lit(False).alias("is_header"), F.lit(False).alias("cant_split")),
+        "counts": docs.select("doc_id", (k % 7).alias("fields"), (k % 2).alias("equations")), "targets": p.where("place % 4 = 3 and doc_id % 3 <> 0").select("doc_id", F.lit(3).alias("ord"), "place"),
+    }
+    return profile.apply_profile(document, rules, props)
+
+
+PROFILED_SQL = f"""{LINES_SQL}, z AS (SELECT doc_id, doc_id % 4 AS k, count(*) FILTER (pos % 4 = 3) AS m FROM lines GROUP BY 1), n AS (SELECT *, CASE WHEN doc_id % 3 <> 0 THEN m ELSE 0 END AS h, (doc_id % 5 = 0)::INT AS t FROM z)"""
+
+
+@query(f"""WITH {PROFILED_SQL}, c AS (SELECT doc_id, k, unnest([1, CASE WHEN k % 2 = 0 THEN 1 END, 1, h, m + h, h, t, CASE WHEN k = 1 THEN t END, doc_id % 7 + m + 2, NULL, NULL, CASE WHEN k < 2 THEN doc_id % 2 END]) AS targets, unnest(range(12)) AS ord FROM n)
+SELECT doc_id, ord::INT AS ord, 'r' || ord AS what, targets::BIGINT AS targets FROM c WHERE k < 3 AND targets IS NOT NULL UNION ALL SELECT doc_id, 10, 'manual', 0 FROM n UNION ALL SELECT doc_id, -1, 'heading_levels', 0 FROM n WHERE k = 3""")
+def profile_application(spark, d):
+    """The rules of a profile one after the other: how much each has changed, what is left for review, and faults."""
+    _, changes, manual, faults = _profiled(spark, d)
+    zero = F.lit(0).cast("long").alias("targets")
+    out = changes.select("doc_id", "ord", F.col("rule_id").alias("what"), "targets").unionByName(manual.select("doc_id", "ord", F.lit("manual").alias("what"), zero))
+    return out.unionByName(faults.select("doc_id", F.lit(-1).alias("ord"), F.col("fault").alias("what"), zero))
+
+
+@query(f"""WITH {PROFILED_SQL}, p AS (SELECT doc_id, pos, k, pos % 4 = 3 AS mark, pos % 4 = 3 AND doc_id % 3 <> 0 AND k < 3 AS h, regexp_replace(text, '^\\s+', '') AS text FROM lines JOIN n USING (doc_id))
+SELECT doc_id, 'paragraph' AS what, pos::BIGINT AS place, sha256(CASE WHEN mark AND NOT h THEN '2.1 ' ELSE '' END || text || CASE WHEN mark AND k = 3 THEN '[[PAGE]]' ELSE '' END) AS value, CASE WHEN h THEN 'Heading 2' ELSE 'Normal' END AS style FROM p
+UNION ALL SELECT doc_id, 'page', 0, CASE k WHEN 3 THEN '100.0 140.0 20.0' WHEN 1 THEN '210.0 297.0 29.7' ELSE '297.0 210.0 21.0' END, CASE WHEN k % 2 = 0 THEN 'landscape' ELSE 'portrait' END FROM n
+UNION ALL SELECT doc_id, 'row', i, CASE WHEN i = 0 AND k IN (0, 2) THEN 'header' ELSE '' END, CASE WHEN k < 3 AND NOT (i = 1 AND doc_id % 2 = 0) THEN 'whole' ELSE '' END FROM n, range(2) r(i) WHERE t = 1
+UNION ALL SELECT doc_id, 'direct ' || key, pos, 'x', '' FROM p, (SELECT unnest(['bold', 'size']) AS key) WHERE pos % 2 = 1 AND NOT (h AND key = 'bold')
+UNION ALL SELECT doc_id, 'style ' || key, 0, CASE WHEN k = 3 THEN 'false' ELSE 'true' END, 'Heading 2' FROM n, (SELECT unnest(['bold', 'italic']) AS key) WHERE k < 3 OR doc_id % 2 = 0 AND key = 'bold'""")
+def profile_result(spark, d):
+    """Paragraphs, pages, rows, styles and what paragraphs set themselves after a whole profile."""
+    out, *_ = _profiled(spark, d)
+    flag = lambda c, name: F.when(F.col(c), name).otherwise("")
+    row = lambda df, what, place, value, style: df.select("doc_id", what.alias("what"), place.cast("long").alias("place"), value.alias("value"), style.alias("style"))
+    one = lambda c: F.round(c, 3).cast("string")
+    page = F.concat_ws(" ", one("page_width_mm"), one("page_height_mm"), one("margin_top_mm"))
+    found = [
+        row(out["paragraphs"], F.lit("paragraph"), F.col("place"), sha(F.col("text")), F.col("style")), row(out["sections"], F.lit("page"), F.lit(0), page, F.col("orientation")),
+        row(out["rows"], F.lit("row"), F.col("row"), flag("is_header", "header"), flag("cant_split", "whole")), row(out["direct"], F.concat(F.lit("direct "), "key"), F.col("place"), F.col("value"), F.lit("")),
+        row(out["styles"], F.concat(F.lit("style "), "key"), F.lit(0), F.col("value"), F.col("style")),
+    ]
+    whole = found[0]
+    for x in found[1:]:
+        whole = whole.unionByName(x)
+    return whole
+
+
+#: Lines in runs of seven characters; each run stands for itself, every eleventh holds something besides text.
+RUNS_SQL = f"""{LINES_SQL}, l AS (SELECT doc_id, pos, text, pos % 5 + 3 AS a, pos % 5 + 12 AS b FROM lines WHERE length(text) > 0),
+r AS (SELECT doc_id, pos, a, b, length(text) AS n, i AS run, substr(text, 7 * i + 1, 7) AS text, 7 * i AS s, least(7 * i + 7, length(text)) AS e FROM l, range(0, 3000) t(i) WHERE 7 * i < length(text)),
+f AS (SELECT doc_id, pos, CASE WHEN b > max(n) THEN 'span' WHEN bool_or((run + doc_id) % 11 = 0 AND greatest(a, s) < least(b, e)) THEN 'unsupported_object' ELSE '' END AS fault FROM r GROUP BY doc_id, pos, a, b)"""
+
+
+@query(f"""WITH {RUNS_SQL} SELECT doc_id, pos::INT AS pos, run::INT AS run, CASE WHEN fault = '' AND greatest(a, s) < least(b, e) THEN substr(text, 1, greatest(a, s) - s) || CASE WHEN a >= s THEN '<new>' ELSE '' END || substr(text, least(b, e) - s + 1) ELSE text END AS text, fault
+FROM r JOIN f USING (doc_id, pos)""")
+def run_edits(spark, d):
+    """A span of each line replaced in its runs: the first that it meets gets the new text, the others lose their parts."""
+    runs, edits = _runs(spark, d)
+    after, faults = update.spliced(runs, edits)
+    return after.join(faults, ["doc_id", "place"], "left").select("doc_id", F.col("place").alias("pos"), "run", "text", F.coalesce("fault", F.lit("")).alias("fault"))
+
+
+@query(f"""WITH {RUNS_SQL} SELECT doc_id, pos::INT AS pos, sha256(CASE WHEN fault = '' THEN substr(text, 1, a) || '<new>' || substr(text, b + 1) ELSE text END) AS text_sha256 FROM l JOIN f USING (doc_id, pos)""")
+def run_edit_texts(spark, d):
+    """The joined text of the runs after the edits, which is that of the paragraph with the span replaced."""
+    after, _ = update.spliced(*_runs(spark, d))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "text"))), lambda x: x["text"]), "")
+    return after.groupBy("doc_id", F.col("place").alias("pos")).agg(sha(text).alias("text_sha256"))
+
+
+def _runs(spark, d):
+    p = lines(spark, d).where(F.length("text") > 0)
+    run = F.explode(F.sequence(F.lit(0), ((F.length("text") - 1) / 7).cast("int"))).alias("run")
+    runs = p.select("doc_id", F.col("pos").alias("place"), "text", run).select("doc_id", "place", "run", F.substring(F.col("text"), 7 * F.col("run") + 1, F.lit(7)).alias("text"), ((F.col("run") + F.col("doc_id")) % 11 != 0).alias("plain"))
+    k = F.col("pos") % 5
+    return runs, p.select("doc_id", F.col("pos").alias("place"), (k + 3).alias("start"), (k + 12).alias("stop"), F.lit("<new>").alias("replacement"))

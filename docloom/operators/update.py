@@ -104,3 +104,31 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str], columns: list[
     b = after.select(*keys, F.struct(*[F.col(c).cast("string").alias(c) for c in columns]).alias("b"))
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"a.{c}").alias("old"), F.col(f"b.{c}").alias("new")) for c in columns])
     return a.join(b, keys, "full_outer").select(*keys, F.explode(each).alias("x")).where(~F.col("x.old").eqNullSafe(F.col("x.new"))).select(*keys, "x.*")
+
+
+def spliced(runs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """runs(doc_id, place, run, text, plain, ...), edits(doc_id, place, start, stop, replacement) of characters of the runs' joined text -> the runs after
+    the edits, and faults(doc_id, place, fault).
+
+    Of the runs that the span meets the first gets the replacement where its own part of the span was, and all lose their parts, so
+    what stands around, and how each run is set, stays. A prefix goes by an edit from 0 without a replacement. A fault, which changes
+    nothing in its paragraph: a span that is empty or not in the text, a run within it that is not plain, or two edits of a paragraph.
+    """
+    spans = edits.groupBy("doc_id", "place").agg(F.count(F.lit(1)).alias("edits"), F.min("start").alias("from"), F.min("stop").alias("to"), F.min("replacement").alias("new"))
+    order = Window.partitionBy("doc_id", "place").orderBy("run")
+    whole = Window.partitionBy("doc_id", "place")
+    end = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = runs.join(spans, ["doc_id", "place"], "left").withColumn("end_", end).withColumn("begin_", F.col("end_") - F.length("text"))
+    low, high = F.greatest("from", "begin_"), F.least("to", "end_")
+    at = at.withColumn("meets", F.coalesce(low < high, F.lit(False)))
+    first = F.min(F.when(F.col("meets"), F.col("run"))).over(whole)
+    outside = (F.col("from") < 0) | (F.col("from") >= F.col("to")) | (F.col("to") > F.max("end_").over(whole))
+    mixed = F.bool_or(F.col("meets") & ~F.coalesce("plain", F.lit(True))).over(whole)
+    fault = F.when(F.col("edits") > 1, "several_edits").when(outside, "span").when(mixed, "unsupported_object")
+    at = at.withColumn("first_", first).withColumn("fault", fault)
+    head = F.substring(F.col("text"), F.lit(1), (low - F.col("begin_")).cast("int"))
+    tail = F.substring(F.col("text"), (high - F.col("begin_") + 1).cast("int"), F.length("text"))
+    new = F.concat(head, F.when(F.col("run") == F.col("first_"), F.coalesce("new", F.lit(""))).otherwise(F.lit("")), tail)
+    after = at.withColumn("text", F.when(F.col("meets") & F.col("fault").isNull(), new).otherwise(F.col("text")))
+    missing = spans.join(runs.select("doc_id", "place").distinct(), ["doc_id", "place"], "left_anti").select("doc_id", "place", F.lit("span").alias("fault"))
+    return after.select(*runs.columns), at.where("fault is not null").select("doc_id", "place", "fault").distinct().unionByName(missing)
