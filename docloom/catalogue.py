@@ -438,15 +438,37 @@ TOKENS = {"click": "begin", "view": "text", "purchase": "separate", "error": "en
 def _tokens(spark, d):
     """Events of a user as tokens of a paragraph."""
     names = F.create_map(*[F.lit(x) for kv in TOKENS.items() for x in kv])
-    token = F.struct("event_id", F.coalesce(F.element_at(names, F.col("event_type")), F.lit("tab")).alias("kind"), F.concat(F.lit("x"), (F.col("event_id") % 10).cast("string")).alias("text"))
-    each = read(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(token)).alias("t"))
-    return each.select("user_id", F.transform("t", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"))).alias("tokens"))
+    kind = F.coalesce(F.element_at(names, F.col("event_type")), F.lit("tab"))
+    return read(spark, d, "events").select("user_id", F.col("event_id").alias("at"), kind.alias("kind"), F.concat(F.lit("x"), (F.col("event_id") % 10).cast("string")).alias("text"))
 
 
-@query()
+#: A stack a user, one event after the other; for each open field the parts of its instruction and whether its result has begun.
+STACKS_SQL = f"""RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_type {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in TOKENS.items())} ELSE 'tab' END AS kind,
+  'x' || event_id % 10 AS text FROM events),
+s AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS event_id, '' AS kind, ''::VARCHAR AS text, []::BOOLEAN[] AS done, []::VARCHAR[] AS parts, NULL::VARCHAR AS ready FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT e.user_id, e.i, e.event_id, e.kind, e.text,
+    CASE WHEN e.kind = 'begin' THEN list_append(done, false) WHEN e.kind = 'separate' AND len(done) > 0 THEN list_append(done[:-2], true) WHEN e.kind = 'end' THEN done[:-2] ELSE done END,
+    CASE WHEN e.kind = 'begin' THEN list_append(parts, '') WHEN e.kind = 'end' THEN parts[:-2] WHEN e.kind = 'instr' AND len(done) > 0 AND NOT done[-1] THEN list_append(parts[:-2], parts[-1] || e.text) ELSE parts END,
+    CASE WHEN e.kind IN ('separate', 'end') AND len(done) > 0 AND NOT done[-1] AND parts[-1] <> '' THEN parts[-1] END
+  FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)"""
+
+
+@query(f"""WITH {STACKS_SQL} SELECT user_id, sha256(coalesce(string_agg(CASE WHEN kind = 'text' AND NOT list_contains(done, true) THEN text WHEN kind = 'tab' THEN chr(9) END, '' ORDER BY i), '')) AS text_sha256,
+  coalesce(string_agg(ready, '|' ORDER BY i), '') AS instructions FROM s GROUP BY user_id""")
 def field_stack(spark, d):
-    """State over a stack, which SQL cannot express; tests hold it against a sequential version."""
-    return _tokens(spark, d).select("user_id", F.sha2(ordered.text_outside_results(F.col("tokens")), 256).alias("text_sha256"), F.array_join(ordered.field_instructions(F.col("tokens")), "|").alias("instructions"))
+    """The text that the tokens of each user show, and the instructions of their fields; no user's tokens are one array."""
+    opened = ordered.open_fields(_tokens(spark, d), ["user_id"])
+    joined = lambda df, c: df.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.col(c).alias("x")))), lambda y: y["x"]), "" if c == "shown" else "|").alias(c))
+    text = joined(opened.withColumn("shown", ordered.shown(opened)).where("shown is not null"), "shown")
+    ready = joined(ordered.completed_fields(opened, ["user_id"]), "instruction")
+    users = read(spark, d, "events").select("user_id").distinct().join(text, "user_id", "left").join(ready, "user_id", "left").fillna("", ["shown", "instruction"])
+    return users.select("user_id", F.sha2("shown", 256).alias("text_sha256"), F.col("instruction").alias("instructions"))
+
+
+@query(f"WITH {STACKS_SQL} SELECT user_id, event_id, len(done)::INT AS depth, list_contains(done, true) AS inside FROM s WHERE i > 0")
+def open_fields(spark, d):
+    """How many fields are open after each event, and whether a result has begun."""
+    return ordered.open_fields(_tokens(spark, d), ["user_id"]).select("user_id", F.col("at").alias("event_id"), "depth", "inside")
 
 
 @query(f"WITH {LINES_SQL} SELECT doc_id, min(CASE WHEN {NOT_BLANK.format('text')} THEN pos + 1 ELSE pos END)::INT AS cutoff FROM lines WHERE length(text) < 40 GROUP BY doc_id")

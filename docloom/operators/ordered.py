@@ -119,6 +119,60 @@ def field_instructions(tokens: Column) -> Column:
     return F.aggregate(tokens, seed, step, lambda s: s["out"])
 
 
+#: Tokens of a chunk: what a chunk of brackets comes to is two numbers, which are summed up over the chunks before.
+CHUNK = 4096
+
+
+def open_fields(tokens: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+    """tokens(keys, at, kind, text) as rows -> with depth, the open fields after each, level, that of the field it acts on, field, where that
+    began, and inside: whether a result of any open field has begun.
+
+    An end without an open field does nothing, so the depth is the running sum of begins and ends less the least that it has been below 0.
+    Sum and least of a sequence follow from those of its parts: they are found for chunks, carried over the chunks of a key, and then
+    within each chunk. No key is gathered: all else are windows, by key and level. A result lasts from its separator to the next end that
+    goes below its level, and what is open is a running sum again.
+    """
+    by = lambda *more: Window.partitionBy(*keys, *more).orderBy("at")
+    upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("kind") == "begin", 1).when(F.col("kind") == "end", -1).otherwise(0)
+    t = tokens.withColumn("chunk_", F.expr(f"at div {chunk}")).withColumn("step_", step)
+    here = upto(by("chunk_"))
+    t = t.withColumn("sum_", F.sum("step_").over(here))
+    t = t.withColumn("least_", F.min("sum_").over(here))
+    chunks = t.groupBy(*keys, "chunk_").agg(F.sum("step_").alias("total"), F.min("least_").alias("low"))
+    before = Window.partitionBy(*keys).orderBy("chunk_").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("base", F.coalesce(F.sum("total").over(before), F.lit(0)))
+    chunks = chunks.withColumn("floor", F.coalesce(F.min(F.col("base") + F.col("low")).over(before), F.lit(0))).select(*keys, "chunk_", "base", "floor")
+    t = t.join(chunks, [*keys, "chunk_"])
+    depth = F.col("base") + F.col("sum_") - F.least(F.lit(0), F.col("floor"), F.col("base") + F.col("least_"))
+    t = t.withColumn("depth", depth.cast("int")).withColumn("was_", F.coalesce(F.lag("depth").over(by()), F.lit(0)))
+    # an end acts on the field that it closes, all others on the top
+    t = t.withColumn("level", F.when(F.col("kind") == "end", F.col("was_")).otherwise(F.col("depth")))
+    t = t.withColumn("field", F.when(F.col("level") > 0, F.last(F.when(F.col("kind") == "begin", F.col("at")), True).over(upto(by("level")))))
+    opens = (F.col("kind") == "separate") & (F.col("level") > 0)
+    nth = F.sum(F.when(opens, 1).otherwise(0)).over(upto(by("level", "field")))
+    t = t.withColumn("starts_", (opens & (nth == 1)).cast("int")).withColumn("stops_", ((F.col("kind") == "end") & (F.col("level") > 0) & (nth > 0)).cast("int"))
+    return t.withColumn("inside", F.sum(F.col("starts_") - F.col("stops_")).over(upto(by())) > 0).select(*tokens.columns, "depth", "level", "field", "inside")
+
+
+def shown(tokens: DataFrame) -> Column:
+    """Of open_fields(): the text that a token shows, null for none."""
+    kind = F.col("kind")
+    return F.when((kind == "text") & ~F.col("inside"), F.coalesce("text", F.lit(""))).when(kind == "tab", "\t").when(kind == "break", "\n")
+
+
+def completed_fields(opened: DataFrame, keys: list[str]) -> DataFrame:
+    """open_fields() -> keys, at, instruction: each field's instruction, where it is complete: at its first separator, else at its end. Only the
+    parts of one field meet."""
+    kind, acts = F.col("kind"), F.col("level") > 0
+    done = F.min(F.when(kind.isin("separate", "end"), F.col("at"))).over(Window.partitionBy(*keys, "field"))
+    own = opened.where(acts & kind.isin("instr", "separate", "end")).withColumn("done", done).where("done is not null and at <= done")
+    part = F.when(kind == "instr", F.struct("at", F.coalesce("text", F.lit("")).alias("text")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["text"]), "")
+    found = own.groupBy(*keys, "field", "done").agg(F.regexp_replace(joined, r"(?U)^\s+|\s+$", "").alias("instruction"))
+    return found.where("instruction <> ''").select(*keys, F.col("done").alias("at"), "instruction")
+
+
 def tail_cutoff(sections: DataFrame) -> DataFrame:
     """sections(doc_id, boundary, empty): the least boundary, one further where the section is not empty."""
     return sections.groupBy("doc_id").agg(F.min(F.when(F.col("empty"), F.col("boundary")).otherwise(F.col("boundary") + 1)).alias("cutoff"))

@@ -25,10 +25,11 @@ def without_identifiers(paragraphs: DataFrame, entries: DataFrame) -> DataFrame:
     """Approved replacements, entries(doc_id, ord, start, stop, text_sha256, prefix_sha256, identifier_sha256, suffix_sha256, replacement): a
     text in which the identifier stands, before or after its replacement, gets a placeholder; the first entry by ord that fits counts.
 
-    Entries meet texts by the hashes of what stands before and after, so the join is an equi-join on the prefix.
+    Entries meet texts by the hashes of what stands before and after: a text is hashed once for each place at which an entry of its document
+    starts, however many entries start there, and that is the key of the join.
     """
-    lengths = entries.select("doc_id", "prefix_sha256", "start").distinct()
-    tried = paragraphs.join(lengths, "doc_id").withColumn("p", _sha(_part(F.col("text"), F.lit(0), F.col("start")))).where("p = prefix_sha256").drop("p")
+    starts = entries.select("doc_id", "start").distinct()
+    tried = paragraphs.join(starts, "doc_id").withColumn("prefix_sha256", _sha(_part(F.col("text"), F.lit(0), F.col("start"))))
     joined = tried.join(entries, ["doc_id", "prefix_sha256", "start"])
     t, start, stop = F.col("text"), F.col("start"), F.col("stop")
     after = start + F.length("replacement")

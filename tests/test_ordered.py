@@ -75,6 +75,22 @@ def test_field_stack(spark):
         assert (r.text, r.found) == read_in_order(lists[r.i]), lists[r.i]
 
 
+def test_field_stacks_as_rows_in_chunks(spark):
+    rng = random.Random(3)
+    kinds = ["begin", "separate", "end", "instr", "text", "tab", "break"]
+    lists = [[(rng.choice(kinds), rng.choice([" a", "b ", " ", "REF x"])) for _ in range(rng.randint(0, 30))] for _ in range(300)]
+    rows = [(i, at, kind, text) for i, tokens in enumerate(lists) for at, (kind, text) in enumerate(tokens)]
+    for chunk in (3, 4096):
+        opened = ordered.open_fields(spark.createDataFrame(rows, "i int, at long, kind string, text string"), ["i"], chunk)
+        texts, found = {}, {}
+        for r in opened.withColumn("shown", ordered.shown(opened)).orderBy("i", "at").collect():
+            texts[r.i] = texts.get(r.i, "") + (r.shown or "")
+        for r in ordered.completed_fields(opened, ["i"]).orderBy("i", "at").collect():
+            found.setdefault(r.i, []).append(r.instruction)
+        for i, tokens in enumerate(lists):
+            assert (texts.get(i, ""), found.get(i, [])) == read_in_order(tokens), tokens
+
+
 def test_trailing_sections_and_prefixes(spark):
     s = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, False), (1, 3, False), (2, 0, False), (2, 1, False)], "doc_id int, idx int, payload boolean")
     assert sorted((r.doc_id, r.idx) for r in ordered.trailing_empty(s).collect()) == [(1, 2), (1, 3), (2, 1)]
