@@ -232,7 +232,7 @@ def data_tables(spark, d):
 # -- audits
 
 
-STYLE_SQL = "styles AS (SELECT c_nationkey AS doc_id, c_mktsegment AS style, max(c_acctbal) AS size FROM customer WHERE c_custkey % 10 < 3 GROUP BY 1, 2)"
+STYLE_SQL = "styles AS (SELECT c_nationkey AS doc_id, CASE WHEN c_custkey % 10 < 3 THEN '' ELSE 'Other ' END || c_mktsegment AS style, max(c_acctbal) AS size FROM customer GROUP BY 1, 2)"
 
 
 @query(f"""WITH {STYLE_SQL}, r AS (SELECT n_nationkey AS doc_id, 'r' || i AS rule_id, [NULL, 'BUILDING', 'MACHINERY', 'Absent'][i + 1] AS style FROM nation, range(4) t(i)),
@@ -240,8 +240,8 @@ j AS (SELECT r.*, size, s.style IS NOT NULL AS there FROM r LEFT JOIN styles s O
 SELECT doc_id, rule_id, '*' AS prop, coalesce(style, 'supported style selector') AS expected, CASE WHEN style IS NULL THEN 'unsupported' ELSE 'missing style' END AS reason FROM j WHERE NOT there
 UNION ALL SELECT doc_id, rule_id, 'font_size_pt', '9000', 'differs' FROM j WHERE there AND abs(size - 9000) > greatest(0.05, 1e-9 * greatest(abs(size), 9000.0))""")
 def style_rule_audit(spark, d):
-    c = read(spark, d, "customer").where(F.col("c_custkey") % 10 < 3)
-    styles = c.groupBy(F.col("c_nationkey").alias("doc_id"), F.col("c_mktsegment").alias("style")).agg(F.max("c_acctbal").cast("string").alias("value")).withColumn("key", F.lit("font_size_pt"))
+    c, name = read(spark, d, "customer"), F.concat(F.when(F.col("c_custkey") % 10 < 3, "").otherwise("Other "), "c_mktsegment")
+    styles = c.groupBy(F.col("c_nationkey").alias("doc_id"), name.alias("style")).agg(F.max("c_acctbal").cast("string").alias("value")).withColumn("key", F.lit("font_size_pt"))
     named = F.explode(F.array(*[F.struct(F.lit(f"r{i}").alias("rule_id"), F.lit(s).cast("string").alias("style")) for i, s in enumerate([None, "BUILDING", "MACHINERY", "Absent"])])).alias("x")
     rules = read(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), named).select("doc_id", "x.*")
     props = spark.range(4).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), F.lit("font_size_pt").alias("key"), F.lit("9000").alias("value"))

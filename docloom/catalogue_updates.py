@@ -153,12 +153,13 @@ def direct_formats(spark, d):
     return update.direct_formats(direct, o, _style_props(spark, d)[1])
 
 
-@query("""WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey::VARCHAR AS c FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_custkey::VARCHAR AS c FROM orders WHERE o_orderkey % 7 <> 0),
+@query("""WITH a AS (SELECT o_orderkey * 3 + (o_orderkey % 5 = 0)::INT AS k, o_orderstatus AS s, o_custkey::VARCHAR AS c FROM orders), b AS (SELECT o_orderkey * 3 + 2 * (o_orderkey % 7 = 0)::INT AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'X' ELSE o_orderstatus END AS s, o_custkey::VARCHAR AS c FROM orders),
 j AS (SELECT k, unnest(['s', 'c']) AS "column", unnest([a.s, a.c]) AS old, unnest([b.s, b.c]) AS new FROM a FULL JOIN b USING (k)) SELECT * FROM j WHERE old IS DISTINCT FROM new""")
 def row_changes(spark, d):
-    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.col("o_custkey").alias("c"))
-    after = o.where("k % 7 <> 0").withColumn("s", F.when(F.col("k") % 3 == 0, "X").otherwise(F.col("s")))
-    return update.changes(o.where("k % 5 <> 0"), after, ["k"], ["s", "c"])
+    o, k = read(spark, d, "orders"), F.col("o_orderkey")
+    named = lambda moved, s: o.select((k * 3 + moved).alias("k"), s.alias("s"), F.col("o_custkey").alias("c"))
+    before = named((k % 5 == 0).cast("int"), F.col("o_orderstatus"))
+    return update.changes(before, named(2 * (k % 7 == 0).cast("int"), F.when(k % 3 == 0, "X").otherwise(F.col("o_orderstatus"))), ["k"], ["s", "c"])
 
 
 # -- what must not change, and audits of what did
