@@ -143,3 +143,16 @@ def numbering_rebuild(spark, d):
     for x in out[1:]:
         whole = whole.unionByName(x)
     return whole
+
+
+@query("""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), o AS (SELECT doc_id, l, i - 1 AS seq, [0, 5, 1, 3, 2, 4][i] AS pos, [0, 0, 1, 1, 2, 1][i] AS depth FROM d, range(1, 7) t(i))
+SELECT doc_id::VARCHAR AS doc_id, seq::INT AS seq, depth::INT AS depth, sha256(coalesce(l[pos + 1], '')) AS text_sha256 FROM o""")
+def nested_paragraphs(spark, d):
+    """The first six lines of each document as paragraphs of the body, of the cells of a table and of a table in one of these: a container's own first."""
+    text = lambda i: F.concat(F.lit('<w:p><w:r><w:t xml:space="preserve">'), word.escaped(F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit(""))), F.lit("</w:t></w:r></w:p>"))
+    whole = F.concat(
+        text(0), F.lit("<w:tbl><w:tr><w:tc>"), text(1), F.lit("<w:tbl><w:tr><w:tc>"), text(2), F.lit("</w:tc></w:tr></w:tbl>"), text(3), F.lit("</w:tc><w:tc>"), text(4), F.lit("</w:tc></w:tr></w:tbl>"), text(5), F.lit("<w:sectPr/>")
+    )
+    blocks = read(spark, d, "documents").select("doc_id", F.lit(0).alias("seq"), whole.alias("xml"))
+    n = stored(docx.nodes(parts.packed(parts.body_xml(blocks)), parts.PARTS))
+    return word.all_paragraphs(n).select("doc_id", "seq", "depth", F.sha2("text", 256).alias("text_sha256"))

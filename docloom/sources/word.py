@@ -108,6 +108,35 @@ def paragraphs(nodes: DataFrame) -> DataFrame:
     return in_body.unionByName(in_cell).withColumn("seq", F.row_number().over(order) - 1)
 
 
+def all_paragraphs(nodes: DataFrame) -> DataFrame:
+    """doc_id, seq, p, place, depth, style_id, text of the paragraphs of the main part at any depth, those of tables within cells too.
+
+    A container, the body or a cell, gives its own paragraphs first, then those of its tables by table, row and cell, and so on within each cell.
+    place is that path: 0 and the paragraph's number, or 1 and the numbers of table, row and cell before what is in the cell. Paths grow by a
+    join for each level of tables within tables.
+    """
+    main = nodes.where(F.col("part") == MAIN)
+    nth = lambda *by: F.row_number().over(Window.partitionBy("doc_id", *by).orderBy("node")) - 1
+    tables = main.where("tag = 'w:tbl'").select("doc_id", "node", F.col("parent").alias("outer")).withColumn("table", nth("outer")).withColumnRenamed("node", "tbl")
+    rows_ = main.where("tag = 'w:tr' and parent = tbl").select("doc_id", "tbl", "node").withColumn("row", nth("tbl")).withColumnRenamed("node", "tr")
+    cells = main.where("tag = 'w:tc' and parent = tr").select("doc_id", "tr", "node").withColumn("cell", nth("tr")).withColumnRenamed("node", "tc")
+    inner = cells.join(rows_, ["doc_id", "tr"]).join(tables, ["doc_id", "tbl"]).select("doc_id", F.col("tc").alias("container"), "outer", F.array(F.lit(1), "table", "row", "cell").alias("step"))
+    level = main.where("tag = 'w:body'").select("doc_id", F.col("node").alias("container"), F.array().cast("array<int>").alias("place"))
+    deepest = main.where("tag = 'w:tbl'").agg(F.max("depth")).first()[0]
+    found, depth = level.withColumn("depth", F.lit(0)), 0
+    # a table within a table stands at least three nodes deeper, and the first two below the root
+    while deepest is not None and 3 * depth + 2 <= deepest:
+        depth += 1
+        level = inner.join(level.select("doc_id", F.col("container").alias("outer"), F.col("place").alias("above")), ["doc_id", "outer"]).select("doc_id", "container", F.concat("above", "step").alias("place"))
+        found = found.unionByName(level.withColumn("depth", F.lit(depth)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isin("w:t", "w:tab", "w:br", "w:cr"), F.struct("node", F.when(F.col("tag") == "w:t", F.coalesce("text", F.lit(""))).when(F.col("tag") == "w:tab", "\t").otherwise("\n").alias("text"))))), lambda x: x["text"]), "")
+    own = main.where("p is not null").groupBy("doc_id", "p").agg(F.max(F.when(F.col("node") == F.col("p"), F.col("parent"))).alias("container"), value("w:pStyle").alias("style_id"), text.alias("text"))
+    placed = own.join(found, ["doc_id", "container"])
+    number = F.row_number().over(Window.partitionBy("doc_id", "container").orderBy("p")) - 1
+    placed = placed.withColumn("place", F.concat("place", F.array(F.lit(0), number)))
+    return placed.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("place")) - 1).alias("seq"), "p", "place", "depth", "style_id", "text")
+
+
 def runs(nodes: DataFrame) -> DataFrame:
     """doc_id, part, p, run, start, stop, text and what the run sets itself; start and stop count characters of the paragraph's runs."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag") == "w:t", F.struct("node", F.coalesce("text", F.lit("")).alias("text"))))), lambda x: x["text"]), "")

@@ -149,3 +149,13 @@ def test_hashes_of_tables_with_merged_cells(spark):
     (one, two) = word.table_hashes(n).orderBy("table").collect()
     assert one.first_row_sha256 == sha("u␟v␟v") and one.table_text_sha256 == two.table_text_sha256 == sha("u␟v␟v␞u␟x␟y\nz") and one.rows == 2
     assert word.rows(n).select("table").distinct().count() == 2  # tables in cells have no number
+
+
+def test_paragraphs_at_any_depth(spark):
+    cell = lambda *inner: f"<w:tc>{''.join(inner)}</w:tc>"
+    table = lambda *rows: "<w:tbl>" + "".join(f"<w:tr>{''.join(r)}</w:tr>" for r in rows) + "</w:tbl>"
+    deep = table([cell(table([cell(p("e"))]), p("d"))])
+    body = table([cell(p("b"), deep, p("c")), cell(p("f"))], [cell(p("g"))]) + p("a") + table([cell(p("h"))]) + "<w:sectPr/>"
+    got = word.all_paragraphs(nodes(spark, x=package(body), y=package(p("only")))).orderBy("doc_id", "seq").collect()
+    assert [(r.text, r.depth) for r in got if r.doc_id == "x"] == [("a", 0), ("b", 1), ("c", 1), ("d", 2), ("e", 3), ("f", 1), ("g", 1), ("h", 1)]
+    assert [(r.text, r.place) for r in got if r.doc_id == "y"] == [("only", [0, 0])]
