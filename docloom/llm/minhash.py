@@ -37,6 +37,8 @@ K = BANDS * ROWS
 #: Pairs whose signatures agree less than SIMILARITY by this many standard deviations are not verified.
 SLACK = 4.5
 FIRST_SLAB = 2.0**-6
+#: Bytes of texts that are signed at once, and parts of a slab that are opened at once; both bound a worker's memory.
+SIGN_BYTES, PARTS_AT_ONCE = 1 << 17, 32
 #: Rows of a block of a bucket in the comparison across components: of signatures alone, and of whole rows, and about
 #: how many bytes of cells a block of these has.
 SKETCH_BLOCK, BLOCK, BLOCK_BYTES = 2048, 1024, 16 << 20
@@ -89,8 +91,8 @@ def signatures(doc: np.ndarray, cells: np.ndarray, n_docs: int, k: int = K) -> n
                 cdf.append(p)
                 term *= area / (len(cdf))
                 p += term
-            for first in range(0, parts, 64):
-                n = min(64, parts - first)
+            for first in range(0, parts, PARTS_AT_ONCE):
+                n = min(PARTS_AT_ONCE, parts - first)
                 part = np.arange(first, first + n, dtype=np.uint64)
                 ids = mix64((cells[:, None] ^ mix64(part + np.uint64(number << 32))[None, :]).ravel())
                 u = (ids >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -117,7 +119,7 @@ def _sign(batches):
     )
     row_id = TaskContext.get().partitionId() << 33
     for batch in batches:
-        for part in steps(batch, step_bytes=1 << 18):
+        for part in steps(batch, step_bytes=SIGN_BYTES):
             n = part.num_rows
             doc, cells, (f1, f2) = cells_of(*text_buffers(part.column("text")))
             value = signatures(doc, cells, n)
