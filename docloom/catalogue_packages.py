@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.catalogue import LINES_SQL, lines, query, read
+from docloom.functions import text as T
 from docloom.operators import breaks, numbering
 from docloom.sources import docx, parts, word
 from docloom.sources.stored import stored
@@ -156,3 +157,54 @@ def nested_paragraphs(spark, d):
     blocks = read(spark, d, "documents").select("doc_id", F.lit(0).alias("seq"), whole.alias("xml"))
     n = stored(docx.nodes(parts.packed(parts.body_xml(blocks)), parts.PARTS))
     return word.all_paragraphs(n).select("doc_id", "seq", "depth", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""SELECT doc_id::VARCHAR AS doc_id, 'Own' AS style, (doc_id % 9 + 8.5)::DOUBLE AS font_size_pt, CASE doc_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS bold, CASE WHEN doc_id % 2 = 0 THEN 'justify' ELSE 'center' END AS alignment,
+  CASE doc_id % 4 WHEN 0 THEN 'single' WHEN 1 THEN 'one_point_five' WHEN 2 THEN 'exact' ELSE 'at_least' END AS line_spacing_rule, CASE WHEN doc_id % 4 < 2 THEN (1.0 + 0.5 * (doc_id % 4))::DOUBLE ELSE -1.0::DOUBLE END AS line_spacing,
+  CASE WHEN doc_id % 4 < 2 THEN -1.0::DOUBLE ELSE 15.0::DOUBLE END AS line_spacing_pt, (doc_id % 7)::DOUBLE AS space_before_pt, CASE WHEN doc_id % 2 = 0 THEN (-(doc_id % 5))::DOUBLE ELSE (doc_id % 5)::DOUBLE END AS first_line_indent_pt,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'FF00AA' END AS color_hex, 'N' AS based_on FROM documents""")
+def style_definitions(spark, d):
+    """What a style of each package sets: sizes in half points and twentieths, toggles, and line spacing by its rule."""
+    k = F.col("doc_id").cast("long")
+    number = lambda c: c.cast("string")
+    bold = F.when(k % 3 == 0, "<w:b/>").when(k % 3 == 1, '<w:b w:val="false"/>').otherwise("")
+    line = F.element_at(F.array(*map(F.lit, ('w:line="240" w:lineRule="auto"', 'w:line="360"', 'w:line="300" w:lineRule="exact"', 'w:line="300" w:lineRule="atLeast"'))), (k % 4 + 1).cast("int"))
+    whole = F.concat(
+        F.lit(f'<w:styles {parts.SPACES}><w:style w:type="paragraph" w:styleId="O"><w:name w:val="Own"/><w:basedOn w:val="N"/><w:pPr><w:jc w:val="'), F.when(k % 2 == 0, "both").otherwise("center"),
+        F.lit('"/><w:spacing w:before="'), number(k % 7 * 20), F.lit('" '), line, F.lit('/><w:ind w:'), F.when(k % 2 == 0, "hanging").otherwise("firstLine"), F.lit('="'), number(k % 5 * 20), F.lit('"/></w:pPr><w:rPr>'), bold,
+        F.lit('<w:color w:val="'), F.when(k % 3 == 0, "auto").otherwise("FF00AA"), F.lit('"/><w:sz w:val="'), number((k % 9 + 8) * 2 + 1), F.lit('"/></w:rPr></w:style></w:styles>'),
+    )
+    main = F.lit(f"<w:document {parts.SPACES}><w:body/></w:document>")
+    files = read(spark, d, "documents").select("doc_id", F.explode(F.array(F.struct(F.lit(word.MAIN).alias("name"), main.alias("content")), F.struct(F.lit("word/styles.xml").alias("name"), whole.alias("content")))).alias("x"))
+    s = word.styles(docx.nodes(parts.packed(files.select("doc_id", "x.*")), parts.PARTS))
+    real = lambda c: F.coalesce(c, F.lit(-1.0))
+    return s.select(
+        "doc_id", "style", "font_size_pt", F.coalesce(_text(F.col("bold")), F.lit("")).alias("bold"), "alignment", "line_spacing_rule", real("line_spacing").alias("line_spacing"), real("line_spacing_pt").alias("line_spacing_pt"), "space_before_pt",
+        (F.col("first_line_indent_pt") + 0.0).alias("first_line_indent_pt"), F.coalesce("color_hex", F.lit("")).alias("color_hex"), "based_on",
+    )
+
+
+TITLED = ["第2章 A", "2.1 B", "2.1.1 C", "2.1.1.1 D", "plain", "图 1 x"]
+STYLED = ["Normal", "Title", "Heading 2", "Quote", "Bibliography"]
+
+
+@query("""WITH k AS (SELECT p_partkey AS k, p_partkey % 6 AS t, (p_partkey // 6) % 5 AS s FROM part)
+SELECT k, CASE WHEN t < 4 THEN 'heading_' || (t + 1) ELSE ['unknown', 'title', 'heading_2', 'long_quote', 'reference_entry'][s + 1] END AS role FROM k""")
+def paragraph_roles(spark, d):
+    """The role of a paragraph: by the level that its text shows, else by its style."""
+    k = F.col("p_partkey")
+    pick = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (key + 1).cast("int"))
+    p = read(spark, d, "part").select(k.alias("k"), pick(TITLED, k % 6).alias("text"), pick(STYLED, F.expr("(p_partkey div 6) % 5")).alias("style"))
+    return p.select("k", T.role(F.col("text"), F.col("style")).alias("role"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 3 AS k FROM documents) SELECT doc_id::VARCHAR AS doc_id, sha256(CASE k WHEN 0 THEN 'w:rPr ' || chr(10) || 'w:b w:val=1' WHEN 1 THEN 'w:pPr ' || chr(10) || 'w:jc w:val=v' || doc_id ELSE '' END) AS signature,
+  sha256('<ns0:oMath xmlns:ns0="http://schemas.openxmlformats.org/officeDocument/2006/math"><ns0:r><ns0:t>' || doc_id || '</ns0:t></ns0:r></ns0:oMath>') AS formula FROM d""")
+def paragraph_signatures(spark, d):
+    """How a paragraph is set, by its mark or else its properties, and the hash of a formula's canonical form."""
+    k = F.col("doc_id").cast("long")
+    own = F.when(k % 3 == 0, '<w:pPr><w:jc w:val="x"/><w:rPr><w:b w:val="1"/></w:rPr></w:pPr>').when(k % 3 == 1, F.concat(F.lit('<w:pPr><w:jc w:val="v'), _text(k), F.lit('"/></w:pPr>'))).otherwise("")
+    math = F.concat(F.lit('<m:oMath xmlns:m="http://schemas.openxmlformats.org/officeDocument/2006/math"><m:r><m:t>'), _text(k), F.lit("</m:t></m:r></m:oMath>"))
+    blocks = read(spark, d, "documents").select("doc_id", F.lit(0).alias("seq"), F.concat(F.lit("<w:p>"), own, math, F.lit("<w:r><w:t>x</w:t></w:r></w:p>")).alias("xml"))
+    n = stored(docx.nodes(parts.packed(parts.body_xml(blocks)), parts.PARTS))
+    return word.signatures(n).join(docx.formulas(n).select("doc_id", F.col("sha256").alias("formula")), "doc_id").select("doc_id", "signature", "formula")
