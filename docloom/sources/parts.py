@@ -166,21 +166,6 @@ def relationships_xml(edges: DataFrame) -> DataFrame:
 def packed(parts: DataFrame) -> DataFrame:
     """parts(doc_id, name, content as text or bytes) -> doc_id, content: packages with all these parts, in the order of their names, the same
     bytes for the same parts. One document is put together in one task."""
-    import io
-    import zipfile
-
-    import pyarrow as pa
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for entries in batch.column("parts").to_pylist():
-                raw = io.BytesIO()
-                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                    for entry in entries:
-                        z.writestr(zipfile.ZipInfo(entry["name"]), entry["content"])
-                out.append(raw.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "content"])
-
+    entries = lambda parts: [(x["name"].as_py(), (x["content"].as_buffer(),)) for x in parts]
     each = F.array_sort(F.collect_list(F.struct("name", F.col("content").cast("binary").alias("content"))))
-    return parts.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(each.alias("parts")).mapInArrow(run, "doc_id string, content binary")
+    return word.zipped(parts.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(each.alias("parts")), "parts", entries)

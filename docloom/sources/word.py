@@ -6,10 +6,13 @@ Nodes know the paragraph, run, table, row, cell, style and section that they sta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import constants as K
+from docloom.sources.stored import BATCH_BYTES, bound_batches
 
 MAIN = "word/document.xml"
 #: Elements that a paragraph may not lose.
@@ -264,20 +267,39 @@ def row_xml(cells: Column, is_header: Column) -> Column:
 
 def packed(blocks: DataFrame) -> DataFrame:
     """blocks(doc_id, seq, xml), the children of a body -> doc_id, content: packages with a main part. One document is put together in one task."""
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "xml"))), lambda x: x["xml"]), "")
+    bodies = blocks.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(ordered.alias("body"))
+    return zipped(bodies, "body", lambda body: [(MAIN, (HEAD.encode(), body.as_buffer(), TAIL.encode()))])
+
+
+def zipped(df: DataFrame, column: str, entries: Callable) -> DataFrame:
+    """df(doc_id, column) -> doc_id, content. ``entries`` gives of a value of the column, an Arrow scalar, the parts (name, pieces of bytes). Packages are
+    put together one at a time, and go back to Spark before they are many bytes."""
     import io
     import zipfile
 
     import pyarrow as pa
 
+    def one(value) -> bytes:
+        raw = io.BytesIO()
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, pieces in entries(value):
+                info = zipfile.ZipInfo(name)
+                info.file_size = sum(map(len, pieces))
+                with z.open(info, "w") as part:
+                    for piece in pieces:
+                        part.write(piece)
+        return raw.getvalue()
+
     def run(batches):
         for batch in batches:
-            out = []
-            for xml in batch.column("body").to_pylist():
-                raw = io.BytesIO()
-                with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                    z.writestr(zipfile.ZipInfo(MAIN), HEAD + xml + TAIL)
-                out.append(raw.getvalue())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "content"])
-
-    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "xml"))), lambda x: x["xml"]), "")
-    return blocks.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(ordered.alias("body")).mapInArrow(run, "doc_id string, content binary")
+            docs, values, first, out, size = batch.column("doc_id"), batch.column(column), 0, [], 0
+            for i in range(batch.num_rows):
+                out.append(one(values[i]))
+                size += len(out[-1])
+                if size >= BATCH_BYTES or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([docs.slice(first, len(out)), pa.array(out, pa.binary())], names=["doc_id", "content"])
+                    first, out, size = i + 1, [], 0
+
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, "doc_id string, content binary")
