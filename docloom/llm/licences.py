@@ -1,15 +1,15 @@
 """Operator 2: licence families of paragraphs. DataFrame and SQL functions only.
 
 A multinomial logistic regression with an elastic net over word one- and two-grams tells the families
-and an unknown class apart. It is trained here on windows of the notices below against paragraphs of a
-bounded sample of the corpus; its temperature is fitted on rows that it has not seen. A prediction
+and an unknown class apart. It is trained here on windows of the notices below against all paragraphs of the
+corpus; its temperature is fitted on rows that it has not seen. A prediction
 counts only if the paragraph also holds most of the distinctive n-grams of a notice of that family.
 
-Scale: the n-grams of notices, a few hundred, are the only features, so weights and notices are one
-broadcast table of a fixed size. N-grams of paragraphs are exploded and joined in the same stage as the
-scan; since n-grams that are common in the corpus are no features, few rows are left to shuffle. Notices
-may be wrapped: what is scored are windows of up to WRAPPED neighbouring lines, of the features found only, and only near lines that
-have enough of one family.
+Scale: the n-grams of notices, a few hundred, are the only ones that count, and a fixed set that expressions hold. One scan
+of the texts writes which of them each paragraph has; the fit counts these, and since paragraphs with the same
+features are one weighted row, it meets far fewer rows than paragraphs. N-grams that are common in the corpus are no features,
+so few rows are left to shuffle. Notices may be wrapped: what is scored are windows of up to WRAPPED neighbouring
+lines, of the features found only, and only near lines that have enough of one family.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, StringIndexerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,16 +25,14 @@ from pyspark.sql import functions as F
 from docloom.llm.common import kept, table
 
 UNKNOWN = "unknown"
-#: About how many documents give the paragraphs without a licence.
-BACKGROUND_DOCS = 2_000
-#: An n-gram in more than this share of the background's paragraphs is no feature.
+#: An n-gram in more than this share of the paragraphs is no feature; those with a notice add nothing to its count.
 COMMON = 0.003
 #: The least probability of a family, and the least share of a notice's n-grams.
 LEAST_PROBABILITY, LEAST_SHARE = 0.5, 0.6
 #: The most lines that one wrapped notice may take.
 WRAPPED = 12
-#: The feature that every document has, of weight zero.
-NO_GRAM = 0
+#: Rows of the training table for each task that fits on them.
+TRAINING_ROWS = 20_000
 TEMPERATURES = [0.25 * 1.1**i for i in range(40)]
 
 #: Notices of each family (fixed values: the usual wording of public licences).
@@ -92,16 +90,14 @@ def words_of(text: Column) -> Column:
 
 
 def _hashed(words: str) -> Column:
-    """Hashes of the distinct words and pairs of neighbours in the array column ``words``."""
+    """Hashes of the words and pairs of neighbours in the array column ``words``, one for each place."""
     pairs = F.expr(f"transform(slice({words}, 2, size({words})), (w, i) -> xxhash64({words}[i], w))")
-    return F.array_distinct(F.concat(F.transform(F.col(words), lambda w: F.xxhash64(w)), pairs))
+    return F.concat(F.transform(F.col(words), lambda w: F.xxhash64(w)), pairs)
 
 
-def _hashed_text(column: str) -> Column:
-    """_hashed() of the words of a text, whose array has no column of its own."""
-    words = words_of(F.col(column))
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.element_at(words, i.cast("int")), F.element_at(words, (i + 1).cast("int"))))
-    return F.array_distinct(F.concat(F.transform(words, lambda w: F.xxhash64(w)), pairs))
+def _among(grams: Column, known: list[int]) -> Column:
+    """The distinct ones of an array that are known."""
+    return F.array_distinct(F.filter(grams, lambda g: g.isin(known)))
 
 
 def _every_notice() -> dict[str, list[str]]:
@@ -115,61 +111,94 @@ def _notices(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, ...) -> row_id, doc_id, n_paragraphs, paragraph, words, before. Paragraphs are lines; a
-    document without text has one empty one. before is the last word of the line before, null if that has none."""
+    """docs(doc_id, text, ...) -> row_id, doc_id, n_paragraphs, n_worded, paragraph, words, before. Paragraphs are lines; a
+    document without text has one empty one. n_worded of them have words; before is the last word of the line before, null if that has none."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), words_of)
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", lines.alias("lines"))
     # the generator stands in a step of its own, or ids would number its rows
     befores = F.expr("transform(lines, (x, i) -> struct(x AS words, if(i > 0, try_element_at(lines[i - 1], -1), null) AS before))")
-    exploded = numbered.select("row_id", "doc_id", F.size("lines").cast("long").alias("n_paragraphs"), F.posexplode(befores).alias("paragraph", "line"))
-    return exploded.select("row_id", "doc_id", "n_paragraphs", "paragraph", F.col("line.words").alias("words"), F.col("line.before").alias("before"))
+    worded = F.size(F.filter("lines", lambda x: F.size(x) > 0)).cast("long")
+    exploded = numbered.select("row_id", "doc_id", F.size("lines").cast("long").alias("n_paragraphs"), worded.alias("n_worded"), F.posexplode(befores).alias("paragraph", "line"))
+    return exploded.select("row_id", "doc_id", "n_paragraphs", "n_worded", "paragraph", F.col("line.words").alias("words"), F.col("line.before").alias("before"))
+
+
+def named_grams(spark: SparkSession) -> dict[tuple[str, int], list[int]]:
+    """The n-grams of each notice but those of FRAME (a few hundred, of fixed values)."""
+    texts = [(family, i, text) for family, texts in _every_notice().items() for i, text in enumerate(texts)]
+    rows = spark.createDataFrame([*texts, (UNKNOWN, 0, FRAME)], "family string, number int, text string").withColumn("words", words_of(F.col("text")))
+    grams = {(r["family"], r["number"]): set(r["grams"]) for r in rows.select("family", "number", _hashed("words").alias("grams")).collect()}  # of NOTICES
+    frame = grams.pop((UNKNOWN, 0))
+    return {notice: sorted(own - frame) for notice, own in grams.items()}
+
+
+def marked(docs: DataFrame, grams: list[int]) -> DataFrame:
+    """docs(doc_id, text, ...) -> row_id, doc_id, n_paragraphs, n_worded, paragraph, grams (those of ``grams`` that the paragraph has), bridge
+    (the pair of the word before and its first one, if that is one of them); of paragraphs with one, and of the first of each document."""
+    pair = F.xxhash64("before", F.col("words")[0])
+    bridge = F.when(F.col("before").isNotNull() & (F.size("words") > 0) & pair.isin(grams), pair)
+    lines = paragraphs(docs).select("row_id", "doc_id", "n_paragraphs", "n_worded", "paragraph", _among(_hashed("words"), grams).alias("grams"), bridge.alias("bridge"))
+    return lines.where((F.size("grams") > 0) | F.col("bridge").isNotNull() | (F.col("paragraph") == 0))
 
 
 class Scanner:
-    """Features (gram; a weight for each class; 1 for each notice that holds it), intercepts and temperature."""
+    """Features by n-gram (a weight for each class), intercepts and temperature; by notice the features that it holds."""
 
-    def __init__(self, features: DataFrame, classes: list[str], intercepts: list[float], temperature: float, notices: list[tuple[str, int, int]]):
+    def __init__(self, features: dict[int, list[float]], classes: list[str], intercepts: list[float], temperature: float, notices: dict[tuple[str, int], list[int]]):
         self.features, self.classes, self.intercepts, self.temperature, self.notices = features, classes, intercepts, temperature, notices
 
 
-def fit(docs: DataFrame, background: int = BACKGROUND_DOCS) -> Scanner:
-    """docs(doc_id, text, ...) -> the scanner. Only numbers a feature, at most a few hundred, reach the driver."""
-    spark = docs.sparkSession
-    notices = kept(_notices(spark).withColumn("words", words_of(F.col("text"))).withColumn("grams", _hashed("words")).drop("text"))
-    n = docs.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20))
-    some = docs.where(part < int((1 << 20) * min(1.0, background / max(n, 1))))
-    lines = kept(paragraphs(some).where(F.size("words") > 0).withColumn("grams", _hashed("words")).select("row_id", "paragraph", "grams"))
-    total = lines.count()
-
-    # features: n-grams of notices that are rare in the background
-    named = notices.where(F.col("family") != UNKNOWN).select("family", "number", F.explode("grams").alias("gram"))
-    frame = spark.createDataFrame([(FRAME,)], "text string").select(F.explode(_hashed_text("text")).alias("gram"))
-    named = kept(named.join(F.broadcast(frame), "gram", "left_anti"))  # frame: the n-grams of FRAME
-    candidates = F.broadcast(named.select("gram").distinct())  # the n-grams of NOTICES
-    # paragraphs that hold a notice must not make its own n-grams common, nor count as without a licence
-    hits = lines.select("row_id", "paragraph", F.explode("grams").alias("gram")).join(F.broadcast(named), "gram").groupBy("row_id", "paragraph", "family", "number").agg(F.count(F.lit(1)).alias("held"))
-    sizes = named.groupBy("family", "number").agg(F.count(F.lit(1)).alias("size"))
-    noticed = kept(hits.join(sizes, ["family", "number"]).where(F.col("held") >= LEAST_SHARE * F.col("size")).select("row_id", "paragraph").distinct())
-    plain = kept(lines.join(noticed, ["row_id", "paragraph"], "left_anti"))
-    common = plain.select(F.explode("grams").alias("gram")).join(candidates, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON * max(total, 1))
-    named = kept(named.join(F.broadcast(common.select("gram")), "gram", "left_anti"))  # common: some of the n-grams of NOTICES
+def _least(size: int) -> int:
+    """How many of a notice's n-grams are its least share."""
+    return next(n for n in range(size + 1) if n >= LEAST_SHARE * size)
 
-    # training rows: windows of the notices, and plain paragraphs
+
+def _holds_notice(found: DataFrame, named: dict[tuple[str, int], list[int]]) -> Column:
+    """Whether a row of marked() has the least share of a notice's n-grams."""
+    often = {r["gram"]: r["n"] for r in found.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}  # the n-grams of NOTICES
+    # a paragraph without any of the size - least + 1 rarest n-grams of a notice has too few of it; only the others are compared
+    rare, notices = set(), []
+    for own in filter(None, named.values()):
+        rare |= set(sorted(own, key=lambda g: (often.get(g, 0), g))[: len(own) - _least(len(own)) + 1])
+        notices.append(F.struct(F.lit(_least(len(own))).alias("least"), F.array(*[F.lit(g).cast("long") for g in own]).alias("own")))
+    return F.exists("grams", lambda g: g.isin(sorted(rare))) & F.exists(F.array(*notices), lambda x: F.size(F.array_intersect("grams", x["own"])) >= x["least"])
+
+
+def _training(spark: SparkSession, plain: DataFrame, without: int, features: list[int]) -> DataFrame:
+    """Windows of the notices, and the paragraphs of ``plain`` that have features, with ``without`` others -> family, terms (the features in order, as text), n."""
+    texts = [(family, text) for family, texts in _every_notice().items() for text in texts] + [(UNKNOWN, text) for text in NO_NOTICES]
     window = F.expr("explode(flatten(transform(array(1.0, 0.8, 0.6), s -> transform(sequence(0, cast(floor(size(words) * (1 - s)) as int)), a -> slice(words, a + 1, cast(ceil(size(words) * s) as int))))))")
-    windows = notices.select("family", window.alias("words")).where("size(words) > 1").withColumn("grams", _hashed("words")).select("family", "grams")
-    rows = windows.unionByName(plain.select(F.lit(UNKNOWN).alias("family"), "grams"))
-    features = F.broadcast(named.select("gram").distinct())
-    rows = kept(rows.withColumn("id", F.monotonically_increasing_id()))
-    held = rows.select("id", F.explode("grams").alias("gram")).join(features, "gram").groupBy("id").agg(F.collect_set(F.col("gram").cast("string")).alias("terms"))
-    data = rows.select("id", "family").join(held, "id", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
-    data = kept(data.groupBy("family", F.array_sort("terms").alias("terms")).agg(F.count(F.lit(1)).alias("n")))
+    windows = spark.createDataFrame(texts, "family string, text string").withColumn("words", words_of(F.col("text"))).select("family", window.alias("words")).where("size(words) > 1")
+    terms = lambda grams: F.array_sort(F.transform(grams, lambda g: g.cast("string"))).alias("terms")
+    rows = windows.select("family", terms(_among(_hashed("words"), features)), F.lit(1).cast("long").alias("n"))
+    rows = rows.unionByName(spark.range(1).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("terms"), F.lit(without).cast("long").alias("n")).where("n > 0"))
+    rows = rows.unionByName(plain.select(F.lit(UNKNOWN).alias("family"), terms(F.col("grams")), F.lit(1).cast("long").alias("n")))
+    data = kept(rows.groupBy("family", "terms").agg(F.sum("n").alias("n")))
+    return data.coalesce(-(-data.count() // TRAINING_ROWS))
+
+
+def fit(found: DataFrame, named: dict[tuple[str, int], list[int]]) -> Scanner:
+    """marked() of all documents and the n-grams of notices -> the scanner. Only numbers a feature, at most a few hundred, reach the driver."""
+    spark = found.sparkSession
+    total = found.where("paragraph = 0").agg(F.sum("n_worded")).first()[0] or 0
+
+    # features: n-grams of notices that are rare; paragraphs that hold a notice must not make its own n-grams common, nor count as without a licence
+    noticed = _holds_notice(found, named)
+    plain = found.where(~noticed)
+    common = {r["gram"] for r in plain.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON * max(total, 1)).collect()}  # some of the n-grams of NOTICES
+    notices = {notice: [g for g in own if g not in common] for notice, own in named.items()}
+    features = sorted(set().union(*notices.values()))
+
+    # training rows: windows of the notices, and plain paragraphs
+    plain = plain.withColumn("grams", F.filter("grams", lambda g: g.isin(features))).where(F.size("grams") > 0)
+    counted = found.agg(F.count_if(noticed).alias("noticed"), F.count_if(~noticed & F.exists("grams", lambda g: g.isin(features))).alias("plain")).first()
+    data = _training(spark, plain, total - counted["noticed"] - counted["plain"], features)
     counts = {r[0]: r[1] for r in data.groupBy("family").agg(F.sum("n")).collect()}
     balance = F.create_map(*[x for f, c in counts.items() for x in (F.lit(f), F.lit(1.0 / c))])
     data = data.withColumn("weight", F.element_at(balance, F.col("family")) * F.col("n")).withColumn("fold", F.pmod(F.xxhash64("terms", "family"), F.lit(5)))
-    vector = CountVectorizer(inputCol="terms", outputCol="features", minDF=1.0, binary=True).fit(data)
-    index = StringIndexer(inputCol="family", outputCol="label", stringOrderType="alphabetAsc").fit(data)
-    ready = kept(index.transform(vector.transform(data)))
+    vector = CountVectorizerModel.from_vocabulary([str(g) for g in features] or [""], "terms", "features", binary=True)
+    classes = sorted(counts)
+    index = StringIndexerModel.from_labels(classes, "family", "label")
+    ready = index.transform(vector.transform(data))
     regression = LogisticRegression(weightCol="weight", family="multinomial", regParam=0.0005, elasticNetParam=0.5, maxIter=60)
     held_back = regression.fit(ready.where("fold <> 0"))
     tried = held_back.transform(ready.where("fold = 0")).select("label", "weight", F.col("rawPrediction"))
@@ -180,37 +209,30 @@ def fit(docs: DataFrame, background: int = BACKGROUND_DOCS) -> Scanner:
     model = regression.fit(ready)
 
     matrix = model.coefficientMatrix.toArray()
-    classes = list(index.labels)
-    weights = [(int(term), *map(float, matrix[:, i])) for i, term in enumerate(vector.vocabulary)]
-    by_weight = spark.createDataFrame(weights, "gram long, " + ", ".join(f"w{i} double" for i in range(len(classes))))
-    order = [(f, i) for f, texts in _every_notice().items() for i in range(len(texts))]
-    size = {(r["family"], r["number"]): r["n"] for r in named.groupBy("family", "number").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of_notice = named.groupBy("gram").agg(*[F.max(((F.col("family") == f) & (F.col("number") == i)).cast("int")).alias(f"n{k}") for k, (f, i) in enumerate(order)])
-    no_gram = spark.range(NO_GRAM, NO_GRAM + 1).select(F.col("id").alias("gram"), *[F.lit(0).alias(f"n{k}") for k in range(len(order))], *[F.lit(0.0).alias(f"w{i}") for i in range(len(classes))])
-    table_ = kept(of_notice.join(by_weight, "gram", "left").fillna(0.0).unionByName(no_gram))
-    temperature = float(best["t"]) if best else 1.0
-    return Scanner(table_, classes, [float(x) for x in model.interceptVector], temperature, [(f, i, size.get((f, i), 0)) for f, i in order])
-
-
-def _by_family(scanner: Scanner) -> DataFrame:
-    """A row for each feature and family whose notices hold it: gram, family, w (by class), held (by notice of the family), of (by family)."""
-    families, notices = list(NOTICES), list(enumerate(scanner.notices))
-    of = [F.greatest(F.lit(0), F.lit(0), *[F.col(f"n{k}") for k, (g, _, _) in notices if g == f]).cast("double") for f in families]
-    most = max(map(len, _every_notice().values()))
-    parts = []
-    for i, f in enumerate(families):
-        held = [(F.col(f"n{k}") / size if size else F.lit(0.0)) for k, (g, _, size) in notices if g == f]
-        parts.append(F.struct(F.lit(f).alias("family"), F.lit(i).alias("number"), of[i].alias("own"), F.array(*(held + [F.lit(0.0)] * (most - len(held)))).alias("held")))
-    each = scanner.features.where(F.col("gram") != NO_GRAM).select("gram", F.array(*[F.col(f"w{i}") for i in range(len(scanner.classes))]).alias("w"), F.array(*of).alias("of"), F.explode(F.array(*parts)).alias("p"))
-    return kept(each.select("gram", "w", "of", "p.*").where("own > 0"))
+    weights = {g: list(map(float, matrix[:, i])) for i, g in enumerate(features)}
+    return Scanner(weights, classes, [float(x) for x in model.interceptVector], float(best["t"]) if best else 1.0, notices)
+
+
+def _by_family(spark: SparkSession, scanner: Scanner) -> DataFrame:
+    """A row for each feature and family whose notices hold it: gram, w (by class), of (by family), family, number, held (by notice of the family)."""
+    families, most = list(NOTICES), max(map(len, _every_notice().values()))
+    own = {f: [grams for (g, _), grams in scanner.notices.items() if g == f] for f in families}
+    rows = []
+    for gram, weights in scanner.features.items():
+        of = [float(any(gram in grams for grams in own[f])) for f in families]
+        for i, f in enumerate(families):
+            if of[i]:
+                held = [1.0 / len(grams) if gram in grams else 0.0 for grams in own[f]]
+                rows.append((gram, weights, of, f, i, held + [0.0] * (most - len(held))))
+    return kept(spark.createDataFrame(rows, "gram long, w array<double>, of array<double>, family string, number int, held array<double>").coalesce(1))  # the n-grams of NOTICES
 
 
 def _dense(held: DataFrame, by_family: DataFrame, scanner: Scanner) -> DataFrame:
     """Found n-grams -> row_id, paragraph of the lines with one of a family of which the lines near it have enough for a notice, so that
     only these are tried in windows: a window that confirms a family lies in the WRAPPED lines around each of its lines."""
     least = {}
-    for family, _, size in scanner.notices:
-        if size:
+    for (family, _), grams in scanner.notices.items():
+        if size := len(grams):
             least[family] = min(least.get(family, size), math.ceil(LEAST_SHARE * size - 1e-9))
     need = F.element_at(F.create_map(*[x for f, n in least.items() for x in (F.lit(f), F.lit(n))]), F.col("family")) if least else F.lit(1)
     lines = held.join(F.broadcast(by_family.select("gram", "family")), "gram").groupBy("row_id", "family", "paragraph").agg(F.count(F.lit(1)).alias("n"))  # the n-grams of NOTICES
@@ -226,17 +248,17 @@ def scan(docs: DataFrame, scanner: Scanner | None = None) -> tuple[DataFrame, Da
     notice; not where all that it has belongs to another confirmed family that has more (CC BY in CC BY-SA).
     Of nested windows the smallest counts, and windows that overlap are one notice.
     """
-    scanner = scanner or fit(docs)
-    every = F.when(F.col("paragraph") == 0, F.array(F.lit(NO_GRAM).cast("long"))).otherwise(F.array().cast("array<long>"))
-    bridge = F.when(F.col("before").isNotNull() & (F.size("words") > 0), F.array(F.xxhash64("before", F.col("words")[0]))).otherwise(F.array().cast("array<long>"))
-    marked = F.concat(*[F.transform(a, lambda g: F.struct(g.alias("gram"), F.lit(b).alias("bridge"))) for a, b in ((_hashed("words"), 0), (every, 0), (bridge, 1))])  # noqa: B023
-    lines = paragraphs(docs).select("row_id", "doc_id", "n_paragraphs", "paragraph", F.explode(marked).alias("g")).select("row_id", "doc_id", "n_paragraphs", "paragraph", "g.*")
-    found = kept(lines.join(F.broadcast(scanner.features.select("gram")), "gram"))  # the n-grams of NOTICES
-    documents = found.where(F.col("gram") == NO_GRAM).select("row_id", "doc_id", "n_paragraphs")
+    spark = docs.sparkSession
+    named = scanner.notices if scanner else named_grams(spark)
+    found = kept(marked(docs, sorted(set().union(*named.values()))))
+    scanner = scanner or fit(found, named)
+    documents = found.where("paragraph = 0").select("row_id", "doc_id", "n_paragraphs")
+    each = F.concat(*[F.transform(a, lambda g: F.struct(g.alias("gram"), F.lit(b).alias("bridge"))) for a, b in ((F.col("grams"), 0), (F.array_compact(F.array("bridge")), 1))])  # noqa: B023
+    features = F.filter(each, lambda x: x["gram"].isin(list(scanner.features)))
+    held = found.select("row_id", "n_paragraphs", "paragraph", F.explode(features).alias("g")).select("row_id", "n_paragraphs", "paragraph", "g.*")
 
     spans = F.expr(f"explode(flatten(transform(sequence(0, {WRAPPED - 1}), more -> transform(sequence(0, more), back -> struct(paragraph - back AS first, paragraph - back + more AS last)))))")
-    by_family = _by_family(scanner)
-    held = found.where(F.col("gram") != NO_GRAM)
+    by_family = _by_family(spark, scanner)
     near = kept(_dense(held, by_family, scanner))
     at = held.join(near, ["row_id", "paragraph"], "left_semi").select("row_id", "n_paragraphs", "paragraph", "gram", "bridge", spans.alias("at")).select("*", "at.first", "at.last")
     inside = at.where("first >= 0 and last < n_paragraphs and (bridge = 0 or first < paragraph)").groupBy("row_id", "first", "last", "gram").agg(F.max("bridge").alias("bridge"))

@@ -98,3 +98,15 @@ def test_a_notice_over_ten_lines(spark):
     docs = spark.createDataFrame(rows + [(1000, "x\n" + text + "\ny", "", 1)], SCHEMA).repartition(3)
     (r,) = licences.licences(docs).where("doc_id = 1000").collect()
     assert r.families == "mit" and r.n_notices == 1 and text.count("\n") >= 9
+
+
+def test_what_is_common_is_counted_in_all_documents(spark):
+    """Pairs in one line of seven hundred, but in one of a hundred and seventy of the documents that a sample by a hash of doc_id took."""
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(700)]
+    prose = lambda: " ".join(rng.choices(words, k=12))
+    some = [r[0] for r in spark.range(8_000).where(f"pmod(xxhash64(id, 11), {1 << 20}) < {1 << 17}").collect()][:48]
+    text = {i: f"{['released under', 'under the', 'the mit', 'mit license'][k % 4]} {prose()}" for k, i in enumerate(some)}
+    rows = [(i, text.get(i) or prose(), "", 1) for i in range(8_000)] + [(9_000, LINES["mit"], "", 1), (9_001, "All rights reserved.", "", 1)]
+    got = {r.doc_id: r.families for r in licences.licences(spark.createDataFrame(rows, SCHEMA).repartition(3)).where("doc_id >= 9000").collect()}
+    assert got == {9_000: "mit", 9_001: "proprietary"}
