@@ -35,12 +35,12 @@ def _flag(rule: Column, key: str) -> Column:
 
 
 def folded(rules: Column, state: dict[str, Column], step) -> Column:
-    """An array of rules and a state by name; ``step`` gives of a state and a rule the columns that change."""
+    """An array of rules and a state by name; ``step`` gives of a state and a rule the columns that change, or the whole new state."""
     packed = lambda columns: F.struct(*[c.alias(n) for n, c in columns.items()])
 
     def merge(s: Column, r: Column) -> Column:
         new = step(s, r)
-        return packed({n: new.get(n, s[n]) for n in state})
+        return new if isinstance(new, Column) else packed({n: new.get(n, s[n]) for n in state})
 
     return F.aggregate(rules, packed(state), merge)
 
@@ -68,24 +68,39 @@ def _headed(style: Column, levels: Column) -> Column:
     return F.when(level <= levels, level)
 
 
-def paragraph_step(s: Column, r: Column) -> dict[str, Column]:
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once: an expression that stands twice in a fold is worked out twice, and so is all that it holds."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def paragraph_step(s: Column, r: Column) -> Column:
     """A paragraph after a rule: targets of its own get its style; where a rule has none, the paragraphs of its style are its targets. A
     rule may strip the numbers of headings, and it may turn markers into fields."""
-    named = r["style"].isNotNull()
-    own = F.array_contains(s["asked"], r["ord"])
-    hit = named & F.when(r["by_map"], own).otherwise(s["style"].eqNullSafe(r["style"]))
-    strips = ~named & _flag(r, "strip_manual_heading_prefixes")
-    level = _headed(s["style"], F.coalesce(_number(r, "heading_levels").cast("int"), F.lit(4)))
-    prefix = reduce(lambda c, k: c.when(level == k, F.length(T.heading_prefix(s["text"], k))), (1, 2, 3, 4), F.when(F.lit(False), F.lit(0)))
-    stripped = strips & (F.coalesce(prefix, F.lit(0)) > 0)
-    markers = F.when(~named & _flag(r, "convert_explicit_markers"), F.regexp_count(s["text"], F.lit(K.FIELD_MARKER))).otherwise(F.lit(0))
-    marked = F.when(markers > 0, T.without_markers(s["text"])).otherwise(s["text"])
-    # markers are converted before numbers are stripped
-    prefix2 = reduce(lambda c, k: c.when(level == k, F.length(T.heading_prefix(marked, k))), (1, 2, 3, 4), F.when(F.lit(False), F.lit(0)))
-    text = F.when(stripped, F.substring(marked, F.coalesce(prefix2, F.lit(0)) + 1, F.length(marked))).otherwise(marked)
-    n = F.when(hit, F.lit(1)).otherwise(F.lit(0)) + F.when(stripped, F.lit(1)).otherwise(F.lit(0)) + markers
-    entry = F.array(F.struct(r["ord"].alias("ord"), n.cast("long").alias("n"), markers.cast("long").alias("fields")))
-    return {"style": F.when(hit & r["by_map"], r["style"]).otherwise(s["style"]), "text": text, "hits": F.when(n > 0, F.concat(s["hits"], entry)).otherwise(s["hits"]), "direct": F.when(hit & r["by_map"], F.concat(s["direct"], F.array(r["ord"]))).otherwise(s["direct"])}
+    entry = lambda n, markers: F.array(F.struct(r["ord"].alias("ord"), n.cast("long").alias("n"), markers.cast("long").alias("fields")))
+    state = lambda style, text, hits, direct: F.struct(style.alias("style"), text.alias("text"), s["asked"].alias("asked"), hits.alias("hits"), direct.alias("direct"))
+
+    hit = F.when(r["by_map"], F.array_contains(s["asked"], r["ord"])).otherwise(s["style"].eqNullSafe(r["style"]))
+    styled = state(
+        F.when(r["by_map"], r["style"]).otherwise(s["style"]), s["text"], F.concat(s["hits"], entry(F.lit(1), F.lit(0))), F.when(r["by_map"], F.concat(s["direct"], F.array(r["ord"]))).otherwise(s["direct"])
+    )
+
+    level = F.when(_flag(r, "strip_manual_heading_prefixes"), _headed(s["style"], F.coalesce(_number(r, "heading_levels").cast("int"), F.lit(4))))
+    # what each marker begins with is looked for first
+    markers = F.when(_flag(r, "convert_explicit_markers") & s["text"].contains("[["), F.regexp_count(s["text"], F.lit(K.FIELD_MARKER))).otherwise(F.lit(0))
+    prefix = lambda text, level: F.coalesce(reduce(lambda c, k: c.when(level == k, F.length(T.heading_prefix(text, k))), (1, 2, 3, 4), F.when(level.isNull(), F.lit(0))), F.lit(0))
+
+    def marked(x: Column) -> Column:
+        text = F.when(x["markers"] > 0, T.without_markers(s["text"])).otherwise(s["text"])
+        return F.struct(x["level"].alias("level"), x["markers"].alias("markers"), text.alias("text"), (prefix(s["text"], x["level"]) > 0).alias("strips"))
+
+    def changed(x: Column) -> Column:
+        # markers are converted before numbers are stripped
+        text = F.when(x["strips"], F.substring(x["text"], prefix(x["text"], x["level"]) + 1, F.length(x["text"]))).otherwise(x["text"])
+        n = x["strips"].cast("int") + x["markers"]
+        return F.when(n > 0, state(s["style"], text, F.concat(s["hits"], entry(n, x["markers"])), s["direct"])).otherwise(s)
+
+    fields = bound(F.struct(level.alias("level"), markers.alias("markers")), lambda x: F.when(x["level"].isNull() & (x["markers"] == 0), s).otherwise(bound(marked(x), changed)))
+    return F.when(r["style"].isNotNull(), F.when(hit, styled).otherwise(s)).otherwise(fields)
 
 
 def row_step(s: Column, r: Column) -> dict[str, Column]:

@@ -1,3 +1,6 @@
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from docloom.operators import update
 from docloom.plans import profile
 
@@ -61,3 +64,21 @@ def test_spans_of_runs(spark):
     assert [r.text for r in after.where("doc_id = 2").orderBy("run").collect()] == ["ab", "cd"]
     prefix, _ = update.spliced(runs, spark.createDataFrame([(1, 0, 0, 4, None), (2, 0, 0, 1, ""), (2, 0, 0, 2, "")], "doc_id int, place int, start int, stop int, replacement string"))
     assert [r.text for r in prefix.orderBy("doc_id", "run").collect()] == ["", "2-", "3 梁", "ab", "cd", ""]
+
+
+def test_a_rule_works_out_each_pattern_once_a_use(spark):
+    """What stands twice in a fold is worked out twice, and so is all that it holds: 14 patterns, not a product of uses."""
+    step = profile.paragraph_step(F.col("s"), F.col("r"))
+    step = step if isinstance(step, Column) else F.struct(*step.values())
+    assert str(step).lower().count("regexp") <= 14
+
+
+def test_odd_paragraphs_of_a_profile(spark):
+    """A null text, a null style, markers that are there once others are gone, and a rule for too few levels."""
+    auto = ("approved", "automatic", "fields", None, False)
+    doc = document(spark)
+    doc["paragraphs"] = spark.createDataFrame([(1, 0, None, "Heading 1"), (1, 1, "1.2 [[PA[[PAGE]]GE]]x", None), (1, 2, "[[PAGE]]1.2[[PAGE]] y", "Heading 2"), (1, 3, "1.2.3 z", "Heading 3"), (1, 4, "[[page", "Heading 1")], "doc_id int, place int, text string, style string")
+    given = rules(spark, ("p", *auto, {"convert_explicit_markers": "true", "strip_manual_heading_prefixes": "true", "heading_levels": "2"}), ("p", *auto, {"convert_explicit_markers": "true"}), ("p", *auto, {"strip_manual_heading_prefixes": "true", "heading_levels": "2"}))
+    out, changes, _, _ = profile.apply_profile(doc, *given)
+    assert sorted((r.place, r.text, r.style) for r in out["paragraphs"].where("doc_id = 1").collect()) == [(0, None, "Heading 1"), (1, "1.2 x", None), (2, "y", "Heading 2"), (3, "1.2.3 z", "Heading 3"), (4, "[[page", "Heading 1")]
+    assert {r.ord: r.targets for r in changes.where("doc_id = 1").collect()} == {0: 3, 1: 1, 2: 1}
