@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import mix64, shared_dir, small_or_none, steps, table
+from docloom.llm.common import mix64, shared_dir, small_or_none, steps, table, text_buffers
 from docloom.llm.word_cache import WordCache
 
 MODEL = "byte_bpe_50k.json"
@@ -41,6 +41,10 @@ HASH = 16
 #: A cut stands where the hash of the last WINDOW ids has CUT_BITS zero bits.
 WINDOW, CUT_BITS, LEAST, MOST = 8, 8, 64, 2048
 DOCS_PER_SEGMENT = 2048
+#: Text bytes that are encoded together.
+ENCODE_BYTES = 4 << 20
+#: Bytes of the pieces that a worker remembers, in each of two generations.
+CACHE_BYTES = 128 << 20
 
 STAGED = "kind int, owner long, hash binary, payload binary, n_ids long, doc_id long, row_id long, hashes binary, lengths binary"
 RECIPES = "kind int, segment long, place long, doc_id long, row_id long, n_ids long, start_in_segment long, hashes binary, lengths binary"
@@ -63,20 +67,69 @@ def model_path(path: str | None = None) -> str:
     return public_tokenizers.path(MODEL)
 
 
-#: What is white space to nobody: between such a character and a space every text may be cut.
-CLEAN = re.compile(r"[\w!-~]").match
-#: The letters by which a byte-level vocabulary file writes a space and a newline.
-OPENING = ("\u0120", "\u010a")
+#: Of each byte: whether it opens a gap, ends a character that is white space to nobody, is a letter or punctuation (no apostrophe).
+_GAP, _CLEAN, _LETTER, _POINT, _NEWLINE = (1 << i for i in range(5))
+#: Bytes that open characters of two and three bytes which are no white space, and Latin letters of two; the ends of such letters.
+_TWO, _THREE, _LATIN, _TAIL = (1 << i for i in range(4))
+PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_KIND, _LEAD = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+for _bytes, _flag in ((b" \n", _GAP), (bytes(range(0x21, 0x7F)), _CLEAN), (bytes(x for x in range(128) if chr(x).isalpha()), _LETTER), (PUNCTUATION, _POINT), (b"\n", _NEWLINE)):
+    _KIND[list(_bytes)] |= _flag
+for _bytes, _flag in ((range(0xC3, 0xE0), _TWO), (range(0xE4, 0xEE), _THREE), (range(0xC3, 0xC9), _LATIN), (set(range(0x80, 0xC0)) - {0x97, 0xB7}, _TAIL)):
+    _LEAD[list(_bytes)] |= _flag
+#: Pieces that the file's pattern never divides.
+SINGLE = re.compile(rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf])+|[" + re.escape(PUNCTUATION) + rb"]+)|\n").fullmatch
+#: Pieces of more bytes are not remembered.
+LONG_PIECE = 256
+
+
+def _letters_of_bytes() -> np.ndarray:
+    """The characters by which a byte-level vocabulary file writes each byte; a zero byte stays."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    letters = np.array([b if b in own else next(others) for b in range(256)], "<u2")
+    letters[0] = 0
+    return letters
+
+
+_LETTERS = _letters_of_bytes()
+
+
+def piece_starts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a piece starts at each byte. ``at``: where texts start, and the end. Within a text, pieces start at a space or newline
+    after a character that is no white space, at punctuation after a letter, and at a letter after such a newline. No match of a byte-level
+    file's pattern goes across such a place, and none looks beyond it, so a text's ids are those of its pieces."""
+    starts = np.zeros(len(data) + 1, bool)
+    whole = data.tobytes()
+    kind, lead = (np.frombuffer(whole.translate(x.tobytes()), np.uint8) for x in (_KIND, _LEAD))
+    clean, letter = kind & _CLEAN != 0, kind & _LETTER != 0
+    clean[1:] |= lead[:-1] & _TWO != 0
+    clean[2:] |= lead[:-2] & _THREE != 0
+    letter_ends = letter.copy()
+    letter_ends[1:] |= (lead[:-1] & _LATIN != 0) & (lead[1:] & _TAIL != 0)
+    starts[1:-1] = (kind[1:] & _GAP != 0) & clean[:-1]
+    after = starts[1:-2] & (kind[1:-1] & _NEWLINE != 0) & letter[2:]
+    starts[1:-1] |= (kind[1:] & _POINT != 0) & letter_ends[:-1]
+    starts[2:-1] |= after
+    starts[at[:-1]] = True
+    starts[-1] = False
+    return starts
+
+
+def _as_bytes(column: pa.Array) -> list[bytes]:
+    _, at, data = column.buffers()
+    at = np.frombuffer(at, np.int32)[: len(column) + 1].tolist()
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[a:b] for a, b in zip(at, at[1:])]
 
 
 class Encoder:
     """The ids that the tokenizers library gives with the file at ``path``.
 
-    All ids come from the library. Where the file cuts a text before a space that follows a word, whatever
-    stands round it, a text is the join of its pieces (a space and what stands up to the next one), and a
-    worker asks the library once for each piece that it remembers. Texts in which a space follows white
-    space or stands first, those with a special token, and all texts of files that cut otherwise, go to the
-    library whole.
+    All ids come from the library. Where the file cuts a text whatever stands round it, a text is the join of its
+    pieces (see piece_starts()); each piece that a worker remembers is asked for once, and the library's merges get
+    pieces that its pattern would not divide as they are. Texts with a special token, and all texts of files that cut
+    otherwise, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -87,55 +140,57 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.special = [t["content"] for t in file["added_tokens"]]
+        within = any(SINGLE(x.encode()) or x.isspace() for x in self.special)
         self.wide = self.library.get_vocab_size() > 1 << 16
-        level = file["pre_tokenizer"] or {}
-        self.by_pieces = file["normalizer"] is None and not any(" " in x for x in self.special) and level.get("type") == "ByteLevel" and level["use_regex"] and not level["add_prefix_space"]
-        self.opens = np.zeros(self.library.get_vocab_size(), bool)
-        self.opens[[i for token, i in self.library.get_vocab().items() if token.startswith(OPENING)]] = True
-        self.cache = WordCache(self._ids_of_pieces)
-
-    def by_library(self, text: str) -> bytes:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _ids_of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Pieces, each without its space or with its newline -> ids of each with it; none of those that another piece must
-        not follow. The library gets the others as one text, in which only the first id of a piece stands for bytes that
-        begin with a space or a newline."""
-        clean = [p for p in pieces if CLEAN(p[-1:])]
-        raw = self.by_library(" ".join(["", *clean]).replace(" \n", "\n"))
-        first = (np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4).tolist()
-        if len(first) != len(clean):
-            return {p: self.by_library(p if p.startswith("\n") else " " + p) for p in clean}
-        ends = [*first, len(raw)][1:]
-        return {p: raw[a:b] for p, a, b in zip(clean, first, ends, strict=True)}
-
-    def _pieces(self, text: str) -> list[str]:
-        if not self.by_pieces or any(x in text for x in self.special):
-            return [text]
-        if "\n" in text and all(CLEAN(x) and CLEAN(x[-1]) for x in text.split("\n")):
-            text = text.replace("\n", " \n")
-        elif " \n" in text:
-            return [text]
-        words = text.split(" ")
-        # the first piece has no space before it
-        return words if CLEAN(words[0][-1:]) and not words[0].startswith("\n") else [text]
+        level = file.get("pre_tokenizer") or {}
+        plain = not within and not any(file.get(x) for x in ("normalizer", "truncation", "padding"))
+        self.by_pieces = plain and level.get("type") == "ByteLevel" and level["use_regex"] and not level["add_prefix_space"]
+        self.cache = WordCache(self._ids_of_pieces, CACHE_BYTES)
+
+    def by_library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of_pieces(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        single = list(filter(SINGLE, pieces)) if self.by_pieces else []
+        found, flat, ends = {}, [], [0]
+        if single:
+            tokenize = self.library.model.tokenize
+            for word in _LETTERS[np.frombuffer(b"\0".join(single), np.uint8)].tobytes().decode("utf-16-le").split("\0"):
+                flat += [t.id for t in tokenize(word)]
+                ends.append(len(flat))
+            raw, ends = np.array(flat, "<u4").tobytes(), [4 * x for x in ends]
+            found = {p: raw[a:b] for p, a, b in zip(single, ends, ends[1:])}
+        others = [p for p in pieces if p not in found]
+        return found | dict(zip(others, self.by_library([p.decode() for p in others]), strict=True))
+
+    def encode_column(self, texts: pa.Array, last: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, each with ``last`` (little-endian) behind it, and where each text's ids end."""
+        data, at = text_buffers(texts)
+        full = np.unique(at)
+        starts = piece_starts(data, full) if self.by_pieces and len(data) else np.zeros(len(data) + 1, bool)
+        starts[full[:-1]] = True
+        for special in self.special if self.by_pieces else []:
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring(texts, special), False).to_numpy(zero_copy_only=False)).tolist():
+                starts[at[i] + 1 : at[i + 1]] = False
+        begins = np.flatnonzero(starts)
+        offsets = np.append(begins, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        distinct = _as_bytes(pieces.dictionary)
+        long = {p: self.by_library([p.decode()])[0] for p in distinct if len(p) > LONG_PIECE}
+        ids = self.cache.look_up(distinct, long)
+        # pieces up to the end of each text; behind them stands ``last``
+        ends = np.searchsorted(begins, at[1:], "left")
+        order = np.insert(pieces.indices.to_numpy(), ends, len(distinct))
+        flat = pa.array([*ids, last], pa.large_binary()).take(pa.array(order))
+        _, where, raw = flat.buffers()
+        bounds = np.frombuffer(where, np.int64)[: len(flat) + 1]
+        out = np.frombuffer(raw, "<u4", int(bounds[-1]) // 4) if raw is not None else np.zeros(0, "<u4")
+        return out, bounds[ends + np.arange(len(ends)) + 1] // 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = list(map(self._pieces, texts))
-        # the last piece may end in white space
-        inner = [words[1:] if CLEAN(words[-1][-1:]) else words[1:-1] for words in split]
-        get = self.cache.learn(set().union(*inner))
-        out = []
-        for text, words, middle in zip(texts, split, inner, strict=True):
-            try:
-                ids = b"".join(map(get, middle))
-            except KeyError:  # of a piece that ends in white space
-                out.append(self.by_library(text))
-                continue
-            last = b"" if len(middle) + 1 >= len(words) else self.by_library(" " + words[-1])
-            out.append(self.by_library(text if len(words) == 1 else words[0]) + ids + last)
-        return out
+        ids, ends = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -149,23 +204,33 @@ def encoder(path: str | None = None) -> Encoder:
 
 
 _ID_HASH = mix64(np.arange(1 << 16, dtype=np.uint64))
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a document's ids, the last one their number."""
-    n = len(ids)
-    with np.errstate(over="ignore"):
-        # a sum of mixed ids over a window, rolled on by prefix sums; equal windows have equal sums
-        mixed = _ID_HASH[ids] if int(ids.max(initial=0)) < len(_ID_HASH) else mix64(ids.astype(np.uint64))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-        rolled = mix64(total[WINDOW:] - total[:-WINDOW]) if n >= WINDOW else np.zeros(0, np.uint64)
-    marks = np.flatnonzero(rolled & np.uint64((1 << CUT_BITS) - 1) == 0) + WINDOW
-    ends, last = [], 0
-    for m in [*marks.tolist(), n]:
+#: Windows that one numpy step works on.
+MARK_STEP = 1 << 17
+
+
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Ends of the windows whose hash asks for a cut."""
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, len(ids) - WINDOW + 1, MARK_STEP):
+        part = ids[at : at + MARK_STEP + WINDOW - 1]
+        with np.errstate(over="ignore"):
+            # a sum of mixed ids over a window, rolled on by prefix sums; equal windows have equal sums
+            mixed = _ID_HASH[part] if int(part.max()) < len(_ID_HASH) else mix64(part.astype(np.uint64))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+            rolled = mix64(total[WINDOW:] - total[:-WINDOW])
+        found.append(np.flatnonzero(rolled & np.uint64((1 << CUT_BITS) - 1) == 0) + at + WINDOW)
+    return np.concatenate(found)
+
+
+def cuts(marked: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of a document's ids, which lie from ``start`` to ``stop``; the last one is their end. ``marked``: the marks
+    between. A mark nearer to the start than LEAST is no cut, so windows that reach into the document before are none."""
+    ends, last = [], start
+    for m in [*marked, stop]:
         while m - last > MOST:
             last += MOST
             ends.append(last)
-        if m - last >= LEAST or m == n and m > last:
+        if m - last >= LEAST or m == stop and m > last:
             ends.append(m)
             last = m
     return ends
@@ -180,27 +245,28 @@ def _stage(path: str | None):
 
     def run(batches):
         tokenizer = encoder(path)
-        unit = "<u4" if tokenizer.wide else "<u2"
+        unit, end = "<u4" if tokenizer.wide else "<u2", np.array([END_ID], "<u4").tobytes()
         row_id = TaskContext.get().partitionId() << 33
         seen: set[bytes] = set()
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, step_bytes=ENCODE_BYTES):
                 rows = []
-                coded = tokenizer.encode([t or "" for t in part.column("text").to_pylist()])
-                for doc, own in zip(part.column("doc_id").to_pylist(), coded, strict=True):
-                    ids = np.append(np.frombuffer(own, "<u4"), np.uint32(END_ID)).astype("<u4")
-                    hashes, lengths, start = [], [], 0
-                    for end in cuts(ids):
-                        chunk = ids[start:end]
-                        digest = hashlib.blake2b(chunk.tobytes(), digest_size=HASH).digest()
+                ids, stops = tokenizer.encode_column(part.column("text"), end)
+                raw, packed, marked = memoryview(ids).cast("B"), ids.astype(unit), marks(ids)
+                bounds = np.searchsorted(marked, stops).tolist()
+                marked, start, first = marked.tolist(), 0, 0
+                for doc, stop, below in zip(part.column("doc_id").to_pylist(), stops.tolist(), bounds, strict=True):
+                    hashes, lengths, n = [], [], stop - start
+                    for at in cuts(marked[first:below], start, stop):
+                        digest = hashlib.blake2b(raw[4 * start : 4 * at], digest_size=HASH).digest()
                         if digest not in seen:
                             seen.add(digest)
-                            rows.append((0, _signed(digest), digest, chunk.astype(unit).tobytes(), end - start, None, None, None, None))
+                            rows.append((0, _signed(digest), digest, packed[start:at].tobytes(), at - start, None, None, None, None))
                         hashes.append(digest)
-                        lengths.append(end - start)
-                        start = end
-                    owner = _signed(hashlib.blake2b(b"%d" % row_id, digest_size=8).digest())
-                    rows.append((1, owner, None, None, len(ids), doc, row_id, b"".join(hashes), np.array(lengths, "<u4").tobytes()))
+                        lengths.append(at - start)
+                        start = at
+                    owner, first = _signed(hashlib.blake2b(b"%d" % row_id, digest_size=8).digest()), below
+                    rows.append((1, owner, None, None, n, doc, row_id, b"".join(hashes), np.array(lengths, "<u4").tobytes()))
                     row_id += 1
                 if len(seen) > 1_000_000:
                     seen.clear()

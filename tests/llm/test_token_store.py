@@ -38,6 +38,59 @@ def test_pieces_like_the_library_whatever_stands_round_them():
         assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(part)] == [library.encode(t, add_special_tokens=False).ids for t in part]
 
 
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, library):
+        self.library, self.model, self.given = library, self, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.given += sum(map(len, texts))
+        return self.library.encode_batch_fast(texts, **how)
+
+    def tokenize(self, word):
+        self.given += len(word)
+        return self.library.model.tokenize(word)
+
+
+def test_a_word_is_asked_for_once_whatever_stands_round_it():
+    own = store.Encoder(store.model_path())
+    library, texts = own.library, ["the word, word. word;  word\n\nword:\nword" * 50, " word! the word? "]
+    own.library = Counting(library)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < own.library.given < 120  # of 1,967 characters
+
+
+def test_places_where_a_text_is_cut():
+    library = tokenizers.Tokenizer.from_file(store.model_path())
+    rng = random.Random(11)
+    parts = ["a", "Bc", "\u00e9", "\u00d7", "\u00f7", "\u00df", "\u0131", "\u01c2", "\u023f", "\u0250", "\u0436", "\u05d0", "\u0301", "\u65e5", "\ud55c", "\u1680", "\u180e", "\u2003", "\u2028", "\u3000", "\ufeff", "\u00a0", "\u0085", "\U0001f600"]
+    parts += ["'", "'s", "'ll", ".'s", ",", "...", "!'", "-", "_", "1", "\u00b2", " ", " ", "  ", "\n", "\n", "\n\n", " \n", "\n ", "\t", "\r\n", "\x00", "\x0b", "\x1c", "\x7f", "<|endoftext|>", "<|end"]
+    own = store.Encoder(store.model_path())
+    for _ in range(12):
+        some = ["".join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(1500)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(some)] == [library.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_a_file_with_words_of_its_own_and_one_that_cuts_otherwise(tmp_path):
+    for name, change in (("added", lambda x: x.add_tokens(["word", "!!"])), ("space", lambda x: setattr(x, "pre_tokenizer", tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=True)))):
+        library = tokenizers.Tokenizer.from_file(store.model_path())
+        change(library)
+        library.save(f"{tmp_path}/{name}.json")
+        own, texts = store.Encoder(f"{tmp_path}/{name}.json"), ["word", "a word, swords", "x!!", "", "!!!", "a  b\nC", "long " * 100]
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_chunks_do_not_depend_on_the_documents_before():
+    ids = np.random.default_rng(1).integers(0, 50_000, 3 * store.MARK_STEP).astype("<u4")
+    ends = store.cuts(store.marks(ids).tolist(), 0, len(ids))
+    assert ends[-1] == len(ids) and all(0 < b - a <= store.MOST for a, b in zip([0, *ends], ends))
+    for at in (5, 700, store.MARK_STEP + 3):
+        before = np.concatenate([ids[-at:], ids])
+        marked = store.marks(before)
+        assert [e - at for e in store.cuts(marked[marked >= at].tolist(), at, len(before))] == ends
+
+
 def test_very_long_runs(spark, tmp_path):
     library = tokenizers.Tokenizer.from_file(store.model_path())
     texts = ["a" + " " * 1_200_000, " " * 3_000_000 + "x", "\n" * 2_000_000 + "a", "b" * 3_000_000, "!" * 1_000_000]
