@@ -15,13 +15,23 @@ from docloom.sources import word
 PARTS = r"^word/(_rels/[^/]+\.rels|.*\.xml)$"
 #: What a header or footer may hold besides text.
 PICTURES = ["w:drawing", "w:object", "w:pict"]
+#: How a section names its headers and its footers.
+REFERENCES = ("w:headerReference", "w:footerReference")
 
 
-def _filled() -> Column:
+def _filled(nodes: DataFrame) -> Column:
     """Whether a node is a text that is not blank."""
+    if "filled" in nodes.columns:
+        return F.col("filled")
     return (F.col("tag") == "w:t") & F.coalesce(F.rlike("text", F.lit(r"(?U)\S")), F.lit(False))
 
 
+def without_text(nodes: DataFrame) -> DataFrame:
+    """Of nodes with hashes all that sections, their evidence and the children of the body are told by: filled and the hashes stand for the text,
+    which is then neither kept nor moved."""
+    return nodes.select("doc_id", "part", "node", "parent", "tag", "attrs", "p", "ppr", "sect", "top", _filled(nodes).alias("filled"), "text_sha256")
+
+
 def relationships(nodes: DataFrame) -> DataFrame:
     """doc_id, source (a part), id, kind, target: the part that it names, null for an external one."""
     found = nodes.where(F.rlike("part", F.lit(r"^word/_rels/[^/]+\.rels$")) & (F.col("tag") == "Relationship"))
@@ -37,18 +47,21 @@ def relationships(nodes: DataFrame) -> DataFrame:
 
 def part_payloads(nodes: DataFrame) -> DataFrame:
     """doc_id, part, payload: whether a part that can be read has text that is not blank, or a picture."""
-    return nodes.groupBy("doc_id", "part").agg(F.bool_or(_filled() | F.col("tag").isin(PICTURES)).alias("payload"))
+    return nodes.groupBy("doc_id", "part").agg(F.bool_or(_filled(nodes) | F.col("tag").isin(PICTURES)).alias("payload"))
 
 
-def section_nodes(nodes: DataFrame) -> DataFrame:
-    """doc_id, sect, p, idx: the section properties of the body itself and of its paragraphs, in order; p is null for the body's."""
-    main = nodes.where(F.col("part") == word.MAIN)
-    body = main.where("tag = 'w:body'").groupBy(F.col("doc_id").alias("of")).agg(F.min("node").alias("body"))
-    own = main.where("tag = 'w:sectPr' and node = sect").select("doc_id", "sect", "parent", "ppr", "p")
-    top = main.where("tag = 'w:p'").select("doc_id", F.col("node").alias("p"), F.col("parent").alias("p_parent"))
-    placed = own.join(body, own.doc_id == F.col("of")).join(top, ["doc_id", "p"], "left")
-    placed = placed.where("parent = body or (parent = ppr and p_parent = body)").withColumn("p", F.when(F.col("parent") == F.col("body"), None).otherwise(F.col("p")))
-    return placed.select("doc_id", "sect", "p", (F.row_number().over(Window.partitionBy("doc_id").orderBy("sect")) - 1).alias("idx"))
+def section_settings(nodes: DataFrame) -> DataFrame:
+    """doc_id, sect, p, idx and what they say themselves, of the section properties of the body itself and of its paragraphs, in order; p is null for
+    the body's. Only they and their children move."""
+    own = (F.col("tag") == "w:sectPr") & ((F.col("node") == F.col("top")) | ((F.col("parent") == F.col("ppr")) & (F.col("p") == F.col("top"))))
+    has = lambda *tags: F.bool_or(F.col("tag").isin(*tags))
+    refers = lambda tag: F.count_if((F.col("tag") == tag) & F.col("attrs")["r:id"].isNotNull()).cast("int")
+    found = nodes.where((F.col("part") == word.MAIN) & ((F.col("node") == F.col("sect")) | (F.col("parent") == F.col("sect")))).groupBy("doc_id", "sect").agg(
+        F.bool_or(F.coalesce(own, F.lit(False))).alias("own"), F.max(F.when(F.col("node") == F.col("sect"), F.col("p"))).alias("p"), refers(REFERENCES[0]).alias("headers"), refers(REFERENCES[1]).alias("footers"),
+        F.nullif(word.value("w:pgNumType", "w:start"), F.lit("")).alias("page_number_start"), has("w:titlePg").alias("different_first_page"),
+        F.nullif(word.value("w:type"), F.lit("")).alias("section_type"), has("w:pgSz", "w:pgMar").alias("has_page_geometry"), has("w:pgNumType").alias("numbers_pages"),
+    )
+    return found.where("own").drop("own").withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("sect")) - 1)
 
 
 def section_evidence(nodes: DataFrame) -> DataFrame:
@@ -57,24 +70,11 @@ def section_evidence(nodes: DataFrame) -> DataFrame:
     Headers and footers are found by their ids: a reference is an edge to a relationship of the main part, that one to a part, and
     the part has a payload or not. What is missing, external or cannot be read counts as a payload.
     """
-    main = nodes.where(F.col("part") == word.MAIN)
-    own = section_nodes(nodes).select(F.col("doc_id").alias("of"), F.col("sect").alias("s"), "idx")
-    inside = main.join(own, (main.doc_id == F.col("of")) & (main.parent == F.col("s"))).select("doc_id", "idx", "node", "tag", "attrs")
-    alone = own.select(F.col("of").alias("doc_id"), "idx")
-    names = ("w:headerReference", "w:footerReference")
-    edges = inside.where(F.col("tag").isin(*names)).select("doc_id", "idx", "tag", F.col("attrs")["r:id"].alias("id")).where("id is not null")
+    edges = nodes.where((F.col("part") == word.MAIN) & (F.col("parent") == F.col("sect")) & F.col("tag").isin(*REFERENCES)).select("doc_id", "sect", F.col("attrs")["r:id"].alias("id")).where("id is not null")
     related = relationships(nodes).where(F.col("source") == word.MAIN).groupBy("doc_id", "id").agg(F.min("target").alias("part"))
     payload = F.bool_or(F.coalesce("payload", F.lit(True)))
-    of_refs = edges.join(related, ["doc_id", "id"], "left").join(part_payloads(nodes), ["doc_id", "part"], "left").groupBy("doc_id", "idx").agg(
-        F.count_if(F.col("tag") == names[0]).cast("int").alias("headers"), F.count_if(F.col("tag") == names[1]).cast("int").alias("footers"), payload.alias("payload")
-    )
-    has = lambda *tags: F.coalesce(F.bool_or(F.col("tag").isin(*tags)), F.lit(False))
-    of_own = inside.groupBy("doc_id", "idx").agg(
-        F.nullif(word.value("w:pgNumType", "w:start"), F.lit("")).alias("page_number_start"), has("w:titlePg").alias("different_first_page"),
-        F.nullif(word.value("w:type"), F.lit("")).alias("section_type"), has("w:pgSz", "w:pgMar").alias("has_page_geometry"), has("w:pgNumType").alias("numbers_pages"),
-    )
-    joined = alone.join(of_own, ["doc_id", "idx"], "left").join(of_refs, ["doc_id", "idx"], "left").fillna(0, ["headers", "footers"])
-    joined = joined.fillna(False, ["payload", "different_first_page", "has_page_geometry", "numbers_pages"])
+    of_refs = edges.join(related, ["doc_id", "id"], "left").join(part_payloads(nodes), ["doc_id", "part"], "left").groupBy("doc_id", "sect").agg(payload.alias("payload"))
+    joined = section_settings(nodes).join(of_refs, ["doc_id", "sect"], "left").fillna(False, ["payload"])
     empty = (F.col("headers") + F.col("footers") > 0) & ~F.col("payload")
     safe = ~(F.col("payload") | F.col("page_number_start").isNotNull() | F.col("different_first_page"))
     return joined.select(
@@ -90,26 +90,28 @@ def body_children(nodes: DataFrame) -> DataFrame:
     number among the body's; payload tells whether it has text or an element within that may not be lost; sect is the break that it
     carries; only_sect tells that its properties hold nothing else.
     """
-    main = nodes.where(F.col("part") == word.MAIN)
-    body = main.where("tag = 'w:body'").groupBy(F.col("doc_id").alias("of")).agg(F.min("node").alias("body"))
-    with_body = main.join(body, main.doc_id == F.col("of")).where("node > body")
-    in_order = Window.partitionBy("doc_id").orderBy("node")
-    # forward as-of: each node belongs to the last child that began before it
-    child = F.last(F.when(F.col("parent") == F.col("body"), F.col("node")), True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    held = (F.col("node") > F.col("top")) & (_filled() | F.col("tag").isin(word.PAYLOAD))
-    of_child = with_body.withColumn("top", child).groupBy("doc_id", "top").agg(
-        F.min_by("tag", "node").alias("tag"), F.bool_or(held).alias("payload"),
-        F.count_if((F.col("parent") == F.col("ppr")) & (F.col("p") == F.col("top"))).alias("settings"),
+    at, own = F.col("node") == F.col("top"), F.coalesce((F.col("parent") == F.col("ppr")) & (F.col("p") == F.col("top")), F.lit(False))
+    breaks = own & (F.col("tag") == "w:sectPr")
+    held = (F.col("node") > F.col("top")) & (_filled(nodes) | F.col("tag").isin(word.PAYLOAD))
+    # what tells nothing of its child is left where it is, and so is all text
+    of_child = nodes.where((F.col("part") == word.MAIN) & (at | own | held)).groupBy("doc_id", "top").agg(
+        F.max(F.when(at, F.col("tag"))).alias("tag"), F.bool_or(held).alias("payload"), F.count_if(own).alias("settings"), F.count_if(breaks).alias("breaks"), F.min(F.when(breaks, F.col("node"))).alias("sect"),
     )
-    breaks = section_nodes(nodes).where("p is not null").select("doc_id", F.col("p").alias("top"), "sect")
-    before = Window.partitionBy("doc_id").orderBy("top").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("doc_id").orderBy("top")
-    return of_child.join(breaks, ["doc_id", "top"], "left").select(
-        "doc_id", (F.row_number().over(upto) - 1).alias("child"), F.col("top").alias("node"), "tag", F.coalesce(F.count("sect").over(before), F.lit(0)).cast("int").alias("section"),
+    return of_child.select(
+        "doc_id", (F.row_number().over(upto) - 1).alias("child"), F.col("top").alias("node"), "tag", (F.sum("breaks").over(upto) - F.col("breaks")).cast("int").alias("section"),
         F.when(F.col("tag") == "w:p", F.count_if(F.col("tag") == "w:p").over(upto) - 1).cast("int").alias("paragraph"), "payload", "sect", (F.col("settings") == 1).alias("only_sect"),
     )
 
 
+def paragraph_hashes(nodes: DataFrame) -> DataFrame:
+    """doc_id, node, text_sha256 (bytes) of the paragraphs that are children of the body: what nodes() told, or else of their text, which then moves."""
+    main = nodes.where((F.col("part") == word.MAIN) & (F.col("p") == F.col("top")))
+    if "text_sha256" in nodes.columns:
+        return main.where("tag = 'w:p'").select("doc_id", "node", "text_sha256")
+    return main.groupBy("doc_id", F.col("p").alias("node")).agg(F.unhex(F.sha2(word.text_within(), 256)).alias("text_sha256"))
+
+
 # -- numberings
 
 
@@ -148,24 +150,41 @@ RELATIONSHIPS = "http://schemas.openxmlformats.org/package/2006/relationships"
 KINDS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 
 
+def document_xml(*inner: Column) -> Column:
+    """The main part of the XML of the children of its body."""
+    return F.concat(F.lit(f"<w:document {SPACES}><w:body>"), *inner, F.lit("</w:body></w:document>"))
+
+
 def body_xml(blocks: DataFrame) -> DataFrame:
     """blocks(doc_id, seq, xml), the children of a body -> doc_id, name, content: the main part of each document."""
     inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "xml"))), lambda x: x["xml"]), "")
-    whole = F.concat(F.lit(f"<w:document {SPACES}><w:body>"), inner, F.lit("</w:body></w:document>"))
+    whole = document_xml(inner)
     return blocks.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.lit(word.MAIN).alias("name"), whole.alias("content"))
 
 
+def relationship_xml(id_: Column, kind: Column, target: Column) -> Column:
+    return F.concat(F.lit('<Relationship Id="'), word.escaped(id_), F.lit(f'" Type="{KINDS}/'), word.escaped(kind), F.lit('" Target="'), word.escaped(target), F.lit('"/>'))
+
+
+def relationships_part(*inner: Column) -> Column:
+    return F.concat(F.lit(f'<Relationships xmlns="{RELATIONSHIPS}">'), *inner, F.lit("</Relationships>"))
+
+
 def relationships_xml(edges: DataFrame) -> DataFrame:
     """edges(doc_id, id, kind, target) of the main part -> doc_id, name, content."""
-    one = F.concat(F.lit('<Relationship Id="'), word.escaped(F.col("id")), F.lit(f'" Type="{KINDS}/'), word.escaped(F.col("kind")), F.lit('" Target="'), word.escaped(F.col("target")), F.lit('"/>'))
-    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", one.alias("xml")))), lambda x: x["xml"]), "")
-    whole = F.concat(F.lit(f'<Relationships xmlns="{RELATIONSHIPS}">'), inner, F.lit("</Relationships>"))
+    xml = relationship_xml(F.col("id"), F.col("kind"), F.col("target"))
+    whole = relationships_part(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", xml.alias("xml")))), lambda x: x["xml"]), ""))
     return edges.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(F.lit("word/_rels/document.xml.rels").alias("name"), whole.alias("content"))
 
 
 def packed(parts: DataFrame) -> DataFrame:
     """parts(doc_id, name, content as text or bytes) -> doc_id, content: packages with all these parts, in the order of their names, the same
     bytes for the same parts. One document is put together in one task."""
+    each = F.collect_list(F.struct("name", F.col("content").cast("binary").alias("content")))
+    return packed_rows(parts.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(each.alias("parts")))
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, parts: an array of name, content as bytes) -> doc_id, content: a package of each row, as packed() does; no row moves."""
     entries = lambda parts: [(x["name"].as_py(), (x["content"].as_buffer(),)) for x in parts]
-    each = F.array_sort(F.collect_list(F.struct("name", F.col("content").cast("binary").alias("content"))))
-    return word.zipped(parts.groupBy(F.col("doc_id").cast("string").alias("doc_id")).agg(each.alias("parts")), "parts", entries)
+    return word.zipped(docs.select("doc_id", F.array_sort("parts").alias("parts")), "parts", entries)

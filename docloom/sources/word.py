@@ -36,6 +36,11 @@ def _number(c: Column, unit: float) -> Column:
     return c.try_cast("double") / unit
 
 
+def text_within() -> Column:
+    """Of a group of nodes: their text in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isin("w:t", "w:tab", "w:br", "w:cr"), F.struct("node", F.when(F.col("tag") == "w:t", F.coalesce("text", F.lit(""))).when(F.col("tag") == "w:tab", "\t").otherwise("\n").alias("text"))))), lambda x: x["text"]), "")
+
+
 def getters() -> dict[str, Column]:
     """The properties of a style, or of what a paragraph sets itself, as aggregates over its nodes."""
     rule = F.coalesce(value("w:spacing", "w:lineRule"), F.lit("auto"))
@@ -92,7 +97,7 @@ def paragraphs(nodes: DataFrame) -> DataFrame:
     tables = tables.withColumn("table", F.row_number().over(Window.partitionBy("doc_id").orderBy("tbl")) - 1)
     rows = main.where("tag = 'w:tr'").select("doc_id", "tbl", "tr").withColumn("row", F.row_number().over(Window.partitionBy("doc_id", "tbl").orderBy("tr")) - 1)
     cells = main.where("tag = 'w:tc'").select("doc_id", "tbl", "tr", "tc").withColumn("cell", F.row_number().over(Window.partitionBy("doc_id", "tr").orderBy("tc")) - 1)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isin("w:t", "w:tab", "w:br", "w:cr"), F.struct("node", F.when(F.col("tag") == "w:t", F.coalesce("text", F.lit(""))).when(F.col("tag") == "w:tab", "\t").otherwise("\n").alias("text"))))), lambda x: x["text"]), "")
+    text = text_within()
     of = main.where("p is not null").groupBy("doc_id", "p").agg(
         F.max(F.when(F.col("node") == F.col("p"), F.col("parent"))).alias("parent"), F.min("tbl").alias("tbl"), F.min("tr").alias("tr"), F.min("tc").alias("tc"),
         value("w:pStyle").alias("style_id"), text.alias("text"),
@@ -132,7 +137,7 @@ def all_paragraphs(nodes: DataFrame) -> DataFrame:
         depth += 1
         level = inner.join(level.select("doc_id", F.col("container").alias("outer"), F.col("place").alias("above")), ["doc_id", "outer"]).select("doc_id", "container", F.concat("above", "step").alias("place"))
         found = found.unionByName(level.withColumn("depth", F.lit(depth)))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tag").isin("w:t", "w:tab", "w:br", "w:cr"), F.struct("node", F.when(F.col("tag") == "w:t", F.coalesce("text", F.lit(""))).when(F.col("tag") == "w:tab", "\t").otherwise("\n").alias("text"))))), lambda x: x["text"]), "")
+    text = text_within()
     own = main.where("p is not null").groupBy("doc_id", "p").agg(F.max(F.when(F.col("node") == F.col("p"), F.col("parent"))).alias("container"), value("w:pStyle").alias("style_id"), text.alias("text"))
     placed = own.join(found, ["doc_id", "container"])
     number = F.row_number().over(Window.partitionBy("doc_id", "container").orderBy("p")) - 1
@@ -282,7 +287,7 @@ def zipped(df: DataFrame, column: str, entries: Callable) -> DataFrame:
 
     def one(value) -> bytes:
         raw = io.BytesIO()
-        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+        with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
             for name, pieces in entries(value):
                 info = zipfile.ZipInfo(name)
                 info.file_size = sum(map(len, pieces))

@@ -76,6 +76,26 @@ def test_sections_that_hold_nothing_go_from_the_end(spark):
         assert [(r.doc_id, r.fault) for r in faults.collect()] == [("a", fault)] and left.where("doc_id = 'a'").count() == 7
 
 
+def test_sections_are_told_by_nodes_without_their_text(spark):
+    """Hashes and whether a text is blank stand for the text: the same sections, boundaries and faults."""
+    sect = "<w:pPr><w:sectPr><w:headerReference r:id=\"h\"/></w:sectPr></w:pPr>"
+    more = f'<w:p>{sect}<w:r><w:tab/><w:t>a</w:t><w:br/><w:t>é</w:t><w:cr/></w:r><w:r><w:txbxContent><w:p><w:r><w:t>box</w:t></w:r></w:p></w:txbxContent></w:r><w:r><w:t> b</w:t></w:r></w:p>'
+    bodies = {"a": p("x") + more + f"<w:p>{sect}</w:p><w:p/><w:sectPr/>", "b": f"<w:p>{sect}<w:r><w:t> \t</w:t></w:r></w:p><w:sectPr/>", "c": more + "<w:tbl><w:tr><w:tc><w:p/></w:tc></w:tr></w:tbl><w:sectPr/>"}
+    files = spark.createDataFrame([(k, package(b, rels=RELS % edge("h", "header1.xml"), header1=f"<w:hdr {W}><w:p/></w:hdr>")) for k, b in bodies.items()], "doc_id string, content binary")
+    plain, hashed = stored(docx.nodes(files, parts.PARTS)), stored(parts.without_text(docx.nodes(files, parts.PARTS, hashed=True)))
+    assert "text" not in hashed.columns and hashed.count() == plain.count()
+    of = lambda n: sorted((r.doc_id, r.node, bytes(r.text_sha256).hex()) for r in parts.paragraph_hashes(n).collect())
+    assert of(hashed) == of(plain)
+    assert {h for _, _, h in of(hashed)} == {sha("x"), sha("\ta\né\n b"), sha(""), sha(" \t")}
+    found = breaks.trailing_empty(plain)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(breaks.trailing_empty(hashed)) == rows(found) and found.count() == 4
+    yes = found.withColumn("approved_delete", F.lit(True))
+    for approved in (yes, yes.where("section = 1"), yes.withColumn("previous_boundary_sha256", F.lit("x")), yes.withColumn("previous_boundary_paragraph", F.lit(0)), yes.withColumn("previous_boundary_paragraph", F.lit(9))):
+        for one, other in zip(breaks.without_trailing(plain, approved), breaks.without_trailing(hashed, approved), strict=True):
+            assert rows(one) == rows(other)
+
+
 NUMBERING = f"""<w:numbering {W}><w:abstractNum w:abstractNumId="3"><w:lvl w:ilvl="0"><w:start w:val="4"/></w:lvl><w:lvl w:ilvl="1"><w:start w:val="9"/></w:lvl></w:abstractNum>
 <w:num w:numId="5"><w:abstractNumId w:val="3"/>%s</w:num></w:numbering>"""
 OVER = '<w:lvlOverride w:ilvl="1"><w:startOverride w:val="8"/></w:lvlOverride><w:lvlOverride w:ilvl="0"><w:startOverride w:val="7"/></w:lvlOverride>'

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from docloom import catalogue, catalogue_updates  # noqa: F401
+from docloom import catalogue, catalogue_packages, catalogue_updates  # noqa: F401
 
 DOCS = "doc_id long, text string"
 
@@ -42,3 +42,19 @@ def test_run_edits_keep_every_run_of_long_lines(spark, folder):
         k = pos % 5
         want = text if runs[0][2] else text[: k + 3] + "<new>" + text[k + 12 :]
         assert "".join(t for _, t, _ in runs) == want
+
+
+@pytest.mark.parametrize("name", ["trailing_section_candidates", "trailing_section_removal", "section_relations"])
+def test_texts_of_sections_neither_move_nor_stay_on_disk(spark, folder, monkeypatch, name):
+    """A document is one row until its nodes are written, and these hold no text; results are those of the SQL."""
+    plans = []
+
+    def seen(df, write=catalogue_packages.stored):
+        plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString()))
+        return write(df)
+
+    monkeypatch.setattr(catalogue_packages, "stored", seen)
+    got = catalogue.QUERIES[name](spark, folder)
+    columns, plan = plans[0]
+    assert "Exchange" not in plan and "text" not in columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(duck(folder, catalogue.SQL[name]), key=str)
